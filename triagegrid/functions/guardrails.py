@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagegrid import lexicon as L
-from triagegrid.functions.ordinal import RANK, urgency_name, urgency_rank
-from triagegrid.functions.text import append_absent, empty_strings, fill, first_match, listed, rstrip_ws
+from triagegrid.functions.ordinal import RANK
+from triagegrid.functions.text import RIGHT_STRIP, empty_strings, first_match, sql_fill, sql_list, sql_listed, sql_text
 
 MATCHES = [f"_g_{i}" for i in range(len(L.GUARDRAILS))]
 ACTIVE = "_g_active"
@@ -52,6 +52,7 @@ def suppress_spam(category: Column, confidence: Column, escalate: Column, reason
 
 
 SETTLED = ["escalate", "escalation_reasons", "urgency", "urgency_reason", "urgency_signals", "rule_hits", "overrides"]
+_HIT = "struct<rule:string,reason:string,matched:string,effect:string>"
 
 
 def add_guardrails(df: DataFrame, base: str = "base_", prefix: str = "final_") -> DataFrame:
@@ -60,89 +61,70 @@ def add_guardrails(df: DataFrame, base: str = "base_", prefix: str = "final_") -
     ``df`` holds the columns of ``add_guardrail_matches``.  Adds one ``prefix``-ed column per name in
     ``SETTLED``; flat, so that those nobody reads are pruned.
     """
-    b = {name: F.col(base + name) for name in (
-        "category", "category_confidence", "escalate", "escalation_reasons", "urgency", "urgency_reason", "urgency_signals"
-    )}
-    keep = [F.col(c) for c in df.columns]
-    active = F.col(ACTIVE)
+    keep = df.columns
+    last = len(L.GUARDRAILS)
 
     # What each rule sees before it runs: two small columns per rule, read by every string below.
-    state, esc, rank = [], b["escalate"], urgency_rank(b["urgency"])
-    for i, (m, (_, reason, floor, _)) in enumerate(zip(MATCHES, L.GUARDRAILS)):
-        fired = F.col(m) != ""
-        level = F.lit(RANK[floor])
+    levels = " ".join(f"WHEN {base}urgency = '{name}' THEN {rank}" for name, rank in RANK.items())
+    state = [f"{base}escalate AS _e_0", f"CASE {levels} END AS _u_0"]
+    esc, rank = f"{base}escalate", f"CASE {levels} END"
+    floors = []
+    for m, (_, reason, floor, _) in zip(MATCHES, L.GUARDRAILS):
+        level = str(RANK[floor])
         if reason in L.INCIDENT_REASONS:
-            level = F.when(active != "", F.lit(RANK["critical"])).otherwise(level)
-        state += [esc.alias(f"_e_{i}"), rank.alias(f"_u_{i}")]
-        rank = F.when(fired, F.greatest(rank, level)).otherwise(rank)
-        esc = esc | fired
-    last = len(L.GUARDRAILS)
-    state += [esc.alias(f"_e_{last}"), rank.alias(f"_u_{last}")]
-    df = df.select(*keep, *state)
-
+            level = f"IF({ACTIVE} != '', {RANK['critical']}, {level})"
+        floors.append(f"IF({m} != '', {level}, 0)")
+    for i in range(1, last + 1):
+        fired = " OR ".join(f"{m} != ''" for m in MATCHES[:i])
+        state += [f"({esc} OR {fired}) AS _e_{i}", f"greatest({rank}, {', '.join(floors[:i])}) AS _u_{i}"]
+    df = df.selectExpr(*keep, *state)
+
+    names = sql_list(list(RANK))
     hits, overrides, cues, lifts, reasons_new = [], [], [], [], []
     for i, (m, (rule, reason, _, _)) in enumerate(zip(MATCHES, L.GUARDRAILS)):
-        matched = F.col(m)
-        fired = matched != ""
-        before, after = urgency_name(F.col(f"_u_{i}")), urgency_name(F.col(f"_u_{i + 1}"))
-        forced = fired & ~F.col(f"_e_{i}")
-        lifted = F.col(f"_u_{i + 1}") > F.col(f"_u_{i}")
-        earlier = F.lit(False)
-        for m2, (_, r2, _, _) in list(zip(MATCHES, L.GUARDRAILS))[:i]:
-            if r2 == reason:
-                earlier = earlier | (F.col(m2) != "")
-        new_reason = fired & ~earlier & ~F.array_contains(b["escalation_reasons"], reason)
-        parts = F.concat_ws(
-            "; ",
-            F.when(forced, F.lit(L.EFFECT_ESCALATE)),
-            F.when(new_reason, F.lit(L.EFFECT_REASON.format(reason))),
-            F.when(lifted, fill(L.EFFECT_URGENCY, before=before, after=after)),
+        fired = f"{m} != ''"
+        before, after = f"{names}[_u_{i}]", f"{names}[_u_{i + 1}]"
+        forced = f"{fired} AND NOT _e_{i}"
+        lifted = f"_u_{i + 1} > _u_{i}"
+        earlier = [f"{m2} = ''" for m2, (_, r2, _, _) in list(zip(MATCHES, L.GUARDRAILS))[:i] if r2 == reason]
+        new_reason = " AND ".join([fired, *earlier, f"NOT array_contains({base}escalation_reasons, '{reason}')"])
+        parts = (
+            f"concat_ws('; ', IF({forced}, {sql_text(L.EFFECT_ESCALATE)}, NULL), "
+            f"IF({new_reason}, {sql_text(L.EFFECT_REASON.format(reason))}, NULL), "
+            f"IF({lifted}, {sql_fill(L.EFFECT_URGENCY, before=before, after=after)}, NULL))"
         )
-        effect = F.when(parts == "", F.lit(L.EFFECT_CONFIRMED)).otherwise(parts)
-        hits.append((fired, _hit(F.lit(rule), F.lit(reason), matched, effect)))
+        effect = f"coalesce(nullif({parts}, ''), {sql_text(L.EFFECT_CONFIRMED)})"
+        hits.append((fired, _hit(sql_text(rule), sql_text(reason), m, effect)))
         overrides += [
-            (forced, fill(L.OVERRIDE_ESCALATE, rule=F.lit(rule), matched=matched)),
-            (lifted, fill(L.OVERRIDE_URGENCY, rule=F.lit(rule), before=before, after=after)),
+            (forced, sql_fill(L.OVERRIDE_ESCALATE, rule=sql_text(rule), matched=m)),
+            (lifted, sql_fill(L.OVERRIDE_URGENCY, rule=sql_text(rule), before=before, after=after)),
         ]
-        topic = F.lit(reason.replace("_", " "))
-        says = fill(L.LIFT_FIRED, topic=topic, matched=matched)
-        floor_text = fill(L.LIFT_FLOOR, topic=topic, after=after)
-        cues.append((lifted, matched))
+        topic = sql_text(reason.replace("_", " "))
+        tail = sql_fill(L.LIFT_FLOOR, topic=topic, after=after)
+        cues.append((lifted, m))
         if reason in L.INCIDENT_REASONS:
-            cues.append((lifted & (active != ""), active))
-            tail = F.when(active != "", fill(L.LIFT_ACTIVE, active=active, after=after)).otherwise(floor_text)
-        else:
-            tail = floor_text
-        lifts.append(F.when(lifted, F.concat(says, tail)))
-        reasons_new.append((fired, F.lit(reason)))
-
-    off = suppressed(b["category"], b["category_confidence"])
-    undo = off & F.col(f"_e_{last}")
-    hits.append((undo, _hit(F.lit(L.SUPPRESS_RULE), F.lit(None).cast("string"), F.lit(L.SUPPRESS_MATCHED), F.lit(L.SUPPRESS_EFFECT))))
-    overrides.append((undo, F.lit(L.SUPPRESS_OVERRIDE)))
-
-    any_lift = F.col(f"_u_{last}") > F.col("_u_0")
-    told = F.when(b["urgency_reason"] != "", rstrip_ws(b["urgency_reason"]))
-    no_hits = F.array().cast("array<struct<rule:string,reason:string,matched:string,effect:string>>")
-    settled = suppress_spam(
-        b["category"],
-        b["category_confidence"],
-        F.col(f"_e_{last}"),
-        append_absent(b["escalation_reasons"], listed(*reasons_new)),
-        urgency_name(F.col(f"_u_{last}")),
-    )
-    no_hits = F.array().cast("array<struct<rule:string,reason:string,matched:string,effect:string>>")
-    settled_columns = [
-        settled["escalate"],
-        settled["reasons"],
-        settled["urgency"],
-        F.when(any_lift, F.concat_ws(" ", told, *lifts)).otherwise(b["urgency_reason"]),
-        append_absent(b["urgency_signals"], listed(*cues)),
-        F.concat(*[F.when(cond, F.array(h)).otherwise(no_hits) for cond, h in hits]),
-        listed(*overrides),
+            cues.append((f"{lifted} AND {ACTIVE} != ''", ACTIVE))
+            tail = f"IF({ACTIVE} != '', {sql_fill(L.LIFT_ACTIVE, active=ACTIVE, after=after)}, {tail})"
+        lifts.append(f"IF({lifted}, concat({sql_fill(L.LIFT_FIRED, topic=topic, matched=m)}, {tail}), NULL)")
+        reasons_new.append((fired, sql_text(reason)))
+
+    off = f"({base}category = 'spam' AND {base}category_confidence >= {L.SPAM_SUPPRESS_CONFIDENCE}D)"
+    undo = f"{off} AND _e_{last}"
+    hits.append((undo, _hit(sql_text(L.SUPPRESS_RULE), sql_text(None), sql_text(L.SUPPRESS_MATCHED), sql_text(L.SUPPRESS_EFFECT))))
+    overrides.append((undo, sql_text(L.SUPPRESS_OVERRIDE)))
+    reasons, signals = f"{base}escalation_reasons", f"{base}urgency_signals"
+    told = f"IF({base}urgency_reason != '', regexp_extract({base}urgency_reason, {sql_text(RIGHT_STRIP)}, 1), NULL)"
+    settled = [
+        f"_e_{last} AND NOT {off}",
+        f"IF({off}, CAST(array() AS array<string>), concat({reasons}, array_except({sql_listed(reasons_new)}, {reasons})))",
+        f"IF({off}, 'low', {names}[_u_{last}])",
+        f"IF(_u_{last} > _u_0, concat_ws(' ', {told}, {', '.join(lifts)}), {base}urgency_reason)",
+        f"concat({signals}, array_except({sql_listed(cues)}, {signals}))",
+        sql_listed(hits, _HIT),
+        sql_listed(overrides),
     ]
-    return df.select(*keep, *[value.alias(prefix + name) for name, value in zip(SETTLED, settled_columns)])
+    return df.selectExpr(*keep, *[f"{value} AS {prefix}{name}" for name, value in zip(SETTLED, settled)])
 
 
-def _hit(rule: Column, reason: Column, matched: Column, effect: Column) -> Column:
-    return F.struct(rule.alias("rule"), reason.alias("reason"), matched.alias("matched"), effect.alias("effect"))
+def _hit(rule: str, reason: str, matched: str, effect: str) -> str:
+    return f"named_struct('rule', {rule}, 'reason', {reason}, 'matched', {matched}, 'effect', {effect})"

@@ -20,7 +20,9 @@ from triagegrid.functions.text import (
     fill,
     first_match,
     has_match,
-    listed,
+    sql_fill,
+    sql_listed,
+    sql_text,
     strip_ws,
 )
 
@@ -157,56 +159,44 @@ def add_sender(df: DataFrame, text: str = "text", prefix: str = "sender_", own_n
         F.coalesce(first_match(unnamed, L.PLAN), F.lit("")).alias("_w_plan"),
     )
 
-    named = c("name").isNotNull()
-    free = (c("domain") != "") & is_free_mail(c("domain"))
-    work = (c("domain") != "") & ~is_free_mail(c("domain"))
-    enterprise, scale, plan = c("enterprise") != "", c("scale") != "", c("plan") != ""
-    cued = free | work | enterprise | scale | plan
-    by_id = ~cued & (F.size(c("ids")) > 0)
-    first_id = F.get(c("ids"), F.lit(0))
-
-    guess = (
-        F.when(named, c("name"))
-        .when(work, fill(L.GUESS_WORK_MAIL, value=c("domain")))
-        .when(free, F.lit(L.GUESS_FREE_MAIL))
-        .when(enterprise, F.lit(L.GUESS_ENTERPRISE))
-        .when(scale, F.lit(L.GUESS_SCALE))
-        .when(plan, fill(L.GUESS_PLAN, value=c("plan")))
-        .when(by_id, F.lit(L.GUESS_IDENTIFIER))
+    named = "_w_name IS NOT NULL"
+    is_free = f"lower(_w_domain) IN ({', '.join(sql_text(d) for d in L.FREE_MAIL)})"
+    free, work = f"_w_domain != '' AND {is_free}", f"_w_domain != '' AND NOT {is_free}"
+    enterprise, scale, plan = "_w_enterprise != ''", "_w_scale != ''", "_w_plan != ''"
+    by_id = "_w_domain = '' AND _w_enterprise = '' AND _w_scale = '' AND _w_plan = '' AND size(_w_ids) > 0"
+    guess = f"""CASE WHEN {named} THEN _w_name
+        WHEN {work} THEN {sql_fill(L.GUESS_WORK_MAIL, value='_w_domain')}
+        WHEN {free} THEN {sql_text(L.GUESS_FREE_MAIL)}
+        WHEN {enterprise} THEN {sql_text(L.GUESS_ENTERPRISE)}
+        WHEN {scale} THEN {sql_text(L.GUESS_SCALE)}
+        WHEN {plan} THEN {sql_fill(L.GUESS_PLAN, value='_w_plan')}
+        WHEN {by_id} THEN {sql_text(L.GUESS_IDENTIFIER)} END"""
+    confidence = f"""CASE WHEN {named} THEN {L.WHO_STATED}D WHEN {work} THEN {L.WHO_WORK_MAIL}D WHEN {scale} THEN {L.WHO_SCALE}D
+        WHEN {enterprise} OR {plan} THEN {L.WHO_CUE}D WHEN {free} OR {by_id} THEN {L.WHO_WEAK}D ELSE 0.0D END"""
+    cues = sql_listed(
+        [
+            (work, sql_fill(L.BASIS_WORK_MAIL, value="_w_domain")),
+            (free, sql_text(L.BASIS_FREE_MAIL)),
+            (enterprise, sql_fill(L.BASIS_ENTERPRISE, value="_w_enterprise")),
+            (scale, sql_fill(L.BASIS_SCALE, value="_w_scale")),
+            (plan, sql_fill(L.BASIS_PLAN, value="_w_plan")),
+            (by_id, sql_fill(L.BASIS_IDENTIFIER, value="_w_ids[0]")),
+        ]
     )
-    confidence = (
-        F.when(named, F.lit(L.WHO_STATED))
-        .when(work, F.lit(L.WHO_WORK_MAIL))
-        .when(scale, F.lit(L.WHO_SCALE))
-        .when(enterprise | plan, F.lit(L.WHO_CUE))
-        .when(free | by_id, F.lit(L.WHO_WEAK))
-        .otherwise(F.lit(0.0))
-    )
-    basis = F.when(
-        named, F.array(F.when(c("contact").isNotNull(), F.lit(L.BASIS_SIGNED)).otherwise(F.lit(L.BASIS_NAMED)))
-    ).otherwise(
-        listed(
-            (work, fill(L.BASIS_WORK_MAIL, value=c("domain"))),
-            (free, F.lit(L.BASIS_FREE_MAIL)),
-            (enterprise, fill(L.BASIS_ENTERPRISE, value=c("enterprise"))),
-            (scale, fill(L.BASIS_SCALE, value=c("scale"))),
-            (plan, fill(L.BASIS_PLAN, value=c("plan"))),
-            (by_id, fill(L.BASIS_IDENTIFIER, value=first_id)),
-        )
-    )
-    fields = [c("name"), c("contact"), c("ids"), guess, confidence, basis]
-    return df.select(*keep, *[value.alias(prefix + name) for name, value in zip(CUSTOMER_FIELDS, fields)])
+    stated = f"array(IF(_w_contact IS NOT NULL, {sql_text(L.BASIS_SIGNED)}, {sql_text(L.BASIS_NAMED)}))"
+    fields = ["_w_name", "_w_contact", "_w_ids", guess, confidence, f"IF({named}, {stated}, {cues})"]
+    return df.select(*keep, *[F.expr(value).alias(prefix + name) for name, value in zip(CUSTOMER_FIELDS, fields)])
 
 
-def customer_reason(name: Column, guess: Column, confidence: Column, basis: Column) -> Column:
-    found = fill(
-        L.WHO_REASON_FOUND, basis=F.array_join(basis, "; "), guess=guess, confidence=confidence.cast("string")
+def customer_reason(who: str) -> Column:
+    """Why this sender, from the ``who``-prefixed columns of ``add_sender``."""
+    found = sql_fill(
+        L.WHO_REASON_FOUND, basis=f"array_join({who}basis, '; ')", guess=f"{who}best_guess", confidence=f"CAST({who}confidence AS STRING)"
     )
-    return F.when(name.isNotNull(), fill(L.WHO_REASON_STATED, value=name)).otherwise(
-        F.concat(
-            F.lit(L.WHO_REASON_CHECKED),
-            F.when(F.size(basis) > 0, found).otherwise(F.lit(L.WHO_REASON_NOTHING)),
-        )
+    return F.expr(
+        f"""CASE WHEN {who}name IS NOT NULL THEN {sql_fill(L.WHO_REASON_STATED, value=who + 'name')}
+        WHEN size({who}basis) > 0 THEN concat({sql_text(L.WHO_REASON_CHECKED)}, {found})
+        ELSE {sql_text(L.WHO_REASON_CHECKED + L.WHO_REASON_NOTHING)} END"""
     )
 
 

@@ -49,9 +49,14 @@ def cost_usd(usage: Column, model: Column, card: Card = RATE_CARD) -> Column:
     )
 
 
+def usd6(amount: Column) -> Column:
+    """Six places, half up.  The first rounding takes off the noise of binary fractions."""
+    return F.round(F.round(amount, 12), 6)
+
+
 def backfill_cost(usage: Column, model: Column, card: Card = RATE_CARD) -> Column:
     """The recorded cost, or the cost the recorded tokens imply (to six places)."""
-    return F.coalesce(usage["cost_usd"], F.round(cost_usd(usage, model, card), 6))
+    return F.coalesce(usage["cost_usd"], usd6(cost_usd(usage, model, card)))
 
 
 def merge_usage(first: Column, second: Column) -> Column:

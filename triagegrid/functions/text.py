@@ -34,13 +34,13 @@ def count_matches(text: Column, regex: str, any_case: bool = True) -> Column:
     return F.regexp_count(text, F.lit(pattern(regex, any_case)))
 
 
-def strip_ws(text: Column) -> Column:
-    """Remove all surrounding whitespace, not only blanks."""
-    return F.regexp_extract(text, r"(?Us)^[\s\x1c-\x1f]*+(.*[^\s\x1c-\x1f])", 1)
+# Surrounding whitespace of any kind, not only blanks; both are linear in the text.
+STRIP = r"(?Us)^[\s\x1c-\x1f]*+(.*[^\s\x1c-\x1f])"
+RIGHT_STRIP = r"(?Us)^(.*[^\s\x1c-\x1f])"
 
 
-def rstrip_ws(text: Column) -> Column:
-    return F.regexp_extract(text, r"(?Us)^(.*[^\s\x1c-\x1f])", 1)
+def strip_ws(text: Column) -> Column:
+    return F.regexp_extract(text, STRIP, 1)
 
 
 def blank(text: Column) -> Column:
@@ -61,14 +61,6 @@ def fill(template: str, **values: Column) -> Column:
     return F.concat(*parts)
 
 
-def listed(*pairs: tuple[Column, Column]) -> Column:
-    """An array holding each value whose condition is true, in order.
-
-    Built from ``concat`` so that it stays inside generated code (lambda functions do not).
-    """
-    return F.concat(*[F.when(cond, F.array(value)).otherwise(empty_strings()) for cond, value in pairs])
-
-
 def append_absent(base: Column, new: Column) -> Column:
     """Append the values of ``new`` that ``base`` lacks; duplicates already in ``base`` stay."""
     return F.concat(base, F.array_except(new, base))
@@ -80,3 +72,40 @@ def contains_all(have: Column, want: Column) -> Column:
 
 def sorted_join(values: Column, sep: str = ", ") -> Column:
     return F.array_join(F.sort_array(values), sep)
+
+
+# The helpers below write SQL text for ``F.expr``: where everything is a column of the frame at hand,
+# one parsed expression is far cheaper to build than dozens of column objects.
+
+
+def sql_text(value: str | None) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_list(values: list[str]) -> str:
+    return "array(" + ", ".join(sql_text(v) for v in values) + ")"
+
+
+def sql_fill(template: str, **values: str) -> str:
+    """Fill ``{name}`` slots (``{}`` is slot ``value``) of a fixed sentence with SQL expressions."""
+    parts, rest = [], template.replace("{}", "{value}")
+    while "{" in rest:
+        head, _, rest = rest.partition("{")
+        name, _, rest = rest.partition("}")
+        if head:
+            parts.append(sql_text(head))
+        parts.append(values[name])
+    if rest:
+        parts.append(sql_text(rest))
+    return f"concat({', '.join(parts)})"
+
+
+def sql_listed(pairs: list[tuple[str, str]], of: str = "string") -> str:
+    """An array of each value whose condition is true, in order.
+
+    Made of ``concat`` so that it stays inside generated code, which lambda functions do not.
+    """
+    empty = f"CAST(array() AS array<{of}>)"
+    return "concat(" + ", ".join(f"IF({cond}, array({value}), {empty})" for cond, value in pairs) + ")"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from triagegrid import lexicon as L
 from triagegrid.functions.labels import two_places
 from triagegrid.functions.ordinal import RANK, urgency_rank
-from triagegrid.functions.pricing import cost_usd, merge_usage
+from triagegrid.functions.pricing import cost_usd, merge_usage, usd6
 from triagegrid.functions.text import fill
 from triagegrid.operators.decide import decide
 from triagegrid.operators.routing import STANDARD
@@ -90,7 +90,7 @@ def cascade_by_draft(drafts: DataFrame, finals: DataFrame, threshold: float = ST
         draft_model=F.col("_d.model"),
         reread=reread,
         why=F.col("_d._verdict.why"),
-        draft_cost_usd=F.when(draft_cost != 0, F.round(draft_cost, 6)),
+        draft_cost_usd=F.when(draft_cost != 0, usd6(draft_cost)),
         draft_said=F.when(
             reread, F.struct(d["category"].alias("category"), d["urgency"].alias("urgency"), d["escalate"].alias("escalate"))
         ),
@@ -114,7 +114,7 @@ def cascade_by_draft(drafts: DataFrame, finals: DataFrame, threshold: float = ST
 
 
 def _priced(usage: Column, model: Column, by_reader: Column) -> Column:
-    return usage.withField("cost_usd", F.round(cost_usd(usage, model), 6)).withField("cost_usd_by_reader", F.round(by_reader, 6))
+    return usage.withField("cost_usd", usd6(cost_usd(usage, model))).withField("cost_usd_by_reader", usd6(by_reader))
 
 
 def _note(**given: Column) -> Column:

@@ -14,7 +14,7 @@ from triagegrid import lexicon as L
 from triagegrid.functions import keywords as K
 from triagegrid.functions.guardrails import SETTLED, add_guardrail_matches, add_guardrails, rule_fired
 from triagegrid.functions.labels import decision_id
-from triagegrid.functions.pricing import Card, cost_usd
+from triagegrid.functions.pricing import Card, cost_usd, usd6
 from triagegrid.functions.text import count_matches, empty_strings
 from triagegrid.operators.routing import STANDARD, RoutingTable, escalation_queue_for, queue_for
 from triagegrid.schema import EXTRACTION, USAGE
@@ -45,7 +45,7 @@ def add_keyword_reading(df: DataFrame, text: str = "text", prefix: str = "base_"
     category, urgency, signals = F.col("_k_cat")["category"], F.col("_k_urg")["urgency"], F.col("_k_urg")["signals"]
     reading = {
         "customer": F.struct(*[value.alias(name) for name, value in who.items()]),
-        "customer_reason": K.customer_reason(who["name"], who["best_guess"], who["confidence"], who["basis"]),
+        "customer_reason": K.customer_reason("_k_"),
         "category": category,
         "category_confidence": F.col("_k_cat")["confidence"],
         "category_reason": K.category_reason(category),
@@ -178,7 +178,7 @@ def decide(
     final = {name: F.col("_f_" + name) for name in SETTLED}
     usage = F.col("usage")
     if answers is not None:
-        priced = F.round(cost_usd(usage, F.col("model"), *([card] if card else [])), 6)
+        priced = usd6(cost_usd(usage, F.col("model"), *([card] if card else [])))
         usage = F.when(usage.isNotNull(), usage.withField("cost_usd", F.when(chosen, priced)))
     created = F.coalesce(F.col("received_at"), moment) if "received_at" in has else moment
     seed = [F.col("source"), F.col("external_id"), F.col("text"), *[F.col(c) for c in ("ordinal", "ticket_key") if c in has], created]
