@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from triagegrid import lexicon as L
 from triagegrid.functions import keywords as K
-from triagegrid.functions.guardrails import SETTLED, add_guardrail_matches, add_guardrails, rule_fired
+from triagegrid.functions.guardrails import ACTIVE, MATCHES, SETTLED, add_guardrail_matches, add_guardrails, rule_fired
 from triagegrid.functions.labels import decision_id
 from triagegrid.functions.pricing import Card, cost_usd, usd6
 from triagegrid.functions.text import count_matches, empty_strings
@@ -20,34 +20,59 @@ from triagegrid.operators.routing import STANDARD, RoutingTable, escalation_queu
 from triagegrid.schema import EXTRACTION, USAGE
 
 
-def add_keyword_reading(df: DataFrame, text: str = "text", prefix: str = "base_", own_names: Sequence[str] = ()) -> DataFrame:
-    """Add the keyword reading, one ``prefix``-ed column per EXTRACTION field.
+def hold(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Compute ``columns`` here and nowhere above.
 
-    ``df`` holds the columns of ``add_guardrail_matches``.  Rows whose text is null are skipped.
+    A filter placed above a projection is pushed below it with the column's definition copied in, and
+    through several projections the copies multiply: filtering decisions by queue would run every
+    pattern again, many times per row.  A filter on a generated column is not pushed, while filters
+    on the ticket's own columns still pass through to the scan.
+    """
+    rest = [c for c in df.columns if c not in set(columns)]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
+CORE = ["category", "category_confidence", "urgency", "urgency_signals"]
+
+
+def add_keyword_core(df: DataFrame, text: str = "text", prefix: str = "_k_") -> DataFrame:
+    """Add the keyword category and urgency, with the guardrail matches they rest on, held.
+
+    Rows whose ``text`` is null get their guardrail matches only.
     """
     t = F.col(text)
-    keep = [F.col(c) for c in df.columns]
+    keep = df.columns
     security, legal = rule_fired(L.INCIDENT_REASONS), rule_fired(L.LEGAL_REASONS)
     # Counts are taken only where the earlier, cheaper answers leave the category open.
-    df = df.select(*keep, F.when(~security, count_matches(t, L.SPAM)).alias("_k_spam"))
-    undecided = ~security & ~legal & (F.col("_k_spam") < 2)
+    df = df.select(*keep, F.when(~security, count_matches(t, L.SPAM)).alias("_n_spam"))
+    undecided = ~security & ~legal & (F.col("_n_spam") < 2)
     df = df.select(
         *keep,
-        F.col("_k_spam"),
-        F.when(undecided, count_matches(t, L.BUG)).alias("_k_bug"),
-        F.when(undecided, count_matches(t, L.BILLING)).alias("_k_billing"),
+        "_n_spam",
+        F.when(undecided, count_matches(t, L.BUG)).alias("_n_bug"),
+        F.when(undecided, count_matches(t, L.BILLING)).alias("_n_billing"),
     )
-    found = K.category_of(security, legal, F.col("_k_spam"), F.col("_k_bug"), F.col("_k_billing"), t)
-    df = df.select(*keep, found.alias("_k_cat"))
-    df = df.select(*keep, "_k_cat", K.keyword_urgency(t, F.col("_k_cat")["category"]).alias("_k_urg"))
-    df = K.add_sender(df, text, "_k_", own_names)
-    who = {name: F.col("_k_" + name) for name in K.CUSTOMER_FIELDS}
-    category, urgency, signals = F.col("_k_cat")["category"], F.col("_k_urg")["urgency"], F.col("_k_urg")["signals"]
+    found = K.category_of(security, legal, F.col("_n_spam"), F.col("_n_bug"), F.col("_n_billing"), t)
+    df = df.select(*keep, found.alias("_cat"))
+    df = df.select(*keep, "_cat", K.keyword_urgency(t, F.col("_cat")["category"]).alias("_urg"))
+    core = ["_cat.category", "_cat.confidence", "_urg.urgency", "_urg.signals"]
+    df = df.select(*keep, *[F.col(path).alias(prefix + name) for path, name in zip(core, CORE)])
+    return hold(df, [*MATCHES, ACTIVE, *[prefix + name for name in CORE]])
+
+
+def add_keyword_reading(df: DataFrame, text: str = "text", prefix: str = "base_", own_names: Sequence[str] = ()) -> DataFrame:
+    """Add the keyword reading, one ``prefix``-ed column per EXTRACTION field.
+
+    ``df`` holds the columns of ``add_guardrail_matches``.  Rows whose text is null are skipped.
+    """
+    keep = [F.col(c) for c in df.columns]
+    df = K.add_sender(add_keyword_core(df, text, "_k_"), text, "_k_", own_names)
+    category, urgency, signals = F.col("_k_category"), F.col("_k_urgency"), F.col("_k_urgency_signals")
     reading = {
-        "customer": F.struct(*[value.alias(name) for name, value in who.items()]),
+        "customer": F.struct(*[F.col("_k_" + name).alias(name) for name in K.CUSTOMER_FIELDS]),
         "customer_reason": K.customer_reason("_k_"),
         "category": category,
-        "category_confidence": F.col("_k_cat")["confidence"],
+        "category_confidence": F.col("_k_category_confidence"),
         "category_reason": K.category_reason(category),
         "category_alternatives": _no_alternatives(),
         "urgency": urgency,
@@ -56,7 +81,7 @@ def add_keyword_reading(df: DataFrame, text: str = "text", prefix: str = "base_"
         "escalate": F.lit(False),
         "escalation_reasons": empty_strings(),
         "escalation_reason_text": F.lit(L.ESCALATION_REASON_TEXT),
-        "summary": K.summary_line(t),
+        "summary": K.summary_line(F.col(text)),
         "rationale": K.rationale(category, urgency),
     }
     return df.select(*keep, *[reading[f.name].alias(prefix + f.name) for f in EXTRACTION])
@@ -135,7 +160,7 @@ def decide(
 ) -> DataFrame:
     """Decide every ticket.  Returns rows of the DECISION schema.
 
-    ``tickets`` has text, source and external_id, and may have: ``id`` (else derived from the row),
+    ``tickets`` has text, source and external_id, and may have: ``decision_id`` or ``id`` (else derived from the row),
     ``received_at`` (else ``now``), ``ordinal`` (tells apart equal tickets without external_id) and
     ``ticket_key`` (joins ``answers``).  Without answers every ticket is read by keywords.
     """
@@ -163,12 +188,12 @@ def decide(
         df = add_keyword_reading(df, "_unread", "_b_", own_names)
     else:
         plain = df.columns
-        df = add_keyword_reading(df, "_unread", "_k_", own_names)
+        df = add_keyword_reading(df, "_unread", "_q_", own_names)
         df = df.select(
             *plain,
             *[
                 F.when(chosen, F.coalesce(F.col("answer")[f.name], _no_alternatives()) if f.name == "category_alternatives" else F.col("answer")[f.name])
-                .otherwise(F.col("_k_" + f.name))
+                .otherwise(F.col("_q_" + f.name))
                 .alias("_b_" + f.name)
                 for f in EXTRACTION
             ],
@@ -182,8 +207,9 @@ def decide(
         usage = F.when(usage.isNotNull(), usage.withField("cost_usd", F.when(chosen, priced)))
     created = F.coalesce(F.col("received_at"), moment) if "received_at" in has else moment
     seed = [F.col("source"), F.col("external_id"), F.col("text"), *[F.col(c) for c in ("ordinal", "ticket_key") if c in has], created]
+    given = next((c for c in ("decision_id", "id") if c in has), None)
     return df.select(
-        (F.col("id").cast("string") if "id" in has else decision_id(*seed)).alias("id"),
+        (F.col(given).cast("string") if given else decision_id(*seed)).alias("id"),
         created.alias("created_at"),
         F.struct("text", "source", "external_id").alias("ticket"),
         "mode",

@@ -945,10 +945,10 @@ def urgency_order(spark, sf):
     return e.select("id", ordinal.urgency_rank(F.col("a")).alias("rank_a"), ordinal.max_urgency(F.col("a"), F.col("b")).alias("higher"))
 
 
-@query(_A + f" SELECT akey AS id, round({O.cost_sql('a_model', 'tin', 'tcached', 'tout')}, 8) AS cost_usd, {O.usd6_sql(O.micro_sql('a_model', 'tin', 'tcached', 'tout'))} AS backfilled FROM ans")
+@query(_A + f" SELECT akey AS id, round({O.cost_sql('a_model', 'tin', 'tcached', 'tout')}, 10) AS cost_usd, {O.usd6_sql(O.micro_sql('a_model', 'tin', 'tcached', 'tout'))} AS backfilled FROM ans")
 def cost_usd(spark, sf):
     u, m = F.col("usage"), F.col("model")
-    return D.answers(spark, sf).select(F.col("ticket_key").alias("id"), r(pricing.cost_usd(u, m), 8).alias("cost_usd"), pricing.backfill_cost(u, m).alias("backfilled"))
+    return D.answers(spark, sf).select(F.col("ticket_key").alias("id"), r(pricing.cost_usd(u, m), 10).alias("cost_usd"), pricing.backfill_cost(u, m).alias("backfilled"))
 
 
 @query(f"{_A}, {_FINALS} SELECT akey AS id, tin + f_in AS input_tokens, tout + f_out AS output_tokens, tcached + f_cached AS cached_tokens FROM ans JOIN fin ON akey = fkey")
@@ -989,12 +989,14 @@ def utc_iso_millis(spark, sf):
 
 def _stream_folder(spark, sf, name: str) -> str:
     path = scratch_path(spark, name)
-    D.order_tickets(spark, sf).write.json(path)
+    D.order_tickets(spark, sf).withColumnRenamed("id", "decision_id").write.json(path)
     return path
 
 
 def _stream(spark, sf, name: str) -> DataFrame:
-    return intake.stream_decide(intake.stream_tickets(spark, _stream_folder(spark, sf, name)))
+    return intake.stream_decide(
+        intake.stream_tickets(spark, _stream_folder(spark, sf, name), schema=intake.TICKET_LINE + ", decision_id string")
+    )
 
 
 @query(O.RULES_ORDERS + " SELECT id, source, external_id, cat AS category, urg AS urgency, esc AS escalate, queue FROM d")
