@@ -20,13 +20,15 @@ MATCHES = [f"_g_{i}" for i in range(len(L.GUARDRAILS))]
 ACTIVE = "_g_active"
 
 
-def add_guardrail_matches(df: DataFrame, text: str = "text") -> DataFrame:
-    """First match of each rule (``''`` for none), and the active-incident cue where it can matter."""
+def add_guardrail_matches(df: DataFrame, text: str = "text", low: str | None = None) -> DataFrame:
+    """First match of each rule (``''`` for none), and the active-incident cue where it can matter.
+
+    ``low`` names the folded text when the frame has it.
+    """
     t = F.col(text)
-    df = df.select("*", *[first_match(t, regex).alias(m) for m, (_, _, _, regex) in zip(MATCHES, L.GUARDRAILS)])
-    return df.select(
-        "*", F.when(rule_fired(L.INCIDENT_REASONS), first_match(t, L.ACTIVE_INCIDENT)).otherwise(F.lit("")).alias(ACTIVE)
-    )
+    df = df.select("*", *[first_match(t, regex, low=low).alias(m) for m, (_, _, _, regex) in zip(MATCHES, L.GUARDRAILS)])
+    active = first_match(t, L.ACTIVE_INCIDENT, low=low)
+    return df.select("*", F.when(rule_fired(L.INCIDENT_REASONS), active).otherwise(F.lit("")).alias(ACTIVE))
 
 
 def rule_fired(reasons: list[str]) -> Column:

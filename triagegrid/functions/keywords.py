@@ -27,16 +27,18 @@ from triagegrid.functions.text import (
 )
 
 
-def any_rule(text: Column, reasons: Sequence[str]) -> Column:
+def any_rule(text: Column, reasons: Sequence[str], low: str | None = None) -> Column:
     """Does a guardrail rule with one of these reasons match?"""
     hit = F.lit(False)
     for _, reason, _, regex in L.GUARDRAILS:
         if reason in reasons:
-            hit = hit | has_match(text, regex)
+            hit = hit | has_match(text, regex, low=low)
     return hit
 
 
-def category_of(security: Column, legal: Column, spam_n: Column, bug_n: Column, billing_n: Column, text: Column) -> Column:
+def category_of(
+    security: Column, legal: Column, spam_n: Column, bug_n: Column, billing_n: Column, text: Column, low: str | None = None
+) -> Column:
     """Category and confidence from match counts; the first line that holds wins."""
 
     def said(category: str, confidence: Column | float) -> Column:
@@ -50,25 +52,26 @@ def category_of(security: Column, legal: Column, spam_n: Column, bug_n: Column,
         .when(legal, said("legal_contract", L.CONF_LEGAL))
         .when(billing_n > bug_n, said("billing", clear))
         .when(bug_n > 0, said("bug", clear))
-        .when(has_match(text, L.ONBOARDING), said("onboarding", L.CONF_ONBOARDING))
-        .when(has_match(text, L.FEATURE), said("feature_request", L.CONF_FEATURE))
+        .when(has_match(text, L.ONBOARDING, low=low), said("onboarding", L.CONF_ONBOARDING))
+        .when(has_match(text, L.FEATURE, low=low), said("feature_request", L.CONF_FEATURE))
         .otherwise(said("other", L.CONF_OTHER))
     )
 
 
-def keyword_category(text: Column) -> Column:
+def keyword_category(text: Column, low: str | None = None) -> Column:
     """struct<category, confidence>, in one expression."""
     return category_of(
-        any_rule(text, L.INCIDENT_REASONS),
-        any_rule(text, L.LEGAL_REASONS),
-        count_matches(text, L.SPAM),
-        count_matches(text, L.BUG),
-        count_matches(text, L.BILLING),
+        any_rule(text, L.INCIDENT_REASONS, low),
+        any_rule(text, L.LEGAL_REASONS, low),
+        count_matches(text, L.SPAM, low=low),
+        count_matches(text, L.BUG, low=low),
+        count_matches(text, L.BILLING, low=low),
         text,
+        low,
     )
 
 
-def keyword_urgency(text: Column, category: Column) -> Column:
+def keyword_urgency(text: Column, category: Column, low: str | None = None) -> Column:
     """struct<urgency, signals>; the first line that holds wins."""
 
     def said(urgency: str, signals: Column) -> Column:
@@ -79,23 +82,23 @@ def keyword_urgency(text: Column, category: Column) -> Column:
 
     return (
         F.when(category == "spam", said("low", empty_strings()))
-        .when(has_match(text, L.WIDESPREAD_MONEY), said("critical", F.array(F.lit(L.SIGNAL_WIDESPREAD))))
-        .when((category == "bug") & has_match(text, L.OUTAGE), said("critical", cue(L.OUTAGE)))
-        .when(has_match(text, L.LOW_PRIORITY), said("low", cue(L.LOW_PRIORITY)))
-        .when(has_match(text, L.DEADLINE), said("high", cue(L.DEADLINE)))
-        .when(has_match(text, L.MONEY), said("medium", cue(L.MONEY)))
+        .when(has_match(text, L.WIDESPREAD_MONEY, low=low), said("critical", F.array(F.lit(L.SIGNAL_WIDESPREAD))))
+        .when((category == "bug") & has_match(text, L.OUTAGE, low=low), said("critical", cue(L.OUTAGE)))
+        .when(has_match(text, L.LOW_PRIORITY, low=low), said("low", cue(L.LOW_PRIORITY)))
+        .when(has_match(text, L.DEADLINE, low=low), said("high", cue(L.DEADLINE)))
+        .when(has_match(text, L.MONEY, low=low), said("medium", cue(L.MONEY)))
         .otherwise(said("medium", empty_strings()))
     )
 
 
-def identifiers(text: Column) -> Column:
+def identifiers(text: Column, low: str | None = None) -> Column:
     """Invoice and account numbers, ticket references, addresses and handles, in order of appearance."""
-    return all_matches(text, L.IDENTIFIER)
+    return all_matches(text, L.IDENTIFIER, low=low)
 
 
-def email_domain(text: Column) -> Column:
+def email_domain(text: Column, low: str | None = None) -> Column:
     """Domain of the first address as written, or ``''``."""
-    return first_match(text, L.EMAIL_DOMAIN, group=1)
+    return first_match(text, L.EMAIL_DOMAIN, group=1, low=low)
 
 
 def is_free_mail(domain: Column) -> Column:
@@ -115,7 +118,9 @@ def _not_listed(name: Column, own_names: Sequence[str]) -> Column:
 CUSTOMER_FIELDS = ["name", "contact_name", "identifiers", "best_guess", "confidence", "basis"]
 
 
-def add_sender(df: DataFrame, text: str = "text", prefix: str = "sender_", own_names: Sequence[str] = ()) -> DataFrame:
+def add_sender(
+    df: DataFrame, text: str = "text", prefix: str = "sender_", own_names: Sequence[str] = (), low: str | None = None
+) -> DataFrame:
     """Add one column per CUSTOMER field: what the text states, else a scored guess with its basis.
 
     Only the first company mention counts; a listed non-company there is not followed by a second
@@ -128,7 +133,7 @@ def add_sender(df: DataFrame, text: str = "text", prefix: str = "sender_", own_n
         return F.col(f"_w_{name}")
 
     df = df.select(*keep, first_match(t, L.COMPANY, any_case=False, group=1).alias("_w_company"))
-    df = df.select(*keep, F.when(_not_listed(c("company"), own_names), c("company")).alias("_w_stated"), identifiers(t).alias("_w_ids"))
+    df = df.select(*keep, F.when(_not_listed(c("company"), own_names), c("company")).alias("_w_stated"), identifiers(t, low).alias("_w_ids"))
     # The sign-off line is looked for only when no company is stated, the weaker cues only when
     # neither was found.
     sign = F.when(c("stated").isNull(), first_match(strip_ws(t), L.SIGNATURE, any_case=False))
@@ -153,10 +158,10 @@ def add_sender(df: DataFrame, text: str = "text", prefix: str = "sender_", own_n
         c("name"),
         c("contact"),
         c("ids"),
-        F.coalesce(email_domain(unnamed), F.lit("")).alias("_w_domain"),
-        F.coalesce(first_match(unnamed, L.ENTERPRISE), F.lit("")).alias("_w_enterprise"),
-        F.coalesce(first_match(unnamed, L.SCALE), F.lit("")).alias("_w_scale"),
-        F.coalesce(first_match(unnamed, L.PLAN), F.lit("")).alias("_w_plan"),
+        F.coalesce(email_domain(unnamed, low), F.lit("")).alias("_w_domain"),
+        F.coalesce(first_match(unnamed, L.ENTERPRISE, low=low), F.lit("")).alias("_w_enterprise"),
+        F.coalesce(first_match(unnamed, L.SCALE, low=low), F.lit("")).alias("_w_scale"),
+        F.coalesce(first_match(unnamed, L.PLAN, low=low), F.lit("")).alias("_w_plan"),
     )
 
     named = "_w_name IS NOT NULL"

@@ -1,9 +1,11 @@
 """Text building blocks: pattern matching with the flags the lexicon assumes, and whitespace."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from triagegrid.lexicon import PIECES
+
 # Word characters, boundaries and whitespace follow Unicode; "." stops only at a line feed.
 _FLAGS = "(?Ud)"
 _FLAGS_ANY_CASE = "(?iUd)"
@@ -17,21 +19,42 @@ def pattern(text: str, any_case: bool = True) -> str:
     return (_FLAGS_ANY_CASE if any_case else _FLAGS) + text
 
 
-def first_match(text: Column, regex: str, any_case: bool = True, group: int = 0) -> Column:
-    """The first match, or ``''`` when there is none (no lexicon pattern can match empty text)."""
-    return F.regexp_extract(text, pattern(regex, any_case), group)
+def add_folded(df: DataFrame, text: str = "text", out: str = "_low") -> DataFrame:
+    """Add the lower-cased text that the cheap look for pieces runs on.
+
+    Three letters fold to ASCII when case is ignored but not when lower-cased.
+    """
+    odd = " OR ".join(f"contains({text}, '{c}')" for c in "ſİı")
+    return df.select("*", F.expr(f"lower(IF({odd}, translate({text}, 'ſİı', 'sii'), {text}))").alias(out))
+
+
+def may_match(low: str, regex: str) -> Column:
+    """False only where the pattern cannot match the text ``low`` was folded from."""
+    return F.expr(" OR ".join(f"contains({low}, {sql_text(piece)})" for piece in PIECES[regex]))
+
+
+def first_match(text: Column, regex: str, any_case: bool = True, group: int = 0, low: str | None = None) -> Column:
+    """The first match, or ``''`` when there is none (no lexicon pattern can match empty text).
+
+    With ``low``, the name of the folded text, the pattern runs only where it may match.
+    """
+    found = F.regexp_extract(text, pattern(regex, any_case), group)
+    return F.when(may_match(low, regex), found).otherwise(F.lit("")) if low else found
 
 
-def has_match(text: Column, regex: str, any_case: bool = True) -> Column:
-    return F.rlike(text, F.lit(pattern(regex, any_case)))
+def has_match(text: Column, regex: str, any_case: bool = True, low: str | None = None) -> Column:
+    found = F.rlike(text, F.lit(pattern(regex, any_case)))
+    return may_match(low, regex) & found if low else found
 
 
-def all_matches(text: Column, regex: str, any_case: bool = True, group: int = 1) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern(regex, any_case)), F.lit(group))
+def all_matches(text: Column, regex: str, any_case: bool = True, group: int = 1, low: str | None = None) -> Column:
+    found = F.regexp_extract_all(text, F.lit(pattern(regex, any_case)), F.lit(group))
+    return F.when(may_match(low, regex), found).otherwise(empty_strings()) if low else found
 
 
-def count_matches(text: Column, regex: str, any_case: bool = True) -> Column:
-    return F.regexp_count(text, F.lit(pattern(regex, any_case)))
+def count_matches(text: Column, regex: str, any_case: bool = True, low: str | None = None) -> Column:
+    found = F.regexp_count(text, F.lit(pattern(regex, any_case)))
+    return F.when(may_match(low, regex), found).otherwise(F.lit(0)) if low else found
 
 
 # Surrounding whitespace of any kind, not only blanks; both are linear in the text.

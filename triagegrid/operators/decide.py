@@ -15,9 +15,10 @@ from triagegrid.functions import keywords as K
 from triagegrid.functions.guardrails import ACTIVE, MATCHES, SETTLED, add_guardrail_matches, add_guardrails, rule_fired
 from triagegrid.functions.labels import decision_id
 from triagegrid.functions.pricing import Card, cost_usd, usd6
-from triagegrid.functions.text import count_matches, empty_strings
+from triagegrid.functions.text import add_folded, count_matches, empty_strings
 from triagegrid.operators.routing import STANDARD, RoutingTable, escalation_queue_for, queue_for
 from triagegrid.schema import EXTRACTION, USAGE
+from triagegrid.session import spread_small
 
 
 def hold(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -35,7 +36,7 @@ def hold(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 CORE = ["category", "category_confidence", "urgency", "urgency_signals"]
 
 
-def add_keyword_core(df: DataFrame, text: str = "text", prefix: str = "_k_") -> DataFrame:
+def add_keyword_core(df: DataFrame, text: str = "text", prefix: str = "_k_", low: str | None = None) -> DataFrame:
     """Add the keyword category and urgency, with the guardrail matches they rest on, held.
 
     Rows whose ``text`` is null get their guardrail matches only.
@@ -44,29 +45,31 @@ def add_keyword_core(df: DataFrame, text: str = "text", prefix: str = "_k_") ->
     keep = df.columns
     security, legal = rule_fired(L.INCIDENT_REASONS), rule_fired(L.LEGAL_REASONS)
     # Counts are taken only where the earlier, cheaper answers leave the category open.
-    df = df.select(*keep, F.when(~security, count_matches(t, L.SPAM)).alias("_n_spam"))
+    df = df.select(*keep, F.when(~security, count_matches(t, L.SPAM, low=low)).alias("_n_spam"))
     undecided = ~security & ~legal & (F.col("_n_spam") < 2)
     df = df.select(
         *keep,
         "_n_spam",
-        F.when(undecided, count_matches(t, L.BUG)).alias("_n_bug"),
-        F.when(undecided, count_matches(t, L.BILLING)).alias("_n_billing"),
+        F.when(undecided, count_matches(t, L.BUG, low=low)).alias("_n_bug"),
+        F.when(undecided, count_matches(t, L.BILLING, low=low)).alias("_n_billing"),
     )
-    found = K.category_of(security, legal, F.col("_n_spam"), F.col("_n_bug"), F.col("_n_billing"), t)
+    found = K.category_of(security, legal, F.col("_n_spam"), F.col("_n_bug"), F.col("_n_billing"), t, low)
     df = df.select(*keep, found.alias("_cat"))
-    df = df.select(*keep, "_cat", K.keyword_urgency(t, F.col("_cat")["category"]).alias("_urg"))
+    df = df.select(*keep, "_cat", K.keyword_urgency(t, F.col("_cat")["category"], low).alias("_urg"))
     core = ["_cat.category", "_cat.confidence", "_urg.urgency", "_urg.signals"]
     df = df.select(*keep, *[F.col(path).alias(prefix + name) for path, name in zip(core, CORE)])
     return hold(df, [*MATCHES, ACTIVE, *[prefix + name for name in CORE]])
 
 
-def add_keyword_reading(df: DataFrame, text: str = "text", prefix: str = "base_", own_names: Sequence[str] = ()) -> DataFrame:
+def add_keyword_reading(
+    df: DataFrame, text: str = "text", prefix: str = "base_", own_names: Sequence[str] = (), low: str | None = None
+) -> DataFrame:
     """Add the keyword reading, one ``prefix``-ed column per EXTRACTION field.
 
     ``df`` holds the columns of ``add_guardrail_matches``.  Rows whose text is null are skipped.
     """
     keep = [F.col(c) for c in df.columns]
-    df = K.add_sender(add_keyword_core(df, text, "_k_"), text, "_k_", own_names)
+    df = K.add_sender(add_keyword_core(df, text, "_k_", low), text, "_k_", own_names, low)
     category, urgency, signals = F.col("_k_category"), F.col("_k_urgency"), F.col("_k_urgency_signals")
     reading = {
         "customer": F.struct(*[F.col("_k_" + name).alias(name) for name in K.CUSTOMER_FIELDS]),
@@ -182,13 +185,13 @@ def decide(
     else:
         df = resolve_answers(df, answers)
         unread = F.when(F.col("mode") != L.MODE_MODEL, F.col("text"))
-    df = add_guardrail_matches(df.withColumn("_unread", unread))
+    df = add_guardrail_matches(add_folded(spread_small(df).withColumn("_unread", unread)), low="_low")
     chosen = F.col("mode") == L.MODE_MODEL
     if answers is None:
-        df = add_keyword_reading(df, "_unread", "_b_", own_names)
+        df = add_keyword_reading(df, "_unread", "_b_", own_names, "_low")
     else:
         plain = df.columns
-        df = add_keyword_reading(df, "_unread", "_q_", own_names)
+        df = add_keyword_reading(df, "_unread", "_q_", own_names, "_low")
         df = df.select(
             *plain,
             *[

@@ -15,7 +15,7 @@ from triagegrid.operators.classify import classify_with
 from triagegrid.operators.decide import decide, resolve_answers, validate_answers
 from triagegrid.plans import derived as D
 from triagegrid.plans import oracle as O
-from triagegrid.session import scratch_path
+from triagegrid.session import scratch_path, spread_small
 from triagegrid.sources import decisions as S
 from triagegrid.sources import labelled, tickets
 from triagegrid.streaming import intake
@@ -64,6 +64,10 @@ def scores(spark: SparkSession, sf: str, model: bool = True) -> DataFrame:
     return scoring.score(D.gold(spark, sf), (read_by_model if model else read_by_keywords)(spark, sf))
 
 
+def folded_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return text.add_folded(spread_small(D.document_tickets(spark, sf)))
+
+
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Store a shared input once, so that operators reading it twice do not classify twice."""
     path = scratch_path(spark, name)
@@ -878,28 +882,28 @@ def expand_runs(spark, sf):
 
 @query(O.RULES_DOCUMENTS + " SELECT id, k_cat AS category, k_conf AS confidence FROM kw")
 def keyword_category(spark, sf):
-    t = D.document_tickets(spark, sf)
-    return t.select("id", K.keyword_category(F.col("text")).alias("k")).select("id", "k.*")
+    t = folded_documents(spark, sf)
+    return t.select("id", K.keyword_category(F.col("text"), "_low").alias("k")).select("id", "k.*")
 
 
 @query(O.RULES_DOCUMENTS + " SELECT id, k_cat AS category, k_urg AS urgency, array_to_string(k_sig, '|') AS signals FROM kw")
 def keyword_urgency(spark, sf):
-    t = D.document_tickets(spark, sf).select("id", "text", K.keyword_category(F.col("text"))["category"].alias("category"))
-    return t.select("id", "category", K.keyword_urgency(F.col("text"), F.col("category")).alias("u")).select(
+    t = folded_documents(spark, sf).select("id", "text", "_low", K.keyword_category(F.col("text"), "_low")["category"].alias("category"))
+    return t.select("id", "category", K.keyword_urgency(F.col("text"), F.col("category"), "_low").alias("u")).select(
         "id", "category", "u.urgency", join(F.col("u.signals")).alias("signals")
     )
 
 
 @query(O.RULES_DOCUMENTS + " SELECT id, who AS name, contact AS contact_name, array_to_string(ids, '|') AS identifiers, guess AS best_guess, who_conf AS confidence, array_to_string(basis, '|') AS basis FROM kw")
 def sender(spark, sf):
-    s = K.add_sender(D.document_tickets(spark, sf), "text", "")
+    s = K.add_sender(folded_documents(spark, sf), "text", "", low="_low")
     return s.select("id", "name", "contact_name", join(F.col("identifiers")).alias("identifiers"), "best_guess", "confidence", join(F.col("basis")).alias("basis"))
 
 
 @query(O.RULES_DOCUMENTS + f" SELECT id, array_to_string(ids, '|') AS identifiers, dom AS domain, lower(dom) IN ({', '.join(O.q(m) for m in L.FREE_MAIL)}) AS free_mail, summary FROM kw")
 def text_fields(spark, sf):
     t = F.col("text")
-    rows = D.document_tickets(spark, sf).select("id", join(K.identifiers(t)).alias("identifiers"), K.email_domain(t).alias("domain"), K.summary_line(t).alias("summary"))
+    rows = folded_documents(spark, sf).select("id", join(K.identifiers(t, "_low")).alias("identifiers"), K.email_domain(t, "_low").alias("domain"), K.summary_line(t).alias("summary"))
     return rows.select("id", "identifiers", "domain", K.is_free_mail(F.col("domain")).alias("free_mail"), "summary")
 
 
@@ -915,7 +919,7 @@ def reason_texts(spark, sf):
 
 @query(O.RULES_DOCUMENTS + " SELECT id, " + ", ".join(f"g{i} AS {L.GUARDRAILS[i][0].replace('.', '_')}" for i in range(len(L.GUARDRAILS))) + ", CASE WHEN g0 || g1 || g2 <> '' THEN act ELSE '' END AS active FROM m")
 def guardrail_matches(spark, sf):
-    m = add_guardrail_matches(D.document_tickets(spark, sf))
+    m = add_guardrail_matches(folded_documents(spark, sf), low="_low")
     return m.select("id", *[F.col(c).alias(rule[0].replace(".", "_")) for c, rule in zip(MATCHES, L.GUARDRAILS)], F.col(ACTIVE).alias("active"))
 
 

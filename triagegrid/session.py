@@ -52,3 +52,20 @@ def inline_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]
     """A small table of constants, planned inside the JVM."""
     structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
+SMALL_BYTES_PER_CORE = 64 * 1024 * 1024
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before CPU-heavy work.
+
+    A file of one row group is read by one task however many cores wait.  The planner's size estimate
+    decides: only an input below 64 MB per core is redistributed, so the shuffle is bounded; a large
+    one keeps its own splits.  Streams are left alone.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
