@@ -26,10 +26,26 @@ def classify_with(tickets: DataFrame, make_classifier: Callable[[], Classifier])
     bad ticket never fails a task.  Returns rows of the ANSWER schema.
     """
 
+    columns = ["ticket_key", "model", "extraction", "usage", "latency_ms", "error"]
+
+    # Everything a task needs is inside, so the function travels whole.
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classify = make_classifier()
+
+        def one(key: str, text: str) -> tuple:
+            started = time.perf_counter()
+            model = usage = body = error = None
+            try:
+                extraction, meta = classify(text)
+                meta = dict(meta)
+                model = meta.pop("model", None)
+                body, usage = json.dumps(extraction), json.dumps(meta)
+            except Exception as e:  # the user's classifier may raise anything
+                error = f"{type(e).__name__}: {e}"
+            return key, model, body, usage, int((time.perf_counter() - started) * 1000), error
+
         for batch in batches:
-            yield pd.DataFrame([_one(classify, key, text) for key, text in zip(batch["ticket_key"], batch["text"])], columns=_COLUMNS)
+            yield pd.DataFrame([one(key, text) for key, text in zip(batch["ticket_key"], batch["text"])], columns=columns)
 
     answered = tickets.select("ticket_key", "text").mapInPandas(
         run, "ticket_key string, model string, extraction string, usage string, latency_ms long, error string"
@@ -42,17 +58,3 @@ def classify_with(tickets: DataFrame, make_classifier: Callable[[], Classifier])
         "latency_ms",
         "error",
     )
-
-
-_COLUMNS = ["ticket_key", "model", "extraction", "usage", "latency_ms", "error"]
-
-
-def _one(classify: Classifier, key: str, text: str) -> tuple:
-    started = time.perf_counter()
-    try:
-        extraction, meta = classify(text)
-        meta = dict(meta)
-        model, usage, body, error = meta.pop("model", None), json.dumps(meta), json.dumps(extraction), None
-    except Exception as e:  # the user's classifier may raise anything
-        model, usage, body, error = None, None, None, f"{type(e).__name__}: {e}"
-    return key, model, body, usage, int((time.perf_counter() - started) * 1000), error

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from triagegrid import lexicon as L
 from triagegrid.operators.routing import escalation_queue_for, queue_for
+from triagegrid.operators.stability import expand_runs
 from triagegrid.schema import EXTRACTION, USAGE
+from triagegrid.session import spread_small
 
 OPENERS = [
     "Invoice #{n} was charged twice, please refund {amt}.",
@@ -230,9 +232,7 @@ def probe(spark: SparkSession, sf: str) -> DataFrame:
 
 def repeated_runs(spark: SparkSession, sf: str, runs: int = RUNS, first: int = 0) -> DataFrame:
     """Every order read ``runs`` times by a reader whose answers move a little (ticket_key, run, decision)."""
-    from triagegrid.operators.stability import expand_runs
-
-    o = expand_runs(_orders(spark, sf), runs).withColumn("run", F.col("run") + first)
+    o = expand_runs(spread_small(_orders(spark, sf)), runs).withColumn("run", F.col("run") + first)
     k = F.col("o_orderkey")
     o = o.withColumn("h", (k * 31 + F.col("run") * 17) % 10)
     h = F.col("h")

@@ -198,10 +198,10 @@ _FIRST = """ SELECT {} FROM (SELECT *, row_number() OVER (PARTITION BY source, e
 ORDER BY created_at, id) AS rn FROM {}) WHERE rn = 1"""
 
 
-@query(O.RULES_ORDERS + _FIRST.format("id, source, external_id, strftime(created_at, '%Y-%m-%d') AS created_date, cat AS category, urg AS urgency, CAST(esc AS INTEGER) AS escalate, queue, escalation_queue, length(text) AS chars", "d"))
+@query(O.RULES_ORDERS + _FIRST.format("id, source, external_id, strftime(created_at, '%Y-%m-01') AS created_date, cat AS category, urg AS urgency, CAST(esc AS INTEGER) AS escalate, queue, escalation_queue, length(text) AS chars", "d"))
 def write_decisions(spark, sf):
     path = scratch_path(spark, "ledger")
-    S.write_decisions(rules(spark, sf), path)
+    S.write_decisions(rules(spark, sf), path, period="month")
     return S.read_ledger(spark, path).select(
         "id", "source", "external_id", F.col("created_date").cast("string").alias("created_date"), "category", "urgency", "escalate", "queue",
         "escalation_queue", F.char_length("ticket_text").alias("chars"),
@@ -993,7 +993,7 @@ def utc_iso_millis(spark, sf):
 
 def _stream_folder(spark, sf, name: str) -> str:
     path = scratch_path(spark, name)
-    D.order_tickets(spark, sf).withColumnRenamed("id", "decision_id").write.json(path)
+    spread_small(D.order_tickets(spark, sf)).withColumnRenamed("id", "decision_id").write.json(path)
     return path
 
 
@@ -1031,17 +1031,18 @@ def stream_queue_depths(spark, sf):
     return spark.read.parquet(out)
 
 
-def _stub_classifier():
-    def classify(body: str):
-        if len(body) % 10 == 0:
-            raise ValueError("no parsed output")
-        return {"category": L.CATEGORIES[len(body) % 8], "urgency": "low", "escalate": False}, {"model": "stub", "input_tokens": len(body)}
-
-    return classify
-
-
 @query(f"""SELECT conv_id || '-' || turn AS id, CASE WHEN length(text) % 10 > 0 THEN ({O.lst(L.CATEGORIES)})[length(text) % 8 + 1] END AS category, CASE WHEN length(text) % 10 > 0 THEN 'stub' END AS model,
 CASE WHEN length(text) % 10 > 0 THEN length(text) END AS input_tokens, CASE WHEN length(text) % 10 = 0 THEN 'ValueError: no parsed output' END AS error FROM conversations""", name="classify_with")
 def classify_with_query(spark, sf):
-    a = classify_with(_turns(spark, sf).withColumnRenamed("id", "ticket_key"), _stub_classifier)
+    categories = list(L.CATEGORIES)
+
+    def make():
+        def classify(body: str):
+            if len(body) % 10 == 0:
+                raise ValueError("no parsed output")
+            return {"category": categories[len(body) % 8], "urgency": "low", "escalate": False}, {"model": "stub", "input_tokens": len(body)}
+
+        return classify
+
+    a = classify_with(_turns(spark, sf).withColumnRenamed("id", "ticket_key"), make)
     return a.select(F.col("ticket_key").alias("id"), F.col("extraction.category").alias("category"), "model", F.col("usage.input_tokens").alias("input_tokens"), "error")

@@ -49,11 +49,14 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_decisions(decisions: DataFrame, path: str, mode: str = "append") -> None:
-    """Append decisions as audit rows, one per key not yet in the ledger, partitioned by day.
+def write_decisions(decisions: DataFrame, path: str, mode: str = "append", period: str = "day") -> None:
+    """Append decisions as audit rows, one per key not yet in the ledger, partitioned by creation date.
+
+    ``period`` (day, month or year) sets how much one partition spans: a partition should hold at
+    least one good-sized file.
 
     One writer per ledger at a time.  Running the same input again adds nothing for rows with an
-    external_id.  ``rebalance`` sizes the files: small days share a task, and a day holding most of
+    external_id.  ``rebalance`` sizes the files: small dates share a task, and a date holding most of
     the rows (a replay restates all of them to now) is split over many.
     """
     rows = flatten_decision(decisions)
@@ -62,7 +65,7 @@ def write_decisions(decisions: DataFrame, path: str, mode: str = "append") -> No
         rows = insert_or_ignore(rows, read_ledger(spark, path).select(*rows.columns))
     else:
         rows = insert_or_ignore(rows, rows.limit(0))
-    dated = rows.withColumn(LEDGER_PARTITION, F.to_date("created_at")).hint("rebalance", LEDGER_PARTITION)
+    dated = rows.withColumn(LEDGER_PARTITION, F.to_date(F.date_trunc(period, "created_at"))).hint("rebalance", LEDGER_PARTITION)
     dated.write.mode(mode).partitionBy(LEDGER_PARTITION).parquet(path)
 
 
