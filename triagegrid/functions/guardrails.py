@@ -68,7 +68,8 @@ def add_guardrails(df: DataFrame, base: str = "base_", prefix: str = "final_") -
 
     # What each rule sees before it runs: two small columns per rule, read by every string below.
     levels = " ".join(f"WHEN {base}urgency = '{name}' THEN {rank}" for name, rank in RANK.items())
-    state = [f"{base}escalate AS _e_0", f"CASE {levels} END AS _u_0"]
+    any_fired = " OR ".join(f"{m} != ''" for m in MATCHES)
+    state = [f"({any_fired}) AS _fired", f"{base}escalate AS _e_0", f"CASE {levels} END AS _u_0"]
     esc, rank = f"{base}escalate", f"CASE {levels} END"
     floors = []
     for m, (_, reason, floor, _) in zip(MATCHES, L.GUARDRAILS):
@@ -116,14 +117,17 @@ def add_guardrails(df: DataFrame, base: str = "base_", prefix: str = "final_") -
     overrides.append((undo, sql_text(L.SUPPRESS_OVERRIDE)))
     reasons, signals = f"{base}escalation_reasons", f"{base}urgency_signals"
     told = f"IF({base}urgency_reason != '', regexp_extract({base}urgency_reason, {sql_text(RIGHT_STRIP)}, 1), NULL)"
+    # Most tickets fire no rule and lift nothing: they skip the lists.
+    lifted_any, touched = f"_u_{last} > _u_0", f"_fired OR ({undo})"
     settled = [
         f"_e_{last} AND NOT {off}",
-        f"IF({off}, CAST(array() AS array<string>), concat({reasons}, array_except({sql_listed(reasons_new)}, {reasons})))",
+        f"CASE WHEN {off} THEN CAST(array() AS array<string>) WHEN _fired THEN "
+        f"concat({reasons}, array_except({sql_listed(reasons_new)}, {reasons})) ELSE {reasons} END",
         f"IF({off}, 'low', {names}[_u_{last}])",
-        f"IF(_u_{last} > _u_0, concat_ws(' ', {told}, {', '.join(lifts)}), {base}urgency_reason)",
-        f"concat({signals}, array_except({sql_listed(cues)}, {signals}))",
-        sql_listed(hits, _HIT),
-        sql_listed(overrides),
+        f"IF({lifted_any}, concat_ws(' ', {told}, {', '.join(lifts)}), {base}urgency_reason)",
+        f"IF({lifted_any}, concat({signals}, array_except({sql_listed(cues)}, {signals})), {signals})",
+        f"IF({touched}, {sql_listed(hits, _HIT)}, CAST(array() AS array<{_HIT}>))",
+        f"IF({touched}, {sql_listed(overrides)}, CAST(array() AS array<string>))",
     ]
     return df.selectExpr(*keep, *[f"{value} AS {prefix}{name}" for name, value in zip(SETTLED, settled)])
 

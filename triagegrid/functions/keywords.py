@@ -136,7 +136,8 @@ def add_sender(
     df = df.select(*keep, F.when(_not_listed(c("company"), own_names), c("company")).alias("_w_stated"), identifiers(t, low).alias("_w_ids"))
     # The sign-off line is looked for only when no company is stated, the weaker cues only when
     # neither was found.
-    sign = F.when(c("stated").isNull(), first_match(strip_ws(t), L.SIGNATURE, any_case=False))
+    dashed = F.expr(f"contains({text}, ',') AND (contains({text}, '-') OR contains({text}, '—') OR contains({text}, '–'))")
+    sign = F.when(c("stated").isNull() & dashed, first_match(strip_ws(t), L.SIGNATURE, any_case=False))
     df = df.select(*keep, c("stated"), c("ids"), F.coalesce(sign, F.lit("")).alias("_w_sign"))
     df = df.select(
         *keep,
