@@ -1,0 +1 @@
+"""Ticket triage and its evaluation as Spark DataFrame operators."""
