@@ -31,6 +31,8 @@ def test_ledger_first_writer_wins_and_null_keys_stay(spark):
     assert {(r["submitted_id"], r["id"], r["discarded"]) for r in winners.collect()} == {
         ("b", "a", True), ("c", "d", True), ("d", "d", False), ("e", "e", False), ("m", "m", False), ("o", "o", False)
     }
+    # A hot key is settled by broadcast, with the same outcome.
+    assert {tuple(r) for r in ledger.authoritative(new, old, hot_rows=2).collect()} == {tuple(r) for r in winners.collect()}
     again, _ = ledger.record(new.where("external_id is not null"), after)
     assert again.count() == 6
     assert sorted(r["id"] for r in ledger.new_tickets(new, old).collect()) == ["c", "d", "e", "m", "o"]

@@ -78,24 +78,32 @@ def insert_or_ignore(new: DataFrame, ledger: DataFrame) -> DataFrame:
     return fresh.unionByName(loose)
 
 
-def authoritative(new: DataFrame, ledger: DataFrame) -> DataFrame:
+HOT_ROWS = 1_000_000
+
+
+def authoritative(new: DataFrame, ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """For each submitted decision, the decision that counts.
 
     Returns source, external_id, submitted_id, id (of the winner) and discarded.  Only ids and keys
-    are shuffled.  Winners are unique per key; a hot key among the submissions is split by the
-    adaptive skew join, because nothing above the join needs its partitioning.
+    are moved.  Winners are unique per key and come with the number of submissions they settle: keys
+    with ``hot_rows`` or more are at most |new| / hot_rows, so their winners are broadcast and their
+    submissions stay where they are; all other keys meet in a shuffle no key can overload.
     """
+    keyed = new.where(F.col("external_id").isNotNull())
     winners = (
         ledger.where(F.col("external_id").isNotNull())
         .select(*KEY, "created_at", "id", F.lit(0).alias("_turn"))
-        .unionByName(new.where(F.col("external_id").isNotNull()).select(*KEY, "created_at", "id", F.lit(1).alias("_turn")))
+        .unionByName(keyed.select(*KEY, "created_at", "id", F.lit(1).alias("_turn")))
         .groupBy(*KEY)
-        .agg(F.min_by("id", F.struct("_turn", "created_at", "id")).alias("_winner"))
+        .agg(F.min_by("id", F.struct("_turn", "created_at", "id")).alias("_winner"), F.sum("_turn").alias("_sent"))
     )
     sent = new.select(*KEY, F.col("id").alias("submitted_id"))
-    keyed = sent.where(F.col("external_id").isNotNull()).join(winners, KEY, "inner")
+    asked = sent.where(F.col("external_id").isNotNull())
+    hot = F.broadcast(winners.where(F.col("_sent") >= hot_rows).drop("_sent"))
+    cold = winners.where(F.col("_sent").between(1, hot_rows - 1)).drop("_sent")
+    settled = asked.join(hot, KEY).unionByName(asked.join(hot, KEY, "left_anti").join(cold, KEY))
     loose = sent.where(F.col("external_id").isNull()).select("*", F.col("submitted_id").alias("_winner"))
-    return keyed.unionByName(loose).select(
+    return settled.unionByName(loose).select(
         *KEY, "submitted_id", F.col("_winner").alias("id"), (F.col("_winner") != F.col("submitted_id")).alias("discarded")
     )
 
