@@ -470,14 +470,14 @@ def score(spark, sf):
     )
 
 
-_DIR = """count_if(gap < 0) AS urgency_under, count_if(gap > 0) AS urgency_over, round(count_if(gap < 0) / count(*), 6) AS urgency_under_rate, round(count_if(gap > 0) / count(*), 6) AS urgency_over_rate,
-count_if(gap < 0 AND NOT list_contains(amb, 'urgency')) AS urgency_hard_under, count_if(e_urg = 'critical' AND urg <> 'critical') = 0 AS urgency_never_under_critical"""
-_CAL = """count_if(banded) AS confidence_banded, round(count_if(banded AND floor_ok AND ceiling_ok) / greatest(1, count_if(banded)), 6) AS confidence_calibration,
-count_if(banded AND NOT ceiling_ok) AS overconfidence, count_if(banded AND NOT (floor_ok AND ceiling_ok)) AS confidence_misses"""
-_CARD = f"""count(*) AS n, count_if(e_esc) AS must_n, round(coalesce(count_if(e_esc AND esc) / nullif(count_if(e_esc), 0), 1.0), 6) AS escalation_recall, count_if(missed) AS missed_escalations,
-count_if(false_esc) AS false_escalations, round(coalesce(count_if(e_esc AND reasons_ok) / nullif(count_if(e_esc), 0), 1.0), 6) AS reasons_accuracy, round(count_if(category_ok) / count(*), 6) AS category_accuracy,
-round(count_if(cat = e_cat) / count(*), 6) AS category_strict, round(count_if(urgency_exact) / count(*), 6) AS urgency_exact, round(count_if(urgency_ok) / count(*), 6) AS urgency_accuracy,
-round(count_if(customer_ok) / count(*), 6) AS customer_accuracy, round(count_if(identifier_ok) / count(*), 6) AS identifier_accuracy, {_CAL}, bool_and(basis_given) AS basis_always_given, {_DIR}"""
+_DIR = """count(*) FILTER (WHERE gap < 0) AS urgency_under, count(*) FILTER (WHERE gap > 0) AS urgency_over, round(count(*) FILTER (WHERE gap < 0) / count(*), 6) AS urgency_under_rate, round(count(*) FILTER (WHERE gap > 0) / count(*), 6) AS urgency_over_rate,
+count(*) FILTER (WHERE gap < 0 AND NOT list_contains(amb, 'urgency')) AS urgency_hard_under, count(*) FILTER (WHERE e_urg = 'critical' AND urg <> 'critical') = 0 AS urgency_never_under_critical"""
+_CAL = """count(*) FILTER (WHERE banded) AS confidence_banded, round(count(*) FILTER (WHERE banded AND floor_ok AND ceiling_ok) / greatest(1, count(*) FILTER (WHERE banded)), 6) AS confidence_calibration,
+count(*) FILTER (WHERE banded AND NOT ceiling_ok) AS overconfidence, count(*) FILTER (WHERE banded AND NOT (floor_ok AND ceiling_ok)) AS confidence_misses"""
+_CARD = f"""count(*) AS n, count(*) FILTER (WHERE e_esc) AS must_n, round(coalesce(count(*) FILTER (WHERE e_esc AND esc) / nullif(count(*) FILTER (WHERE e_esc), 0), 1.0), 6) AS escalation_recall, count(*) FILTER (WHERE missed) AS missed_escalations,
+count(*) FILTER (WHERE false_esc) AS false_escalations, round(coalesce(count(*) FILTER (WHERE e_esc AND reasons_ok) / nullif(count(*) FILTER (WHERE e_esc), 0), 1.0), 6) AS reasons_accuracy, round(count(*) FILTER (WHERE category_ok) / count(*), 6) AS category_accuracy,
+round(count(*) FILTER (WHERE cat = e_cat) / count(*), 6) AS category_strict, round(count(*) FILTER (WHERE urgency_exact) / count(*), 6) AS urgency_exact, round(count(*) FILTER (WHERE urgency_ok) / count(*), 6) AS urgency_accuracy,
+round(count(*) FILTER (WHERE customer_ok) / count(*), 6) AS customer_accuracy, round(count(*) FILTER (WHERE identifier_ok) / count(*), 6) AS identifier_accuracy, {_CAL}, bool_and(basis_given) AS basis_always_given, {_DIR}"""
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
@@ -598,7 +598,7 @@ def cascade_by_draft(spark, sf):
     )
 
 
-@query(_CASC + """ SELECT count(*) AS n, count_if(reread) AS reread, round(count_if(reread) / count(*), 6) AS reread_share, count_if(changed) AS changed, round(sum(cost), 4) AS spend, round(sum(own), 4) AS spend_by_reader,
+@query(_CASC + """ SELECT count(*) AS n, count(*) FILTER (WHERE reread) AS reread, round(count(*) FILTER (WHERE reread) / count(*), 6) AS reread_share, count(*) FILTER (WHERE changed) AS changed, round(sum(cost), 4) AS spend, round(sum(own), 4) AS spend_by_reader,
 round(sum(f_cost), 4) AS base_spend, round(1 - sum(cost) / sum(f_cost), 6) AS saving, round(1 - sum(own) / sum(f_cost), 6) AS saving_by_reader, round(avg(cost), 6) AS mean_cost,
 round(avg(CASE WHEN reread THEN cost END), 6) AS mean_cost_reread FROM cc""")
 def cascade_report(spark, sf):
@@ -634,7 +634,7 @@ def agreement(spark, sf):
     return rounded(stability.agreement(D.repeated_runs(spark, sf)))
 
 
-@query(_AGREE + """ SELECT count(DISTINCT tk) AS tickets, count_if(field = 'category' AND c = runs) AS category_unanimous, count_if(field = 'escalate' AND c = runs) AS escalate_unanimous,
+@query(_AGREE + """ SELECT count(DISTINCT tk) AS tickets, count(*) FILTER (WHERE field = 'category' AND c = runs) AS category_unanimous, count(*) FILTER (WHERE field = 'escalate' AND c = runs) AS escalate_unanimous,
 (SELECT round(avg(sd), 6) FROM (SELECT CASE WHEN min(conf) = max(conf) THEN 0.0 ELSE stddev_samp(conf) END AS sd FROM rd GROUP BY tk)) AS mean_sd,
 (SELECT round(max(sd), 6) FROM (SELECT CASE WHEN min(conf) = max(conf) THEN 0.0 ELSE stddev_samp(conf) END AS sd FROM rd GROUP BY tk)) AS max_sd FROM top WHERE rn = 1""")
 def agreement_summary(spark, sf):
@@ -660,15 +660,15 @@ def consistency_numbers(spark, sf):
     return stability.consistency_numbers(D.repeated_runs(spark, sf))
 
 
-@query(f"WITH {O.RUNS} SELECT tk AS ticket_key, count(*) AS runs, count_if(mode <> 'llm') AS failed FROM rd GROUP BY tk")
+@query(f"WITH {O.RUNS} SELECT tk AS ticket_key, count(*) AS runs, count(*) FILTER (WHERE mode <> 'llm') AS failed FROM rd GROUP BY tk")
 def failed_reads(spark, sf):
     return stability.failed_reads(D.repeated_runs(spark, sf))
 
 
 @query(_AGREE + """, x AS (SELECT tk, 'category confidence' AS field, round(conf, 2) AS v FROM rd UNION ALL SELECT tk, 'who confidence', CASE WHEN name IS NULL THEN 0.4 ELSE 1.0 END::DOUBLE FROM rd),
 nm AS (SELECT tk, field, round(max(v) - min(v), 2) AS spread FROM x GROUP BY ALL)
-SELECT field, count(*) AS tickets, count_if(c < runs) AS changed, NULL::DOUBLE AS mean_spread, NULL::DOUBLE AS max_spread FROM top WHERE rn = 1 GROUP BY field
-UNION ALL SELECT field, count(*), count_if(spread > 0), round(avg(spread), 6), max(spread) FROM nm GROUP BY field""")
+SELECT field, count(*) AS tickets, count(*) FILTER (WHERE c < runs) AS changed, NULL::DOUBLE AS mean_spread, NULL::DOUBLE AS max_spread FROM top WHERE rn = 1 GROUP BY field
+UNION ALL SELECT field, count(*), count(*) FILTER (WHERE spread > 0), round(avg(spread), 6), max(spread) FROM nm GROUP BY field""")
 def flip_report(spark, sf):
     runs = D.repeated_runs(spark, sf)
     return rounded(stability.flip_report(stability.consistency(runs), stability.consistency_numbers(runs)))
@@ -709,7 +709,7 @@ def escalation_evidence(spark, sf):
     return evidence.escalation_evidence(D.gold(spark, sf), read_by_model(spark, sf))
 
 
-@query(O.MODEL + f', {O.GOLD} SELECT grp AS "group", count(*) AS tickets, count_if(esc) AS caught, count_if(esc AND NOT kw) AS caught_without_keyword FROM {_EVID} GROUP BY grp')
+@query(O.MODEL + f', {O.GOLD} SELECT grp AS "group", count(*) AS tickets, count(*) FILTER (WHERE esc) AS caught, count(*) FILTER (WHERE esc AND NOT kw) AS caught_without_keyword FROM {_EVID} GROUP BY grp')
 def escalation_evidence_counts(spark, sf):
     return evidence.escalation_evidence_counts(evidence.escalation_evidence(D.gold(spark, sf), read_by_model(spark, sf)))
 
@@ -732,12 +732,12 @@ def model_mistakes(spark, sf):
     return _mistakes(spark, sf).drop("text")
 
 
-@query(_MIST + """ SELECT model, effort, count_if(kind = 'false') AS "false", count_if(kind = 'low') AS low, count_if(kind = 'missed') AS missed FROM mis GROUP BY ALL""")
+@query(_MIST + """ SELECT model, effort, count(*) FILTER (WHERE kind = 'false') AS "false", count(*) FILTER (WHERE kind = 'low') AS low, count(*) FILTER (WHERE kind = 'missed') AS missed FROM mis GROUP BY ALL""")
 def model_mistake_counts(spark, sf):
     return evidence.model_mistake_counts(_mistakes(spark, sf))
 
 
-@query(_SCORED + " SELECT count(*) AS n, count_if(customer_ok) AS names_right, count_if(e_id IS NOT NULL) AS identifiers_expected, count_if(e_id IS NOT NULL AND identifier_ok) AS identifiers_found FROM sc")
+@query(_SCORED + " SELECT count(*) AS n, count(*) FILTER (WHERE customer_ok) AS names_right, count(*) FILTER (WHERE e_id IS NOT NULL) AS identifiers_expected, count(*) FILTER (WHERE e_id IS NOT NULL AND identifier_ok) AS identifiers_found FROM sc")
 def extraction_probe(spark, sf):
     return scoring.extraction_probe(scores(spark, sf))
 
@@ -745,8 +745,8 @@ def extraction_probe(spark, sf):
 _PROBE = f"WITH {O.rules_ctes(O.ORDER_TICKETS)}, p AS (SELECT 'O-' || o_orderkey AS pid, o_orderstatus <> 'O' AS want FROM ord), j AS (SELECT * FROM p JOIN d ON pid = d.id)"
 
 
-@query(_PROBE + """ SELECT count(*) AS n, count_if(want) AS must_catch, count_if(want AND esc) AS caught, count_if(want AND NOT esc) AS missed, count_if(NOT want AND esc) AS false_positives,
-count_if(len(hits) > 0) AS leaked, count_if(len(hits) > 0) = 0 AS precondition_holds FROM j""")
+@query(_PROBE + """ SELECT count(*) AS n, count(*) FILTER (WHERE want) AS must_catch, count(*) FILTER (WHERE want AND esc) AS caught, count(*) FILTER (WHERE want AND NOT esc) AS missed, count(*) FILTER (WHERE NOT want AND esc) AS false_positives,
+count(*) FILTER (WHERE len(hits) > 0) AS leaked, count(*) FILTER (WHERE len(hits) > 0) = 0 AS precondition_holds FROM j""")
 def keyword_free_probe(spark, sf):
     return scoring.keyword_free_probe(D.probe(spark, sf), read_by_keywords(spark, sf))
 
@@ -780,7 +780,7 @@ def reconcile(spark, sf):
 
 
 _DASH = f"""c AS (SELECT urg AS urgency, cat AS category, esc, mode, latency_ms, coalesce(cost_usd, 0) AS usd FROM dm)
-SELECT 'total' AS section, 'tickets' AS name, count(*)::DOUBLE AS value FROM c UNION ALL SELECT 'total', 'needs human', count_if(esc) FROM c UNION ALL SELECT 'total', 'failed extractions', count_if(mode <> 'llm') FROM c
+SELECT 'total' AS section, 'tickets' AS name, count(*)::DOUBLE AS value FROM c UNION ALL SELECT 'total', 'needs human', count(*) FILTER (WHERE esc) FROM c UNION ALL SELECT 'total', 'failed extractions', count(*) FILTER (WHERE mode <> 'llm') FROM c
 UNION ALL SELECT 'total', 'read time ms', sum(latency_ms) FROM c UNION ALL SELECT 'total', 'spend usd', round(sum(usd), 4) FROM c UNION ALL SELECT 'urgency', urgency, count(*) FROM c GROUP BY urgency
 UNION ALL SELECT 'category', category, count(*) FROM c GROUP BY category"""
 
@@ -809,9 +809,9 @@ def forecast_spend(spark, sf):
 
 
 def _headline_sql(t: str) -> str:
-    return f"""SELECT unnest([{{'m': 'escalation_recall', 'v': coalesce(count_if(e_esc AND esc) / nullif(count_if(e_esc), 0), 1.0)}}, {{'m': 'category_accuracy', 'v': count_if(category_ok) / count(*)}},
-{{'m': 'urgency_exact', 'v': count_if(urgency_exact) / count(*)}}, {{'m': 'urgency_accuracy', 'v': count_if(urgency_ok) / count(*)}}, {{'m': 'customer_accuracy', 'v': count_if(customer_ok) / count(*)}},
-{{'m': 'identifier_accuracy', 'v': count_if(identifier_ok) / count(*)}}]) AS e FROM {t}"""
+    return f"""SELECT unnest([{{'m': 'escalation_recall', 'v': coalesce(count(*) FILTER (WHERE e_esc AND esc) / nullif(count(*) FILTER (WHERE e_esc), 0), 1.0)}}, {{'m': 'category_accuracy', 'v': count(*) FILTER (WHERE category_ok) / count(*)}},
+{{'m': 'urgency_exact', 'v': count(*) FILTER (WHERE urgency_exact) / count(*)}}, {{'m': 'urgency_accuracy', 'v': count(*) FILTER (WHERE urgency_ok) / count(*)}}, {{'m': 'customer_accuracy', 'v': count(*) FILTER (WHERE customer_ok) / count(*)}},
+{{'m': 'identifier_accuracy', 'v': count(*) FILTER (WHERE identifier_ok) / count(*)}}]) AS e FROM {t}"""
 
 
 @query(_TWO + f" SELECT x.e.m AS metric, round(x.e.v, 6) AS a, round(y.e.v, 6) AS b FROM ({_headline_sql('sa')}) x JOIN ({_headline_sql('sb')}) y ON x.e.m = y.e.m")
@@ -827,10 +827,10 @@ def compare_offenders(spark, sf):
     return scoring.compare_offenders(a, b)
 
 
-@query(O.MODEL + """, i AS (SELECT *, mode = 'llm_fallback_rules' AS fb FROM dm), v AS (SELECT 'queue never empty' AS c, count_if(coalesce(queue, '') = '') AS n FROM i UNION ALL SELECT 'every field carries a reason', count_if(uwhy = '') FROM i
-UNION ALL SELECT 'no unexpected fallback', count_if(fb) FROM i UNION ALL SELECT 'confidence within 0 and 1', count_if(NOT (c_conf BETWEEN 0 AND 1 AND conf BETWEEN 0 AND 1)) FROM i
-UNION ALL SELECT 'a stated name is a confident one', count_if(c_name IS NOT NULL AND c_conf < 0.9) FROM i UNION ALL SELECT 'a stated name occurs in the text', count_if(c_name IS NOT NULL AND NOT contains(lower(text), lower(c_name))) FROM i
-UNION ALL SELECT 'a guess carries its basis', count_if(len(c_basis) = 0 AND c_conf <> 0) FROM i) SELECT c AS "check", n AS violations, n = 0 AS passed FROM v""")
+@query(O.MODEL + """, i AS (SELECT *, mode = 'llm_fallback_rules' AS fb FROM dm), v AS (SELECT 'queue never empty' AS c, count(*) FILTER (WHERE coalesce(queue, '') = '') AS n FROM i UNION ALL SELECT 'every field carries a reason', count(*) FILTER (WHERE uwhy = '') FROM i
+UNION ALL SELECT 'no unexpected fallback', count(*) FILTER (WHERE fb) FROM i UNION ALL SELECT 'confidence within 0 and 1', count(*) FILTER (WHERE NOT (c_conf BETWEEN 0 AND 1 AND conf BETWEEN 0 AND 1)) FROM i
+UNION ALL SELECT 'a stated name is a confident one', count(*) FILTER (WHERE c_name IS NOT NULL AND c_conf < 0.9) FROM i UNION ALL SELECT 'a stated name occurs in the text', count(*) FILTER (WHERE c_name IS NOT NULL AND NOT contains(lower(text), lower(c_name))) FROM i
+UNION ALL SELECT 'a guess carries its basis', count(*) FILTER (WHERE len(c_basis) = 0 AND c_conf <> 0) FROM i) SELECT c AS "check", n AS violations, n = 0 AS passed FROM v""")
 def invariants(spark, sf):
     return dashboard.invariants(read_by_model(spark, sf))
 
