@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm import decontaminate, jaccard, line_chunks, mix, quality
+from triagegrid.llm import decontaminate, jaccard, langid, line_chunks, mix, quality, suffix_dedup
 from triagegrid.llm.tables import table
 
 
@@ -26,6 +26,11 @@ def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, sf, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     model = quality.fit_quality(docs, quality.training_labels(table(spark, sf, "labels"), folds=5, held=0))
@@ -42,12 +47,21 @@ def op8_line_chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op10_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3
+    network = langid.fit_language(docs.where(fold != 1))
+    return langid.with_language(docs.drop("lang"), network).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_jaccard_join": op2_jaccard_join,
     "op3_decontaminate": op3_decontaminate,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_line_chunks": op8_line_chunks,
+    "op10_language": op10_language,
 }
 
 ORACLES: dict[str, str] = {}
