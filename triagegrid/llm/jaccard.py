@@ -154,6 +154,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, shared long, both long, linked boolean")
 
 
+def _with_component(rows: DataFrame, name: str, known: DataFrame) -> DataFrame:
+    """``rows`` with the component of column ``name``; what is in no link is a component of its own."""
+    held = rows.join(known.select(F.col("id").alias(name), "component"), name, "left")
+    return held.withColumn(f"{name}_component", F.coalesce("component", name)).drop("component")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, matches: int = MOST_MATCHES) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, class, component_id.
 
@@ -166,21 +172,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, matches:
     base = stash(shingle_classes(docs, k), "classes")
     classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").cast("int").alias("n"))
     rows = prefix_tokens(docs, k, percent, shingle_sketch(docs, k), matches)
-    tokens = rows.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("most"), F.min_by("class", F.struct("n", "class")).alias("pivot"))
-    tokens = tokens.where("least <> most").select("token", "pivot")
+    # The least class is the pivot, the same for most tokens of a group, so that few different pairs are verified.
+    tokens = rows.groupBy("token").agg(F.min("class").alias("pivot"), F.max("class").alias("most")).where("pivot <> most").select("token", "pivot")
     postings = stash(rows.join(tokens, "token").distinct(), "postings")
     members = postings.select("class").distinct().join(classes, "class").select(F.col("doc_id").alias("wanted"))
     sets = stash(_set_table(docs, members, k), "sets")
 
+    # Each class meets its commonest pivot first; of its other pivots only those that this left in other components.
     n_of = classes.select(F.col("class").alias("b"), F.col("n").alias("m"))
-    pairs = postings.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b"), "n").distinct().join(n_of, "b")
-    near = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    first = stash(_verified(pairs.where(near).select("a", "b"), sets, percent), "star")
+    pairs = postings.where("class <> pivot").groupBy(F.col("class").alias("a"), F.col("pivot").alias("b"), "n").agg(F.count("*").alias("met")).join(n_of, "b")
+    pairs = stash(pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b", "met"), "star")
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
+    first = stash(_verified(best, sets, percent), "first")
+    known = components(first.where("linked").select("a", "b"))
+    apart = _with_component(_with_component(pairs.select("a", "b"), "a", known), "b", known).where("a_component <> b_component")
+    rest = _verified(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), sets, percent)
+    first = first.union(stash(rest, "rest"))
     known = components(first.where("linked").select("a", "b"))
 
     at = F.col("shared") / F.col("both")
-    held = postings.join(known.select(F.col("id").alias("class"), "component"), "class", "left")
-    held = held.withColumn("component", F.coalesce("component", "class"))
+    held = _with_component(postings, "class", known).withColumnRenamed("class_component", "component")
     open_tokens = held.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
     gap = first.select(F.col("a").alias("class"), F.col("b").alias("pivot"), (1 - at).alias("d"))
     gap = gap.union(gap.select(F.col("pivot").alias("class"), F.col("class").alias("pivot"), "d")).distinct()
