@@ -22,8 +22,8 @@ LEAST_LINES = 2
 ROLL = (1, 31, 961)
 
 
-def _chunks(text: bytes, spread: int) -> list[tuple[int, int, int]]:
-    """(from, to, lines) of the chunks of a text, as byte ranges that cover it, line ends included."""
+def _chunks(text: bytes, spread: int) -> list[tuple[int, int, int, bool]]:
+    """(from, to, lines, whether a line end closes it) of the chunks of a text, as byte ranges that cover it, line ends included."""
     if not text:
         return []
     lines = text.split(b"\n")
@@ -37,12 +37,12 @@ def _chunks(text: bytes, spread: int) -> list[tuple[int, int, int]]:
     byte_at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])])
     byte_at[-1] = len(text)
     begins = np.concatenate([[0], ends[:-1]])
-    return [(int(byte_at[b]), int(byte_at[e]), int(e - b)) for b, e in zip(begins, ends)]
+    return [(int(byte_at[b]), int(byte_at[e]), int(e - b), bool(e < len(lines))) for b, e in zip(begins, ends)]
 
 
-def _body(text: bytes, start: int, end: int) -> bytes:
+def _body(text: bytes, chunk: tuple[int, int, int, bool]) -> bytes:
     """The lines of a chunk joined by line ends; the end of its last line is not part of it."""
-    return text[start:end].removesuffix(b"\n") if end < len(text) else text[start:end]
+    return text[chunk[0] : chunk[1] - 1] if chunk[3] else text[chunk[0] : chunk[1]]
 
 
 def _hash(body: bytes) -> int:
@@ -63,7 +63,7 @@ def removed_chunks(docs: DataFrame, spread: int = SPREAD, least_lines: int = LEA
             keys = batch.column(batch.schema.get_field_index("__key")).to_pylist()
             rows = []
             for key, text in zip(keys, _texts(batch)):
-                rows += [(key, i, _hash(_body(text, s, e))) for i, (s, e, n) in enumerate(_chunks(text, spread)) if n >= least_lines]
+                rows += [(key, i, _hash(_body(text, chunk))) for i, chunk in enumerate(_chunks(text, spread)) if chunk[2] >= least_lines]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], ["__key", "chunk", "hash"])
 
     each = docs.mapInArrow(list_chunks, "__key long, chunk int, hash long").distinct()
@@ -78,7 +78,7 @@ def removed_chunks(docs: DataFrame, spread: int = SPREAD, least_lines: int = LEA
                 found = _chunks(text, spread)
                 for i in chunks:
                     if i < len(found):
-                        body = _body(text, *found[i][:2])
+                        body = _body(text, found[i])
                         rows.append((key, doc_id, i, _hash(body), body))
             kinds = (pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], ["__key", "doc_id", "chunk", "hash", "body"])
@@ -114,11 +114,11 @@ def line_dedup(docs: DataFrame, spread: int = SPREAD, least_lines: int = LEAST_L
                 hit = {(x["chunk"], x["hash"]) for x in gone or ()}
                 kept, removed, chunks = [], 0, 0
                 if hit:
-                    for i, (s, e, n) in enumerate(_chunks(text, spread)):
-                        if (i, _hash(_body(text, s, e))) in hit:
-                            removed, chunks = removed + n, chunks + 1
+                    for i, chunk in enumerate(_chunks(text, spread)):
+                        if (i, _hash(_body(text, chunk))) in hit:
+                            removed, chunks = removed + chunk[2], chunks + 1
                         else:
-                            kept.append(text[s:e])
+                            kept.append(text[chunk[0] : chunk[1]])
                     text = b"".join(kept)
                 texts.append(text if have else None)
                 out_lines.append(removed)

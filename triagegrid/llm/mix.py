@@ -186,7 +186,8 @@ def mix(docs: DataFrame, with_text: bool = False, block_words: int = BLOCK_WORDS
         first += counts
     draws = spark.createDataFrame(draws, "shard long, source_no long, first long, n long, blocks long, slot long")
     slots = _slots(draws.repartition(spark.sparkContext.defaultParallelism, "shard", "source_no"), seed)
-    mixed = slots.join(pieces, ["source_no", "block"]).join(sources.select("source_no", "source"), "source_no")
+    # The planner takes what the slots grow from for their size; without the hint it would broadcast them.
+    mixed = slots.hint("merge").join(pieces, ["source_no", "block"]).join(sources.select("source_no", "source"), "source_no")
     columns = ["shard", "slot", "source", "pass", "block", "doc_id", "from_word", "n_words", *text]
     return mixed.select(columns), sources.select("source", "source_size", "target")
 

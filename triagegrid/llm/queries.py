@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triagegrid.llm import chat, decontaminate, jaccard, langid, line_chunks, mix, quality, suffix_dedup, topk, warc
+from triagegrid.llm.checks import ORACLES as ORACLES
 from triagegrid.llm.tables import table
 from triagegrid.session import scratch_path
 
@@ -87,5 +88,3 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_language": op10_language,
 }
-
-ORACLES: dict[str, str] = {}
