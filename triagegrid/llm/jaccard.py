@@ -28,6 +28,8 @@ SKETCH_BITS = 18
 MOST_MATCHES = 4
 #: Cost of a verification, in units of one posting read.
 VERIFY_COST = 8.0
+#: A common token's postings are dealt to parts of about so many rows.
+SALT_ROWS = 50_000
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +80,8 @@ def shingle_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarr
 
 
 def prefix_tokens(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, matches: int = MOST_MATCHES) -> DataFrame:
-    """(token, class, n, level, own): a set's prefix tokens.  ``level``: the smallest l whose prefix holds the token;
-    ``own``: the l that the document chose by estimated cost."""
+    """(token, salt, class, n, level, own): a set's prefix tokens.  ``level``: the smallest l whose prefix holds the token;
+    ``own``: the l that the document chose by estimated cost; ``salt``: 0, or a part from 1 on if the token is common."""
     bits = int(len(sketch)).bit_length() - 1
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(sketch)
@@ -106,15 +108,54 @@ def prefix_tokens(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, mat
                 costs.append(np.where((free + level <= n) | (level == 1), read * (1 + VERIFY_COST / level), np.inf))
             own = np.argmin(np.stack(costs), axis=0) + 1
             keep = place < (free + own)[rows]
-            rows, place = rows[keep], place[keep]
+            rows, place, excess = rows[keep], place[keep], excess[keep]
+            parts = (excess // SALT_ROWS).astype(np.uint64)
+            salt = np.where(parts > 0, names[rows] % (parts + np.uint64(1)) + np.uint64(1), np.uint64(0)).astype(np.int32)
             level = np.maximum(place - free[rows] + 1, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].view(np.int64)), pa.array(names[rows].view(np.int64)), pa.array(n[rows].astype(np.int32)),
+                [pa.array(hashes[keep].view(np.int64)), pa.array(salt), pa.array(names[rows].view(np.int64)), pa.array(n[rows].astype(np.int32)),
                  pa.array(level.astype(np.int8)), pa.array(own[rows].astype(np.int8))],
-                ["token", "class", "n", "level", "own"],
+                ["token", "salt", "class", "n", "level", "own"],
             )
 
-    return docs.select("text").mapInArrow(emit, "token long, class long, n int, level byte, own byte")
+    return docs.select("text").mapInArrow(emit, "token long, salt int, class long, n int, level byte, own byte")
+
+
+def meeting_postings(rows: DataFrame) -> DataFrame:
+    """(token, class, n, level, own, pivot): the prefix tokens that several classes have, and the least class that has them.
+
+    Tokens of one class only, most of them, end here: the rows pass once, sorted, and of a token only its first row is
+    held.  The parts of a common token have a pivot each, and all their rows go on.
+    """
+    names = ["token", "salt", "class", "n", "level", "own"]
+
+    def meet(batches: Iterator[pa.RecordBatch]):
+        held, told = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_numpy() for c in names]
+            if held is not None:
+                columns = [np.concatenate([[h], c]).astype(c.dtype) for h, c in zip(held, columns)]
+            token, salt, own = columns[:3]
+            edge = np.ones(len(token), bool)
+            edge[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+            group = np.cumsum(edge) - 1
+            first = np.flatnonzero(edge)
+            last = np.append(first[1:], len(token)) - 1
+            shared = (own[first] != own[last]) | (salt[first] > 0)
+            new = edge.copy()
+            new[1:] |= own[1:] != own[:-1]
+            keep = shared[group] & new
+            if told:
+                keep[0] = False
+            told = bool(shared[-1]) or (told and len(first) == 1)
+            held = [c[first[-1]] for c in columns]
+            pivot = own[first][group][keep]
+            yield pa.RecordBatch.from_arrays([*[pa.array(columns[i][keep]) for i in (0, 2, 3, 4, 5)], pa.array(pivot)], ["token", "class", "n", "level", "own", "pivot"])
+
+    ordered = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
+    return ordered.mapInArrow(meet, "token long, class long, n int, level byte, own byte, pivot long").distinct()
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -171,10 +212,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, matches:
     docs = docs.select("doc_id", "text")
     base = stash(shingle_classes(docs, k), "classes")
     classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").cast("int").alias("n"))
-    rows = prefix_tokens(docs, k, percent, shingle_sketch(docs, k), matches)
-    # The least class is the pivot, the same for most tokens of a group, so that few different pairs are verified.
-    tokens = rows.groupBy("token").agg(F.min("class").alias("pivot"), F.max("class").alias("most")).where("pivot <> most").select("token", "pivot")
-    postings = stash(rows.join(tokens, "token").distinct(), "postings")
+    rows = prefix_tokens(docs, k, percent, shingle_sketch(docs, k, SKETCH_BITS), matches)
+    postings = stash(meeting_postings(rows), "postings")
     members = postings.select("class").distinct().join(classes, "class").select(F.col("doc_id").alias("wanted"))
     sets = stash(_set_table(docs, members, k), "sets")
 
@@ -197,9 +236,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, matches:
     gap = gap.union(gap.select(F.col("pivot").alias("class"), F.col("class").alias("pivot"), "d")).distinct()
     held = held.join(open_tokens, "token", "left_semi").join(gap, ["class", "pivot"], "left")
     held = held.withColumn("d", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-    held = stash(held.select("token", "class", "n", "level", "own", "component", "d"), "open")
-    x = held.select("token", *[F.col(c).alias(f"a_{c}") for c in ("class", "n", "level", "own", "component", "d")])
-    y = held.select("token", *[F.col(c).alias(f"b_{c}") for c in ("class", "n", "level", "own", "component", "d")])
+    held = stash(held.select("token", "class", "n", "level", "own", "pivot", "component", "d"), "open")
+    columns = ("class", "n", "level", "own", "pivot", "component", "d")
+    x = held.select("token", *[F.col(c).alias(f"a_{c}") for c in columns])
+    y = held.select("token", *[F.col(c).alias(f"b_{c}") for c in columns])
+    too_far = (F.col("a_pivot") == F.col("b_pivot")) & (F.abs(F.col("a_d") - F.col("b_d")) > 1 - percent / 100 + 1e-9)
     met = x.join(
         y,
         (x["token"] == y["token"])
@@ -207,7 +248,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, matches:
         & (F.col("a_component") != F.col("b_component"))
         & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
         & (F.greatest("a_level", "b_level") <= F.least("a_own", "b_own"))
-        & F.coalesce(F.abs(F.col("a_d") - F.col("b_d")) <= 1 - percent / 100 + 1e-9, F.lit(True)),
+        & ~F.coalesce(too_far, F.lit(False)),
     )
     enough = met.groupBy(F.col("a_class").alias("a"), F.col("b_class").alias("b")).agg(
         F.count("*").alias("met"), F.min(F.least("a_own", "b_own")).alias("need")
