@@ -73,24 +73,30 @@ class Discriminant:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, to_pooled: float = TO_POOLED, to_identity: float = TO_IDENTITY) -> Discriminant | None:
-    """Fit on the texts of ``docs`` that ``labels`` (doc_id, label 0 or 1) names; sums are made on the executors, in all rows.
+    """Fit on all texts of ``docs`` that ``labels`` (doc_id, label 0 or 1) names.
 
-    None if either class has no text.
+    Texts are measured where they lie, and labels meet the few numbers of each text; sums are made on the executors.  None if either class has no text.
     """
     p = len(FEATURES)
     cells = p * p + p + 1
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def measure(batches):
+        for batch in tb.slices(batches, "text"):
+            x = pa.FixedSizeListArray.from_arrays(pa.array(statistics(batch.column("text")).ravel()), p).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), x], ["doc_id", "x"])
 
     def sums(batches):
         total = np.zeros((2, cells))
-        for batch in tb.slices(batches, "text"):
-            x = statistics(batch.column("text"))
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, p)
             label = batch.column("label").to_numpy()
             for c in (0, 1):
                 own = x[label == c]
                 total[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * cells)), pa.array(total.ravel())], ["cell", "value"])
 
-    held = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "label")
+    held = docs.select("doc_id", "text").mapInArrow(measure, f"doc_id {kind}, x array<double>").join(labels, "doc_id").select("x", "label")
     rows = held.mapInArrow(sums, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     total = np.zeros(2 * cells)
     total[rows.column("cell").to_numpy()] = rows.column("value").to_numpy()
