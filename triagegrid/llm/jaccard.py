@@ -3,8 +3,9 @@
 A document is the set of its distinct word shingles (64-bit hashes).  Two documents link when
 ``100 * shared >= percent * union``.  Every shingle has a place in one global order, rare ones first.  For a set of n
 shingles that needs t shared ones, its l-prefix is its first n - t + l shingles; two linked sets share at
-least l tokens of their l-prefixes.  Each document takes the l with the least estimated cost, and a pair is
-counted at the smaller l of the two.
+least l tokens of their l-prefixes, for every l up to t.  Each document lengthens its prefix to the l with the least estimated
+candidate cost, and a pair has to share the smaller l of the two before it is verified.  A document with fewer than l
+shared tokens in its l-prefix has no link and goes no further.
 
 Equal sets are one class before anything is joined.  Classes that share a prefix token first meet the
 token's pivot only (a star, not all pairs); what those links already connect needs no more links.  Then only pairs of
@@ -20,14 +21,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from triagegrid.llm import textbytes as tb
 from triagegrid.llm.tables import components, stash
 
 SKETCH_BITS = 18
-MOST_MATCHES = 4
+#: Numbers of shared tokens that a document may ask for.
+MATCHES = (1, 2, 4, 8, 16)
 #: Cost of a verification, in units of one posting read.
 VERIFY_COST = 8.0
+#: Classes that are sent to the texts at once: 32 MB.
+SENT_CLASSES = 4_000_000
+#: Pivots that each class meets first.
+FIRST_PIVOTS = 3
 #: A common token's postings are dealt to parts of about so many rows.
 SALT_ROWS = 50_000
 
@@ -79,17 +86,17 @@ def shingle_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarr
     return out
 
 
-def prefix_tokens(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, matches: int = MOST_MATCHES) -> DataFrame:
-    """(token, salt, class, n, level, own): a set's prefix tokens.  ``level``: the smallest l whose prefix holds the token;
-    ``own``: the l that the document chose by estimated cost; ``salt``: 0, or a part from 1 on if the token is common."""
+def prefix_tokens(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, most: int = MATCHES[-1]) -> DataFrame:
+    """(token, salt, class, n, level): the tokens of a set's longest prefix.  ``level``: the smallest l whose prefix holds the token;
+    ``salt``: 0, or a part from 1 on if the token is common."""
     bits = int(len(sketch)).bit_length() - 1
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def emit(batches):
         counts = shared.value
         # What a bucket holds beyond the usual load stands for the postings of a common token in it.
         usual = float(np.median(counts))
+        usual += 4 * math.sqrt(usual + 1)
         for batch in tb.slices(batches, "text"):
             rows, hashes, at = _sets(batch, k)
             n = np.diff(at)
@@ -99,35 +106,26 @@ def prefix_tokens(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, mat
             hashes, load = hashes[order], load[order]
             place = np.arange(len(rows)) - at[rows]
             free = n - (n * percent + 99) // 100
-            excess = np.maximum(load - usual - 4 * math.sqrt(usual + 1), 0.0)
-            reads = np.concatenate([[0.0], np.cumsum(excess)])
-            costs = []
-            for level in range(1, matches + 1):
-                upto = at[:-1] + np.minimum(free + level, n)
-                read = reads[upto] - reads[at[:-1]]
-                costs.append(np.where((free + level <= n) | (level == 1), read * (1 + VERIFY_COST / level), np.inf))
-            own = np.argmin(np.stack(costs), axis=0) + 1
-            keep = place < (free + own)[rows]
-            rows, place, excess = rows[keep], place[keep], excess[keep]
-            parts = (excess // SALT_ROWS).astype(np.uint64)
+            keep = place < (free + most)[rows]
+            rows, place = rows[keep], place[keep]
+            parts = (np.maximum(load[keep] - usual, 0) // SALT_ROWS).astype(np.uint64)
             salt = np.where(parts > 0, names[rows] % (parts + np.uint64(1)) + np.uint64(1), np.uint64(0)).astype(np.int32)
             level = np.maximum(place - free[rows] + 1, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].view(np.int64)), pa.array(salt), pa.array(names[rows].view(np.int64)), pa.array(n[rows].astype(np.int32)),
-                 pa.array(level.astype(np.int8)), pa.array(own[rows].astype(np.int8))],
-                ["token", "salt", "class", "n", "level", "own"],
+                [pa.array(hashes[keep].view(np.int64)), pa.array(salt), pa.array(names[rows].view(np.int64)), pa.array(n[rows].astype(np.int32)), pa.array(level.astype(np.int8))],
+                ["token", "salt", "class", "n", "level"],
             )
 
-    return docs.select("text").mapInArrow(emit, "token long, salt int, class long, n int, level byte, own byte")
+    return docs.select("text").mapInArrow(emit, "token long, salt int, class long, n int, level byte")
 
 
 def meeting_postings(rows: DataFrame) -> DataFrame:
-    """(token, class, n, level, own, pivot): the prefix tokens that several classes have, and the least class that has them.
+    """(token, class, n, level): the prefix tokens that several classes have.
 
     Tokens of one class only, most of them, end here: the rows pass once, sorted, and of a token only its first row is
-    held.  The parts of a common token have a pivot each, and all their rows go on.
+    held.  All rows of a common token's parts go on.
     """
-    names = ["token", "salt", "class", "n", "level", "own"]
+    names = ["token", "salt", "class", "n", "level"]
 
     def meet(batches: Iterator[pa.RecordBatch]):
         held, told = None, False
@@ -151,24 +149,54 @@ def meeting_postings(rows: DataFrame) -> DataFrame:
                 keep[0] = False
             told = bool(shared[-1]) or (told and len(first) == 1)
             held = [c[first[-1]] for c in columns]
-            pivot = own[first][group][keep]
-            yield pa.RecordBatch.from_arrays([*[pa.array(columns[i][keep]) for i in (0, 2, 3, 4, 5)], pa.array(pivot)], ["token", "class", "n", "level", "own", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[i][keep]) for i in (0, 2, 3, 4)], ["token", "class", "n", "level"])
 
     ordered = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
-    return ordered.mapInArrow(meet, "token long, class long, n int, level byte, own byte, pivot long").distinct()
+    return ordered.mapInArrow(meet, "token long, class long, n int, level byte").distinct()
+
+
+def adaptive_postings(postings: DataFrame, percent: int) -> DataFrame:
+    """``postings`` of the classes that can have links, with ``own``: how many shared tokens the class asks for.
+
+    A prefix for l reads the postings of its tokens, and at most their number over l candidates share l of them and are verified.
+    """
+    sizes = postings.groupBy("token").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    reads = postings.join(sizes, "token")
+    needed = F.ceil(F.col("n") * percent / 100)
+    inside = {m: F.col("level") <= m for m in MATCHES}
+    sums = [c for m in MATCHES for c in (F.sum(F.when(inside[m], F.col("others")).otherwise(0)).alias(f"read_{m}"), F.count_if(inside[m]).alias(f"met_{m}"))]
+    each = reads.groupBy("class").agg(F.max("n").alias("n"), *sums)
+    able = F.lit(True)
+    for m in MATCHES:
+        able = able & ((needed < m) | (F.col(f"met_{m}") >= m))
+    costs = [F.when(needed >= m, F.struct((F.col(f"read_{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m"))) for m in MATCHES]
+    own = each.where(able).select("class", F.least(*costs)["m"].alias("own"))
+    return postings.join(own, "class").where(F.col("level") <= F.col("own"))
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(class, tokens): the sorted hashes, as bytes, of the classes of the documents ``wanted`` (ids)."""
+    """(class, tokens): the sorted hashes, as bytes, of every wanted class.
+
+    Up to ``SENT_CLASSES`` wanted classes (64-bit numbers) are sent to the texts; more meet them in a shuffle of (class, tokens).
+    """
+    few = wanted.count() <= SENT_CLASSES
+    names = np.sort(wanted.toArrow().column("class").to_numpy()) if few else None
+    shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def pack(batches):
+        known = shared.value
         for batch in tb.slices(batches, "text"):
             _, hashes, at = _sets(batch, k)
-            packed = pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in range(batch.num_rows)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(_class_of(hashes, at).view(np.int64)), packed], ["class", "tokens"])
+            own = _class_of(hashes, at).view(np.int64)
+            pick = np.arange(batch.num_rows)
+            if known is not None:
+                place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                pick = np.flatnonzero((known[place] == own) if len(known) else np.zeros(len(own), bool))
+            packed = pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in pick], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(own[pick]), packed], ["class", "tokens"])
 
-    held = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-    return held.mapInArrow(pack, "class long, tokens binary").dropDuplicates(["class"])
+    found = docs.select("text").mapInArrow(pack, "class long, tokens binary")
+    return (found if few else found.join(wanted, "class", "left_semi")).dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,7 +229,7 @@ def _with_component(rows: DataFrame, name: str, known: DataFrame) -> DataFrame:
     return held.withColumn(f"{name}_component", F.coalesce("component", name)).drop("component")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, matches: int = MOST_MATCHES) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, class, component_id.
 
     Words are runs of anything but space and 0x09-0x0D, A-Z in lower case.  Fewer than ``k`` words: one shingle over all of
@@ -212,21 +240,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, matches:
     docs = docs.select("doc_id", "text")
     base = stash(shingle_classes(docs, k), "classes")
     classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").cast("int").alias("n"))
-    rows = prefix_tokens(docs, k, percent, shingle_sketch(docs, k, SKETCH_BITS), matches)
-    postings = stash(meeting_postings(rows), "postings")
-    members = postings.select("class").distinct().join(classes, "class").select(F.col("doc_id").alias("wanted"))
-    sets = stash(_set_table(docs, members, k), "sets")
+    rows = prefix_tokens(docs, k, percent, shingle_sketch(docs, k, SKETCH_BITS))
+    postings = stash(meeting_postings(rows), "meeting")
+    postings = stash(adaptive_postings(postings, percent), "postings")
+    sets = stash(_set_table(docs, postings.select("class").distinct(), k), "sets")
 
-    # Each class meets its commonest pivot first; of its other pivots only those that this left in other components.
+    # The least class of a token is its pivot, the same for most tokens of a group.  Each class first meets the pivots that it has most tokens in
+    # common with.  These links only spare later ones, so pivots met in few tokens can wait.
     n_of = classes.select(F.col("class").alias("b"), F.col("n").alias("m"))
-    pairs = postings.where("class <> pivot").groupBy(F.col("class").alias("a"), F.col("pivot").alias("b"), "n").agg(F.count("*").alias("met")).join(n_of, "b")
-    pairs = stash(pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("a", "b", "met"), "star")
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
-    first = stash(_verified(best, sets, percent), "first")
-    known = components(first.where("linked").select("a", "b"))
-    apart = _with_component(_with_component(pairs.select("a", "b"), "a", known), "b", known).where("a_component <> b_component")
-    rest = _verified(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), sets, percent)
-    first = first.union(stash(rest, "rest"))
+    postings = postings.join(postings.groupBy("token").agg(F.min("class").alias("pivot")), "token")
+    pairs = postings.where("class <> pivot").groupBy(F.col("class").alias("a"), F.col("pivot").alias("b"), "n", "own").agg(F.count("*").alias("met"))
+    pairs = pairs.where("2 * met >= own").join(n_of, "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    order = Window.partitionBy("a").orderBy(F.desc("met"), "b")
+    pairs = pairs.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= FIRST_PIVOTS).select("a", "b")
+    first = stash(_verified(pairs, sets, percent), "first")
     known = components(first.where("linked").select("a", "b"))
 
     at = F.col("shared") / F.col("both")
@@ -255,7 +282,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, matches:
     )
     more = enough.where("met >= need").select("a", "b")
     tried = first.select("a", "b").union(first.select("b", "a"))
-    second = _verified(more.join(tried, ["a", "b"], "left_anti"), sets, percent)
+    more = stash(more.join(tried, ["a", "b"], "left_anti"), "more")
+    asked = stash(more.select(F.col("a").alias("class")).union(more.select("b")).distinct(), "asked")
+    second = _verified(more, sets.join(asked, "class", "left_semi"), percent)
     linked = first.where("linked").select("a", "b").union(second.where("linked").select("a", "b"))
     final = components(linked)
     named = classes.join(final.select(F.col("id").alias("class"), "component"), "class", "left")
