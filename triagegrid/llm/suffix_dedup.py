@@ -78,7 +78,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     # A rank is the place of the last suffix of its group; padding counts below every byte through the shorter suffix's place.
     rank = np.empty(n, np.int64)
     _number(order, key[order], rank, np.arange(n))
@@ -89,7 +89,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ahead = members + depth
         further = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], n - 1 - ahead)
         own = rank[members]
-        by = np.lexsort((further, own))
+        by = np.argsort(own * (2 * n + 1) + (further + n))
         members, own, further = members[by], own[by], further[by]
         order[spots] = members
         edge = np.ones(len(spots), bool)
