@@ -31,8 +31,8 @@ def test_ledger_first_writer_wins_and_null_keys_stay(spark):
     assert {(r["submitted_id"], r["id"], r["discarded"]) for r in winners.collect()} == {
         ("b", "a", True), ("c", "d", True), ("d", "d", False), ("e", "e", False), ("m", "m", False), ("o", "o", False)
     }
-    # A hot key is settled by broadcast, with the same outcome.
-    assert {tuple(r) for r in ledger.authoritative(new, old, hot_rows=2).collect()} == {tuple(r) for r in winners.collect()}
+    # However a key's submissions are dealt, the outcome is the same.
+    assert {tuple(r) for r in ledger.authoritative(new, old, salts=1).collect()} == {tuple(r) for r in winners.collect()}
     again, _ = ledger.record(new.where("external_id is not null"), after)
     assert again.count() == 6
     assert sorted(r["id"] for r in ledger.new_tickets(new, old).collect()) == ["c", "d", "e", "m", "o"]
@@ -198,13 +198,17 @@ def test_ties_take_the_value_seen_first(spark):
     assert same["sd_confidence"] == 0.0 and same["category_share"] == 1.0
 
 
-def test_recheck_is_capped_and_compares_decisive_fields(spark):
+def test_recheck_takes_every_read_and_compares_decisive_fields(spark):
     r = runs(spark, [("bug", 0.5), ("bug", 0.6), ("bug", 0.7), ("bug", 0.8), ("spam", 0.9)])
     original = r.where("run = 0").drop("run")
     fields = stability.recheck(original, r.where("run > 0"), runs=99)
     by = {x["field"]: x for x in fields.collect()}
-    assert len(by) == 9 and len(by["category"]["values"]) == 4 and by["category"]["agree"] and not by["category_confidence"]["agree"]
-    assert stability.recheck_verdict(fields).collect()[0]["stable"]
+    assert len(by) == 9 and by["category"]["values"] == ["bug", "bug", "bug", "bug", "spam"]
+    assert not by["category"]["agree"] and not by["category_confidence"]["agree"] and by["urgency"]["agree"]
+    assert not stability.recheck_verdict(fields).collect()[0]["stable"]
+    fewer = stability.recheck(original, r.where("run > 0"), runs=3)
+    assert {x["field"]: len(x["values"]) for x in fewer.collect()}["category"] == 4
+    assert stability.recheck_verdict(fewer).collect()[0]["stable"]
 
 
 def test_classifier_errors_become_data(spark):
@@ -241,5 +245,42 @@ def test_stream_keeps_the_first_decision_and_survives_a_replay(spark, tmp_path):
     after = run(ckpt)
     assert after.count() == 3
     assert after.where("external_id = 'T'").collect()[0]["category"] == "billing"
-    # The same batches again, as after losing the checkpoint: each rewrites only its own folder.
-    assert run(str(tmp_path / "ckpt2")).where("external_id = 'T'").count() == 1
+    # With another checkpoint batch numbers would start anew and repeat rows without key: refused.
+    with pytest.raises(ValueError):
+        run(str(tmp_path / "ckpt2"))
+
+
+def test_stream_loses_no_line_and_tells_equal_ones_apart(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    lines = [json.dumps({"text": "Refund invoice #77.", "id": "T"}), json.dumps({"text": "again", "id": "T"}), '"no key"', '"no key"', json.dumps({"text": "no key"}), "{cut", json.dumps({"text": "a" * 20001}), '"  "', ""]
+    (src / "1.json").write_text("\n".join(lines))
+    stream = intake.stream_tickets(spark, str(src))
+    paths = [str(tmp_path / n) for n in ("ledger", "bad", "ckpt")]
+    intake.stream_intake(stream, *paths).awaitTermination()
+    kept, bad = intake.read_stream_ledger(spark, paths[0]), spark.read.parquet(paths[1])
+    assert kept.count() == 4 and kept.select("id").distinct().count() == 4
+    assert sorted(r["problem"] for r in bad.collect()) == ["not JSON", "text is empty", "text is longer than 20000 characters"]
+    assert all(json.loads(r["decision_json"])["id"] == r["id"] for r in kept.collect())
+
+
+def test_scratch_folder_is_named_on_a_cluster(spark, monkeypatch):
+    from triagegrid import session
+
+    assert session.shared_folder(spark)
+
+    class Cluster:
+        master, applicationId = "spark://host:7077", "elsewhere"
+
+        def getCheckpointDir(self):
+            return self.folder
+
+    class Session:
+        sparkContext = Cluster()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})()
+
+    Cluster.folder = None
+    with pytest.raises(RuntimeError):
+        session.shared_folder(Session())
+    Cluster.folder = "hdfs://store/scratch/"
+    assert session.shared_folder(Session()) == "hdfs://store/scratch"

@@ -18,7 +18,6 @@ from triagegrid.functions.pricing import Card, cost_usd, usd6
 from triagegrid.functions.text import add_folded, count_matches, empty_strings
 from triagegrid.operators.routing import STANDARD, RoutingTable, escalation_queue_for, queue_for
 from triagegrid.schema import EXTRACTION, USAGE
-from triagegrid.session import spread_small
 
 
 def hold(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -163,8 +162,8 @@ def decide(
 ) -> DataFrame:
     """Decide every ticket.  Returns rows of the DECISION schema.
 
-    ``tickets`` has text, source and external_id, and may have: ``decision_id`` or ``id`` (else derived from the row),
-    ``received_at`` (else ``now``), ``ordinal`` (tells apart equal tickets without external_id) and
+    ``tickets`` has text, source and external_id, and may have: ``decision_id`` or ``id`` (else derived from the ticket
+    alone, never from the clock), ``received_at`` (else ``now``), ``ordinal`` (tells apart equal tickets without external_id) and
     ``ticket_key`` (joins ``answers``).  Without answers every ticket is read by keywords.
     """
     df = tickets
@@ -185,7 +184,7 @@ def decide(
     else:
         df = resolve_answers(df, answers)
         unread = F.when(F.col("mode") != L.MODE_MODEL, F.col("text"))
-    df = add_guardrail_matches(add_folded(spread_small(df).withColumn("_unread", unread)), low="_low")
+    df = add_guardrail_matches(add_folded(df.withColumn("_unread", unread)), low="_low")
     chosen = F.col("mode") == L.MODE_MODEL
     if answers is None:
         df = add_keyword_reading(df, "_unread", "_b_", own_names, "_low")
@@ -209,7 +208,7 @@ def decide(
         priced = usd6(cost_usd(usage, F.col("model"), *([card] if card else [])))
         usage = F.when(usage.isNotNull(), usage.withField("cost_usd", F.when(chosen, priced)))
     created = F.coalesce(F.col("received_at"), moment) if "received_at" in has else moment
-    seed = [F.col("source"), F.col("external_id"), F.col("text"), *[F.col(c) for c in ("ordinal", "ticket_key") if c in has], created]
+    seed = [F.col("source"), F.col("external_id"), F.col("text"), *[F.col(c) for c in ("ordinal", "ticket_key", "received_at") if c in has]]
     given = next((c for c in ("decision_id", "id") if c in has), None)
     return df.select(
         (F.col(given).cast("string") if given else decision_id(*seed)).alias("id"),

@@ -64,8 +64,12 @@ def _keys_of(df: DataFrame) -> DataFrame:
 
 
 def new_tickets(tickets: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Tickets whose key the ledger does not hold: run this before the expensive read."""
-    return tickets.join(_keys_of(ledger), KEY, "left_anti")
+    """Tickets whose key the ledger does not hold: run this before the expensive read.
+
+    Tickets without external_id are always new and pass by the join; the ledger's keys are distinct before they meet.
+    """
+    keyed = tickets.where(F.col("external_id").isNotNull()).join(_keys_of(ledger).distinct(), KEY, "left_anti").select(*tickets.columns)
+    return keyed.unionByName(tickets.where(F.col("external_id").isNull()))
 
 
 def insert_or_ignore(new: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -78,16 +82,16 @@ def insert_or_ignore(new: DataFrame, ledger: DataFrame) -> DataFrame:
     return fresh.unionByName(loose)
 
 
-HOT_ROWS = 1_000_000
+#: Parts that the submissions of a key are dealt to when they meet their winner.
+SALTS = 16
 
 
-def authoritative(new: DataFrame, ledger: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def authoritative(new: DataFrame, ledger: DataFrame, salts: int = SALTS) -> DataFrame:
     """For each submitted decision, the decision that counts.
 
-    Returns source, external_id, submitted_id, id (of the winner) and discarded.  Only ids and keys
-    are moved.  Winners are unique per key and come with the number of submissions they settle: keys
-    with ``hot_rows`` or more are at most |new| / hot_rows, so their winners are broadcast and their
-    submissions stay where they are; all other keys meet in a shuffle no key can overload.
+    Returns source, external_id, submitted_id, id (of the winner) and discarded.  Only ids and keys are moved.  A key has one
+    winner however often it was sent: submissions are dealt to ``salts`` parts by their id and meet a copy of the winner in each, so
+    no task holds a whole key.
     """
     keyed = new.where(F.col("external_id").isNotNull())
     winners = (
@@ -95,13 +99,13 @@ def authoritative(new: DataFrame, ledger: DataFrame, hot_rows: int = HOT_ROWS) -
         .select(*KEY, "created_at", "id", F.lit(0).alias("_turn"))
         .unionByName(keyed.select(*KEY, "created_at", "id", F.lit(1).alias("_turn")))
         .groupBy(*KEY)
-        .agg(F.min_by("id", F.struct("_turn", "created_at", "id")).alias("_winner"), F.sum("_turn").alias("_sent"))
+        .agg(F.min(F.struct("_turn", "created_at", "id")).alias("_first"), F.max("_turn").alias("_sent"))
+        .where(F.col("_sent") == 1)
+        .select(*KEY, F.col("_first.id").alias("_winner"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     )
     sent = new.select(*KEY, F.col("id").alias("submitted_id"))
-    asked = sent.where(F.col("external_id").isNotNull())
-    hot = F.broadcast(winners.where(F.col("_sent") >= hot_rows).drop("_sent"))
-    cold = winners.where(F.col("_sent").between(1, hot_rows - 1)).drop("_sent")
-    settled = asked.join(hot, KEY).unionByName(asked.join(hot, KEY, "left_anti").join(cold, KEY))
+    asked = sent.where(F.col("external_id").isNotNull()).withColumn("_salt", F.pmod(F.xxhash64("submitted_id"), F.lit(salts)).cast("int"))
+    settled = asked.join(winners, [*KEY, "_salt"]).drop("_salt")
     loose = sent.where(F.col("external_id").isNull()).select("*", F.col("submitted_id").alias("_winner"))
     return settled.unionByName(loose).select(
         *KEY, "submitted_id", F.col("_winner").alias("id"), (F.col("_winner") != F.col("submitted_id")).alias("discarded")

@@ -1,6 +1,7 @@
 """Session settings and the shared scratch folder."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -18,14 +19,11 @@ SETTINGS = {
     # Classification is CPU bound (two dozen patterns per ticket), so scan splits are kept small
     # enough that one task holds minutes of work, not hours.
     "spark.sql.files.maxPartitionBytes": "64m",
-    # The JVM never compiles methods above 8000 bytes of code; fused stages beyond that run slower
-    # than unfused ones.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
-# Used only where the cluster names no shared folder, as in tests.
-_fallback: dict[str, str] = {}
+# Used only on one machine that names no shared folder, as in tests.
+_fallback: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(master: str | None = None, app: str = "triagegrid", **extra: str) -> SparkSession:
@@ -38,11 +36,20 @@ def build_session(master: str | None = None, app: str = "triagegrid", **extra: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a new one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _fallback.get(spark.sparkContext.applicationId)
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
+
+    A session on one machine that names neither gets a temporary folder, which goes when the driver ends.  On a cluster
+    that would be a folder the executors cannot see, so it is an error there.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="triagegrid-")
-        _fallback[spark.sparkContext.applicationId] = folder
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        held = _fallback.get(context.applicationId)
+        if held is None:
+            held = _fallback[context.applicationId] = tempfile.TemporaryDirectory(prefix="triagegrid-", ignore_cleanup_errors=True)
+        folder = held.name
     return folder.rstrip("/")
 
 
@@ -55,22 +62,3 @@ def inline_rows(spark: SparkSession, names: Sequence[str], rows: Sequence[tuple]
     """A small table of constants, planned inside the JVM."""
     structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]
     return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
-
-
-SMALL_BYTES_PER_CORE = 64 * 1024 * 1024
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy work.
-
-    A file of one row group is read by one task however many cores wait.  The planner's size
-    estimate of the inputs decides: only below 64 MB per core is it redistributed, so the shuffle stays
-    small; a large input keeps its own splits.  Streams are left alone.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # The sum over what is read: above a join the planner's estimate is a product, not a size.
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df

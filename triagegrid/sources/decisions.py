@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from triagegrid.functions.labels import event_json
+from triagegrid.functions.labels import discard_json, event_json
 from triagegrid.functions.pricing import backfill_cost
 from triagegrid.operators.ledger import flatten_decision, insert_or_ignore
 from triagegrid.schema import DECISION
@@ -16,7 +16,7 @@ def decision_to_json(decision: Column) -> Column:
 
 
 def decision_from_json(text: Column) -> Column:
-    """The stored record, priced if it was written before costs were recorded."""
+    """A decision from its JSON text, as it was stored; ``hydrate`` adds costs that were not recorded then."""
     return F.from_json(text, DECISION)
 
 
@@ -61,7 +61,7 @@ def write_decisions(decisions: DataFrame, path: str, mode: str = "append", perio
     """
     rows = flatten_decision(decisions)
     spark = decisions.sparkSession
-    if mode == "append" and _exists(spark, path):
+    if mode == "append" and path_exists(spark, path):
         rows = insert_or_ignore(rows, read_ledger(spark, path).select(*rows.columns))
     else:
         rows = insert_or_ignore(rows, rows.limit(0))
@@ -69,15 +69,23 @@ def write_decisions(decisions: DataFrame, path: str, mode: str = "append", perio
     dated.write.mode(mode).partitionBy(LEDGER_PARTITION).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop)
 
 
-def decision_events(decisions: DataFrame) -> DataFrame:
-    """One JSON routing event per decision, as a single text column."""
+def decision_events(decisions: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """One JSON event per decision that counts and per submission that was discarded, as a single text column.
+
+    ``settled`` (see ``ledger.authoritative``) tells the two apart; without it every decision counts.
+    """
     d = F.struct(*decisions.columns)
-    return decisions.select(event_json(d).alias("value"))
+    if settled is None:
+        return decisions.select(event_json(d).alias("value"))
+    gone = settled.where("discarded")
+    kept = decisions.join(gone.select(F.col("submitted_id").alias("id")).distinct(), "id", "left_anti").select(*decisions.columns)
+    lost = gone.select(discard_json(F.col("submitted_id"), F.col("id"), F.col("source"), F.col("external_id")).alias("value"))
+    return kept.select(event_json(d).alias("value")).unionByName(lost)
 
 
 def write_decision_events(decisions: DataFrame, path: str, mode: str = "append") -> None:
