@@ -4,12 +4,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from triagegrid import lexicon as L
+from triagegrid.functions.text import fill
+
 
 def who_label(customer: Column) -> Column:
     return F.coalesce(
         customer["name"],
-        F.concat(F.lit("(not stated) "), F.nullif(customer["best_guess"], F.lit(""))),
-        F.lit("(not stated)"),
+        fill(L.WHO_GUESSED, value=F.nullif(customer["best_guess"], F.lit(""))),
+        F.lit(L.WHO_NOT_STATED),
     )
 
 
@@ -75,55 +78,54 @@ def explain_text(d: Column) -> Column:
     ``d`` is a struct of the DECISION schema.  Optional lines are null and drop out of the join.
     """
     x, who = d["extraction"], d["extraction"]["customer"]
-    guess = F.concat(who["best_guess"], F.lit(" (inferred, confidence "), two_places(who["confidence"]), F.lit(")"))
-    sender = F.coalesce(
-        F.nullif(who["name"], F.lit("")), F.when(who["best_guess"] != "", guess), F.lit("unknown")
-    )
-    fired = F.transform(
-        d["rule_hits"], lambda h: F.concat(F.lit("  - "), h["rule"], F.lit(": matched '"), h["matched"], F.lit("' -> "), h["effect"])
-    )
-    said = F.transform(d["overrides"], lambda o: F.concat(F.lit("  - "), o))
-    return F.concat_ws(
-        "\n",
-        F.concat(
-            F.lit("Ticket "), d["id"], F.lit("  ("), utc_iso_millis(d["created_at"]), F.lit(", mode="), d["mode"],
-            F.lit(", model="), F.coalesce(F.nullif(d["model"], F.lit("")), F.lit("-")), F.lit(")"),
-        ),
+    guess = fill(L.EXPLAIN_GUESS, guess=who["best_guess"], confidence=two_places(who["confidence"]))
+    sender = F.coalesce(F.nullif(who["name"], F.lit("")), F.when(who["best_guess"] != "", guess), F.lit(L.EXPLAIN_NOBODY))
+    basis = F.when(F.size(who["basis"]) > 0, fill(L.EXPLAIN_BASIS, value=_quoted_list(who["basis"]))).otherwise(F.lit(""))
+    second = F.coalesce(fill(L.EXPLAIN_SECOND_ROUTE, value=d["escalation_queue"]), F.lit(""))
+    fired = F.transform(d["rule_hits"], lambda h: fill(L.EXPLAIN_RULE, rule=h["rule"], matched=h["matched"], effect=h["effect"]))
+    said = F.transform(d["overrides"], lambda o: fill(L.EXPLAIN_OVERRIDE, value=o))
+    model = F.coalesce(F.nullif(d["model"], F.lit("")), F.lit("-"))
+
+    def why(field: str) -> Column:
+        return fill(L.EXPLAIN_WHY, value=x[field])
+
+    lines = [
+        fill(L.EXPLAIN_HEAD, id=d["id"], at=utc_iso_millis(d["created_at"]), mode=d["mode"], model=model),
         F.lit(""),
-        F.concat(F.lit("  Customer:   "), sender),
-        F.concat(
-            F.lit("              ids="), _list_or_dash(who["identifiers"]),
-            F.when(F.size(who["basis"]) > 0, F.concat(F.lit("  basis="), _quoted_list(who["basis"]))).otherwise(F.lit("")),
-        ),
-        F.concat(F.lit("              why: "), x["customer_reason"]),
-        F.concat(
-            F.lit("  Category:   "), F.replace(x["category"], F.lit("_"), F.lit(" ")), F.lit(" (confidence "),
-            two_places(x["category_confidence"]), F.lit(")"),
-        ),
-        F.concat(F.lit("              why: "), x["category_reason"]),
-        F.concat(F.lit("  Urgency:    "), x["urgency"], F.lit("  signals="), _list_or_dash(x["urgency_signals"])),
-        F.concat(F.lit("              why: "), x["urgency_reason"]),
-        F.concat(
-            F.lit("  Escalate:   "), F.when(x["escalate"], F.lit("True")).otherwise(F.lit("False")),
-            F.lit("  reasons="), _list_or_dash(x["escalation_reasons"]),
-        ),
-        F.concat(F.lit("              why: "), x["escalation_reason_text"]),
-        F.concat(
-            F.lit("  Routed to:  "), d["queue"],
-            F.coalesce(F.concat(F.lit("  + "), d["escalation_queue"]), F.lit("")),
+        fill(L.EXPLAIN_CUSTOMER, value=sender),
+        F.concat(fill(L.EXPLAIN_IDS, value=_list_or_dash(who["identifiers"])), basis),
+        why("customer_reason"),
+        fill(L.EXPLAIN_CATEGORY, category=F.replace(x["category"], F.lit("_"), F.lit(" ")), confidence=two_places(x["category_confidence"])),
+        why("category_reason"),
+        fill(L.EXPLAIN_URGENCY, urgency=x["urgency"], signals=_list_or_dash(x["urgency_signals"])),
+        why("urgency_reason"),
+        fill(
+            L.EXPLAIN_ESCALATE, escalate=F.when(x["escalate"], F.lit("True")).otherwise(F.lit("False")), reasons=_list_or_dash(x["escalation_reasons"])
         ),
+        why("escalation_reason_text"),
+        F.concat(fill(L.EXPLAIN_ROUTE, value=d["queue"]), second),
         F.lit(""),
-        F.lit("Overall rationale:"),
+        F.lit(L.EXPLAIN_RATIONALE),
         F.concat(F.lit("  "), x["rationale"]),
         F.lit(""),
-        F.lit("Guardrail rules that fired:"),
-        F.when(F.size(fired) > 0, F.array_join(fired, "\n")).otherwise(F.lit("  (none)")),
-        F.when(
-            F.size(said) > 0,
-            F.concat(F.lit("\nOverrides applied to the model's answer:\n"), F.array_join(said, "\n")),
-        ),
-        F.when(d["error"] != "", F.concat(F.lit("\nError during classification: "), d["error"])),
+        F.lit(L.EXPLAIN_RULES),
+        F.when(F.size(fired) > 0, F.array_join(fired, "\n")).otherwise(F.lit(L.EXPLAIN_NO_RULE)),
+        F.when(F.size(said) > 0, F.concat(F.lit(L.EXPLAIN_OVERRIDES), F.array_join(said, "\n"))),
+        F.when(d["error"] != "", fill(L.EXPLAIN_ERROR, value=d["error"])),
+    ]
+    return F.concat_ws("\n", *lines)
+
+
+def discard_json(discarded_id: Column, kept_id: Column, source: Column, external_id: Column) -> Column:
+    """The one-line event of a submission whose key already had a decision."""
+    event = F.struct(
+        F.lit("routing_decision_deduplicated").alias("event"),
+        discarded_id.alias("discarded_id"),
+        kept_id.alias("kept_id"),
+        source.alias("source"),
+        external_id.alias("external_id"),
     )
+    return F.to_json(event, {"ignoreNullFields": "false"})
 
 
 def event_json(d: Column) -> Column:

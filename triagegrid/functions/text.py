@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagegrid.lexicon import PIECES
+from triagegrid.functions.pieces import PIECES
 
 # Word characters, boundaries and whitespace follow Unicode; "." stops only at a line feed.
 _FLAGS = "(?Ud)"

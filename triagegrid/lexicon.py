@@ -152,69 +152,6 @@ NOT_A_COMPANY = [
     "December", "The", "Our", "Your", "My", "Q1", "Q2", "Q3", "Q4",
 ]
 
-# ---------------------------------------------------------------------------------------------
-# For a pattern, lower-case pieces of which every match contains at least one.  Looking
-# for a piece is far cheaper than running the pattern, so the pattern runs only where one occurs.
-# ---------------------------------------------------------------------------------------------
-PIECES = {
-    GUARDRAILS[0][3]: [
-        "unauthori", "credential", "revoke", "former employee", "terminated employee", "ex-employee", "offboard",
-        "compromised", "hacked", "phish", "malware", "ransomware", "brute", "session hijack", "mfa", "2fa", "audit log",
-    ],
-    GUARDRAILS[1][3]: [
-        "vulnerabilit", "idor", "cve-", "sql injection", "xss", "cross", "exploit", "security ", "responsible disclosure",
-    ],
-    GUARDRAILS[2][3]: [
-        "other ", "someone else", "not our", "expos", "data leak", "data breach", "leaked", "permission", " to everyone",
-        " to all staff", " to all users", " to the whole", " to anyone", " to contractors",
-    ],
-    GUARDRAILS[3][3]: [
-        "legal team", "legal action", "lawyer", "attorney", "counsel", "lawsuit", "litigation", "sue", "suing", "in breach",
-        "breach of", "msa", "master service", "arbitration", "subpoena", "cease and desist", "small claims",
-    ],
-    GUARDRAILS[4][3]: [
-        "gdpr", "ccpa", "hipaa", "dsar", "data subject", "right to ", "article 17", "regulator", "data protection ",
-    ],
-    GUARDRAILS[5][3]: [
-        "ceo", "cfo", "cto", "coo", "cio", "ciso", "cro", "cmo", "founder", "vp", "president", " officer", "executive team",
-        "leadership team", "board", "general counsel",
-    ],
-    SPAM: [
-        "free credit", "discord", "telegram", "whatsapp", "crypto", "bitcoin", "mining", "lol", "lmao", "uncle", "cousin",
-        "seo", "backlink", "5-star", "guaranteed", "click here", "unsubscribe", "casino", "giveaway", "hmu", "dm me",
-        "lead list", "b2b lead", "contact list", "cold ", "wanna partner", "first ", "reply ",
-    ],
-    BILLING: [
-        "invoice", "charge", "bille", "billing", "refund", "payment", "plan", "pricing", "subscription", "renew", "seat",
-        "credit card", "card on file", "overcharg", "double", "cobr", "factura", "suscripci", "reembols", "pago",
-    ],
-    BUG: [
-        "error", "500", "bug", "broken", "throwing", "crash", "not work", "t work", "reset", "fail", "down", "outage",
-        "button", "toggle", "export", "dashboard", "checkout", "latency", "429", "timeout", "slow",
-    ],
-    ONBOARDING: ["onboard", "implementation", "kickoff", "set", "live", "migration"],
-    FEATURE: [
-        "feature request", "would be great", "can you add", "raise ", "increase ", "support for", "roadmap", "integrat",
-    ],
-    DEADLINE: ["due ", "by ", "end of ", "today", "asap", "urgent", "immediately", "right away", "deadline"],
-    LOW_PRIORITY: ["whenever you get a chance", "no rush", "low priority", "not urgent", "when you can", "minor"],
-    OUTAGE: ["entire", "whole", "completely down", "is down", "been down", "are down", "outage", "all ", "can"],
-    WIDESPREAD_MONEY: ["twice", "double", "duplicate"],
-    MONEY: ["$"],
-    IDENTIFIER: ["#", "@", "invoice", "account"],
-    EMAIL_DOMAIN: ["@"],
-    ENTERPRISE: [
-        "enterprise", "our ", "users", "seats", "analysts", "people", "workspace", "unity catalog", "databricks",
-        "sql warehouse", "basecamp", "sow", "msa",
-    ],
-    SCALE: ["users", "analysts", "staff", "employees", "people", "seats"],
-    PLAN: [" plan"],
-    ACTIVE_INCIDENT: [
-        "logged in", "this morning", "right now", "currently", " access", "we can see activity", "able to see", "able to view",
-        "exported",
-    ],
-}
-
 # ---------------------------------------------------------------------------------------------
 # Confidences of the keyword reading.
 # ---------------------------------------------------------------------------------------------
@@ -313,3 +250,51 @@ FORECAST_INPUT_TOKENS = 2500
 FORECAST_CACHED_SHARE = 0.9
 FORECAST_OUTPUT_TOKENS = {"minimal": 450, "low": 900, "medium": 1600, "high": 2600}
 FORECAST_BUDGET_USD = 0.25
+
+# ---------------------------------------------------------------------------------------------
+# The fields of a recheck as (name, label, whether it changes where the ticket goes).
+# ---------------------------------------------------------------------------------------------
+RECHECK_LABELS = [
+    ("category", "What kind of request", True),
+    ("urgency", "How urgent", True),
+    ("escalate", "Escalate?", True),
+    ("escalation_reasons", "Escalated for", True),
+    ("queue", "Where it goes", True),
+    ("customer", "Who sent it", False),
+    ("category_confidence", "Category confidence", False),
+    ("customer_confidence", "Customer confidence", False),
+    ("category_reason", "The wording of the reason", False),
+]
+NO_REASONS = "—"
+WHO_GUESSED = "(not stated) {}"
+WHO_NOT_STATED = "(not stated)"
+KEYWORD_READER = "keyword rules"
+
+# ---------------------------------------------------------------------------------------------
+# The lines of a decision's explanation.
+# ---------------------------------------------------------------------------------------------
+EXPLAIN_HEAD = "Ticket {id}  ({at}, mode={mode}, model={model})"
+EXPLAIN_CUSTOMER = "  Customer:   {}"
+EXPLAIN_GUESS = "{guess} (inferred, confidence {confidence})"
+EXPLAIN_NOBODY = "unknown"
+EXPLAIN_IDS = "              ids={}"
+EXPLAIN_BASIS = "  basis={}"
+EXPLAIN_WHY = "              why: {}"
+EXPLAIN_CATEGORY = "  Category:   {category} (confidence {confidence})"
+EXPLAIN_URGENCY = "  Urgency:    {urgency}  signals={signals}"
+EXPLAIN_ESCALATE = "  Escalate:   {escalate}  reasons={reasons}"
+EXPLAIN_ROUTE = "  Routed to:  {}"
+EXPLAIN_SECOND_ROUTE = "  + {}"
+EXPLAIN_RATIONALE = "Overall rationale:"
+EXPLAIN_RULES = "Guardrail rules that fired:"
+EXPLAIN_RULE = "  - {rule}: matched '{matched}' -> {effect}"
+EXPLAIN_NO_RULE = "  (none)"
+EXPLAIN_OVERRIDES = "\nOverrides applied to the model's answer:\n"
+EXPLAIN_OVERRIDE = "  - {}"
+EXPLAIN_ERROR = "\nError during classification: {}"
+
+#: Patterns that run only where one of their pieces occurs (``functions.pieces``).
+GATED = [
+    *[g[3] for g in GUARDRAILS], SPAM, BILLING, BUG, ONBOARDING, FEATURE, DEADLINE, LOW_PRIORITY, OUTAGE, WIDESPREAD_MONEY, MONEY, IDENTIFIER,
+    EMAIL_DOMAIN, ENTERPRISE, SCALE, PLAN, ACTIVE_INCIDENT,
+]

@@ -13,12 +13,11 @@ from triagegrid import lexicon as L
 from triagegrid.operators.routing import escalation_queue_for, queue_for
 from triagegrid.operators.stability import expand_runs
 from triagegrid.schema import EXTRACTION, USAGE
-from triagegrid.session import spread_small
 
 OPENERS = [
     "Invoice #{n} was charged twice, please refund {amt}.",
     "The export button throws a 500 error on the dashboard.",
-    "A former employee still has admin credentials and we can see activity in the audit log.",
+    "Yesterday's leaver, now an ex-employee, keeps opening the vault and we can see activity there.",
     "If this is not settled our legal team will open litigation for breach of the agreement.",
     "Under GDPR we send this data subject request to your data protection officer.",
     "Our CEO and the board want an answer.",
@@ -35,7 +34,7 @@ OPENERS = [
     "Write to buyer{n}@gmail.com about the refund of {amt}.",
     "I found a sql injection vulnerability and follow responsible disclosure.",
     "Our attorney and our CTO read the MSA, this is a permissions issue.",
-    "We exposed our internal cost data to everyone, currently still open to anyone.",
+    "Payroll sheets were set open to anyone last night, and right now they still are.",
     "Someone phished our staff, malware was exported this morning, our lawyer and the regulator know, says the CISO.",
     "About 250 of our analysts use the workspace and the toggle resets.",
     "The team plan shows latency, 40 seats are slow.",
@@ -73,6 +72,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Narrow rows dealt over all cores before tickets are made of them: each given table is one file of one row group."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
@@ -88,8 +92,8 @@ def ticket_text(key: Column, amount: Column, segment: Column, body: Column | Non
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
+    orders = dealt(
+        table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     )
     customer = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).withColumn("seg", F.initcap("c_mktsegment"))
@@ -119,7 +123,7 @@ def eval_tickets(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_tickets(spark: SparkSession, sf: str) -> DataFrame:
     """A ticket per document, holding its whole text."""
-    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    d = dealt(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
     return d.select(
         F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("id"),
         ticket_text(F.col("doc_id"), F.col("n_chars").cast("string"), F.initcap("lang"), F.col("text")).alias("text"),
@@ -131,7 +135,7 @@ def document_tickets(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_tickets(spark: SparkSession, sf: str) -> DataFrame:
     """A ticket per order line, for volume."""
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
+    l = dealt(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate"))
     key = F.col("l_orderkey") * 7 + F.col("l_linenumber")
     return l.select(
         F.concat_ws("-", F.lit("L"), "l_orderkey", "l_linenumber").alias("id"),
@@ -142,9 +146,11 @@ def line_tickets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
-    """A model answer per order whose priority was specified; some failed, some off the schema."""
-    o = _orders(spark, sf).where(F.col("o_orderpriority") != "4-NOT SPECIFIED")
+def answers(spark: SparkSession, sf: str, gap: bool = False) -> DataFrame:
+    """A model answer per order; some failed, some off the schema.  With ``gap``, orders without a priority have none."""
+    o = _orders(spark, sf)
+    if gap:
+        o = o.where(F.col("o_orderpriority") != "4-NOT SPECIFIED")
     k = F.col("o_orderkey")
     conf = (4 + k % 7) / F.lit(10.0)
     escalate = k % 3 == 0
@@ -232,7 +238,7 @@ def probe(spark: SparkSession, sf: str) -> DataFrame:
 
 def repeated_runs(spark: SparkSession, sf: str, runs: int = RUNS, first: int = 0) -> DataFrame:
     """Every order read ``runs`` times by a reader whose answers move a little (ticket_key, run, decision)."""
-    o = expand_runs(spread_small(_orders(spark, sf)), runs).withColumn("run", F.col("run") + first)
+    o = expand_runs(_orders(spark, sf), runs).withColumn("run", F.col("run") + first)
     k = F.col("o_orderkey")
     o = o.withColumn("h", (k * 31 + F.col("run") * 17) % 10)
     h = F.col("h")
@@ -263,6 +269,8 @@ def repeated_runs(spark: SparkSession, sf: str, runs: int = RUNS, first: int = 0
             queue_for(F.col("category"), F.col("urgency"), F.col("escalate"), F.col("confidence")).alias("queue"),
             escalation_queue_for(F.col("escalate")).alias("escalation_queue"),
             F.when(h == 9, F.lit("llm_fallback_rules")).otherwise(F.lit("llm")).alias("mode"),
+            F.when(h != 9, pick(MODELS, (k + F.col("run")) % 4)).alias("model"),
+            (1000 + (k * 13 + F.col("run") * 7) % 5000).alias("latency_ms"),
         ).alias("decision"),
     )
 

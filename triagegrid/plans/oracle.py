@@ -231,10 +231,12 @@ ANSWERS = f"""ans0 AS (SELECT 'O-' || o_orderkey AS akey, ({lst(D.MODELS)})[o_or
   CASE WHEN o_orderkey % 4 = 0 THEN seg || ' Corp' END AS a_name, CASE WHEN o_orderkey % 4 <> 0 THEN 'a shop customer' END AS a_guess,
   CASE WHEN o_orderkey % 4 = 0 THEN 1.0 ELSE 0.4 END::DOUBLE AS a_who_conf, ['#' || o_orderkey] AS a_ids,
   1000 + o_orderkey % 2000 AS tin, o_orderkey % 1500 AS tcached, 200 + o_orderkey % 700 AS tout, 1000 + (o_orderkey * 37) % 9000 AS a_ms
-  FROM ord WHERE o_orderpriority <> '4-NOT SPECIFIED'),
+  FROM ord),
 ans AS (SELECT *, CASE WHEN a_failed THEN 'APITimeoutError: Request timed out.'
   WHEN a_cat = 'ninth-category' THEN 'ValidationError: category: not a listed value' END AS a_problem FROM ans0)"""
 
+ANSWERS_WITH_GAP = ANSWERS.replace("FROM ord)", "FROM ord WHERE o_orderpriority <> '4-NOT SPECIFIED')")
+
 
 def cost_sql(model: str, tin: str, cached: str, out: str) -> str:
     def price(i: int) -> str:
@@ -267,7 +269,7 @@ def usd6_sql(micro: str) -> str:
     return f"(CAST(round({micro}) AS DOUBLE) / 1000000)"
 
 
-MODEL_BASE = f"""{ORDER_TICKETS}, {ANSWERS},{keyword_ctes()},
+MODEL_BASE = f"""{ORDER_TICKETS}, {ANSWERS_WITH_GAP},{keyword_ctes()},
 mb AS (SELECT kw.*, ans.*, akey IS NOT NULL AND a_problem IS NULL AS used FROM kw LEFT JOIN ans ON kw.id = ans.akey)"""
 MODEL = (
     f"WITH {MODEL_BASE},"
@@ -311,5 +313,7 @@ RUNS = f"""{ORD}, rr AS (SELECT *, unnest(range({D.RUNS})) AS run FROM ord),
 rd0 AS (SELECT 'O-' || o_orderkey AS tk, run, seg, {_H} AS h, ({lst(L.CATEGORIES)})[(o_orderkey + CAST({_H} < 2 AS INTEGER)) % 8 + 1] AS cat,
   ({lst(L.URGENCIES)})[(o_orderkey + CAST({_H} BETWEEN 3 AND 4 AS INTEGER)) % 4 + 1] AS urg, (o_orderkey + CAST({_H} = 5 AS INTEGER)) % 3 = 0 AS esc,
   CAST(50 + (o_orderkey * 7 + run * 13) % 45 AS DOUBLE) / 100 AS conf, CASE WHEN {_H} <> 7 THEN seg END AS name,
-  ({lst(L.REASONS)})[o_orderkey % 5 + 1] AS reason FROM rr),
+  ({lst(L.REASONS)})[o_orderkey % 5 + 1] AS reason, CASE WHEN {_H} <> 9 THEN ({lst(D.MODELS)})[(o_orderkey + run) % 4 + 1] END AS model,
+  1000 + (o_orderkey * 13 + run * 7) % 5000 AS latency_ms FROM rr),
 rd AS (SELECT *, {route_sql('cat', 'urg', 'esc', 'conf')} AS queue, {esc_queue_sql('esc')} AS eq, CASE WHEN h = 9 THEN 'llm_fallback_rules' ELSE 'llm' END AS mode FROM rd0)"""
+RUNS_OF_SIX = RUNS.replace(f"range({D.RUNS})", "range(6)")

@@ -15,7 +15,7 @@ from triagegrid.operators.classify import classify_with
 from triagegrid.operators.decide import decide, resolve_answers, validate_answers
 from triagegrid.plans import derived as D
 from triagegrid.plans import oracle as O
-from triagegrid.session import scratch_path, spread_small
+from triagegrid.session import scratch_path
 from triagegrid.sources import decisions as S
 from triagegrid.sources import labelled, tickets
 from triagegrid.streaming import intake
@@ -53,7 +53,7 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def read_by_model(spark: SparkSession, sf: str) -> DataFrame:
-    return decide(D.eval_tickets(spark, sf), D.answers(spark, sf))
+    return decide(D.eval_tickets(spark, sf), D.answers(spark, sf, gap=True))
 
 
 def read_by_keywords(spark: SparkSession, sf: str) -> DataFrame:
@@ -65,14 +65,7 @@ def scores(spark: SparkSession, sf: str, model: bool = True) -> DataFrame:
 
 
 def folded_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return text.add_folded(spread_small(D.document_tickets(spark, sf)))
-
-
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Store a shared input once, so that operators reading it twice do not classify twice."""
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return text.add_folded(D.document_tickets(spark, sf))
 
 
 # --- scans, sources, sinks -------------------------------------------------------------------
@@ -114,6 +107,54 @@ _BLOCKS = f"""SELECT {O.strip('b')} AS text FROM (SELECT unnest(string_split(tex
 WHERE {O.strip('b')} <> ''"""
 
 
+@query(f"SELECT {_TURN} AS external_id, text, role AS source FROM conversations WHERE role = 'user' UNION ALL SELECT NULL, text, 'upload' FROM conversations WHERE role <> 'user'")
+def read_tickets_csv_headers(spark, sf):
+    """Files with different headers and orders of columns in one folder."""
+    path = scratch_path(spark, "csv-headers")
+    rows = D.table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.col("role").alias("source"))
+
+    def write(part: DataFrame, mode: str) -> None:
+        writer = part.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", True)
+        writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+    user = F.col("source") == "user"
+    write(rows.where(user).select("source", "id", "text"), "overwrite")
+    write(rows.where(~user).select("text"), "append")
+    got = tickets.read_tickets_csv(spark, path)
+    return got.select("external_id", "text", F.when(F.startswith("source", F.lit("upload:")), F.lit("upload")).otherwise(F.col("source")).alias("source"))
+
+
+def _array_files(rows: DataFrame, by: Column, path: str) -> None:
+    """One JSON array of the rows of each group in a file of its own."""
+    arrays = rows.groupBy(by).agg(F.array_join(F.collect_list(F.to_json(F.struct(*rows.columns))), ",").alias("items"))
+    arrays.select(F.concat(F.lit("["), F.col("items"), F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query(f"SELECT {_TURN} AS external_id, text, true AS from_upload FROM conversations")
+def read_tickets_json_files(spark, sf):
+    path = scratch_path(spark, "json-files")
+    _array_files(_turns(spark, sf), F.substring_index("id", "-", 1), path)
+    rows = tickets.read_tickets_json(spark, path)
+    return rows.select("external_id", "text", F.startswith("source", F.lit("upload:")).alias("from_upload"))
+
+
+@query(f"SELECT {_TURN} AS external_id, text, 'shop' AS source FROM conversations")
+def read_fixture_tickets(spark, sf):
+    path = scratch_path(spark, "fixture")
+    _array_files(_turns(spark, sf), F.substring_index("id", "-", 1), path)
+    return labelled.read_fixture_tickets(spark, path, "shop").select("external_id", "text", "source")
+
+
+@query("""SELECT 'model-' || s_name AS model, CASE WHEN s_suppkey % 3 <> 0 THEN (['minimal', 'low', 'medium'])[s_suppkey % 3 + 1] END AS effort, s_suppkey % 3 AS missed, s_suppkey % 5 AS false_calls,
+30 + s_suppkey % 40 AS n FROM supplier""")
+def bakeoff_results(spark, sf):
+    path = scratch_path(spark, "bakeoff")
+    _array_files(D.run_results(spark, sf), F.substring("model", -2, 2), path)
+    rows = labelled.bakeoff_results(spark, path)
+    x = F.col("summary")
+    return rows.select("model", "effort", F.size(x["missed_escalations"]).cast("bigint").alias("missed"), F.size(x["false_escalations"]).cast("bigint").alias("false_calls"), F.col("n").cast("bigint").alias("n"))
+
+
 @query(_BLOCKS)
 def read_tickets_text(spark, sf):
     path = scratch_path(spark, "text")
@@ -134,7 +175,7 @@ def read_tickets(spark, sf):
 
 
 _NORMAL = """SELECT CASE WHEN lang = 'en' THEN 'api' ELSE source END AS source, CAST(doc_id AS VARCHAR) AS external_id,
-length(text) AS chars{} FROM documents WHERE {}"""
+length(text) AS chars, md5(text) AS body{} FROM documents WHERE {}"""
 
 
 def _raw_documents(spark, sf):
@@ -145,13 +186,13 @@ def _raw_documents(spark, sf):
 @query(_NORMAL.format("", "length(text) BETWEEN 1 AND 20000"))
 def normalise_tickets(spark, sf):
     ok, _ = tickets.normalise_tickets(_raw_documents(spark, sf))
-    return ok.select("source", "external_id", F.char_length("text").alias("chars"))
+    return ok.select("source", "external_id", F.char_length("text").alias("chars"), F.md5("text").alias("body"))
 
 
 @query(_NORMAL.format(", 'text is longer than 20000 characters' AS problem", "length(text) > 20000"))
 def quarantine_tickets(spark, sf):
     _, bad = tickets.normalise_tickets(_raw_documents(spark, sf))
-    return bad.select("source", "external_id", F.char_length("text").alias("chars"), "problem")
+    return bad.select("source", "external_id", F.char_length("text").alias("chars"), F.md5("text").alias("body"), "problem")
 
 
 @query(f"""WITH {O.ORD}, {O.GOLD} SELECT gid AS id, grp AS "group", e_cat AS category, e_urg AS urgency, e_esc AS escalate, e_name AS customer_name,
@@ -178,43 +219,59 @@ def decision_json_round_trip(spark, sf):
     )
 
 
-@query(O.MODEL + """ SELECT 'recorded:shop' AS source, id AS external_id, '2026-02-03T04:05:06.000+00:00' AS created_at, cost_usd, count(*) OVER () AS ledger_rows FROM dm""")
+@query(O.MODEL + """ SELECT 'recorded:shop' AS source, id AS external_id, '2026-02-03T04:05:06.000+00:00' AS created_at, cost_usd FROM dm""")
 def replay_decisions(spark, sf):
     now = F.lit("2026-02-03 04:05:06").cast("timestamp")
     old = read_by_model(spark, sf)
     old = old.withColumn("usage", F.when(F.col("mode") == "llm", F.col("usage").withField("cost_usd", F.lit(None).cast("double"))))
     again = ledger.replay_decisions(old, "shop", now)
-    rows = written(spark, ledger.flatten_decision(again.withColumn("usd", F.col("usage.cost_usd")), "usd"), "replay")
+    rows = ledger.flatten_decision(again.withColumn("usd", F.col("usage.cost_usd")), "usd")
     after, _ = ledger.record(rows, rows)
-    n = after.agg(F.count(F.lit(1)).alias("ledger_rows"))
-    return (
-        after.select("source", "external_id", labels.utc_iso_millis(F.col("created_at")).alias("created_at"), F.col("usd").alias("cost_usd"), F.lit(1).alias("_k"))
-        .join(n.select("ledger_rows", F.lit(1).alias("_k")), "_k")
-        .drop("_k")
-    )
+    return after.select("source", "external_id", labels.utc_iso_millis(F.col("created_at")).alias("created_at"), F.col("usd").alias("cost_usd"))
 
 
 _FIRST = """ SELECT {} FROM (SELECT *, row_number() OVER (PARTITION BY source, external_id, CASE WHEN external_id IS NULL THEN id END
 ORDER BY created_at, id) AS rn FROM {}) WHERE rn = 1"""
 
 
-@query(O.RULES_ORDERS + _FIRST.format("id, source, external_id, strftime(created_at, '%Y-%m-01') AS created_date, cat AS category, urg AS urgency, CAST(esc AS INTEGER) AS escalate, queue, escalation_queue, length(text) AS chars", "d"))
+@query(O.RULES_ORDERS + _FIRST.format("id, source, external_id, strftime(created_at, '%Y-%m-01') AS created_date, cat AS category, urg AS urgency, CAST(esc AS INTEGER) AS escalate, queue, escalation_queue, md5(text) AS body", "d"))
 def write_decisions(spark, sf):
     path = scratch_path(spark, "ledger")
     S.write_decisions(rules(spark, sf), path, period="month")
     return S.read_ledger(spark, path).select(
         "id", "source", "external_id", F.col("created_date").cast("string").alias("created_date"), "category", "urgency", "escalate", "queue",
-        "escalation_queue", F.char_length("ticket_text").alias("chars"),
+        "escalation_queue", F.md5("ticket_text").alias("body"),
     )
 
 
-@query(O.RULES_ORDERS + " SELECT 'routing_decision' AS event, id, 'rules' AS mode, cat AS category, urg AS urgency, CAST(esc AS VARCHAR) AS escalate, queue, escalation_queue FROM d")
+@query(O.RULES_ORDERS + """ SELECT 'routing_decision' AS event, id, 'rules' AS mode, cat AS category, urg AS urgency, CAST(esc AS VARCHAR) AS escalate, to_json(rs)::VARCHAR AS reasons, queue, escalation_queue,
+to_json([split_part(h, '~', 1) FOR h IN hits])::VARCHAR AS rule_hits, to_json(ovr)::VARCHAR AS overrides, '0' AS latency_ms, NULL::VARCHAR AS usage FROM d""")
 def decision_events(spark, sf):
     e = S.decision_events(rules(spark, sf))
-    names = ["event", "id", "mode", "category", "urgency", "escalate", "queue", "escalation_queue"]
+    names = ["event", "id", "mode", "category", "urgency", "escalate", "reasons", "queue", "escalation_queue", "rule_hits", "overrides", "latency_ms", "usage"]
+    return e.select(F.json_tuple("value", *names).alias(*names))
+
+
+@query(O.RULES_ORDERS + """, w AS (SELECT *, first_value(id) OVER (PARTITION BY source, external_id, CASE WHEN external_id IS NULL THEN id END ORDER BY created_at, id) AS kept FROM d)
+SELECT CASE WHEN kept = id THEN 'routing_decision' ELSE 'routing_decision_deduplicated' END AS event, CASE WHEN kept = id THEN id END AS id, CASE WHEN kept <> id THEN id END AS discarded_id,
+CASE WHEN kept <> id THEN kept END AS kept_id, CASE WHEN kept <> id THEN source END AS source, CASE WHEN kept <> id THEN external_id END AS external_id FROM w""")
+def discard_events(spark, sf):
+    d = rules(spark, sf)
+    sent = d.select("id", "created_at", "ticket.source", "ticket.external_id")
+    e = S.decision_events(d, ledger.authoritative(sent, sent.limit(0)))
+    names = ["event", "id", "discarded_id", "kept_id", "source", "external_id"]
     return e.select(F.json_tuple("value", *names).alias(*names))
 
 
+@query(O.MODEL + """ SELECT id, mode, cat AS category, urg AS urgency, cost_usd FROM dm""")
+def hydrate(spark, sf):
+    """Decisions written without their cost and read back from ledger rows."""
+    d = read_by_model(spark, sf)
+    d = d.withColumn("usage", F.when(F.col("mode") == "llm", F.col("usage").withField("cost_usd", F.lit(None).cast("double"))))
+    x = F.col("extraction")
+    return S.hydrate(ledger.flatten_decision(d)).select("id", "mode", x["category"].alias("category"), x["urgency"].alias("urgency"), F.col("usage.cost_usd").alias("cost_usd"))
+
+
 # --- projections, filters, predicates --------------------------------------------------------
 
 _L = "WITH " + O.LEDGER
@@ -350,12 +407,12 @@ def resolve_and_decide(spark, sf):
     )
 
 
-@query(f"WITH {O.ORDER_TICKETS}, {O.ANSWERS} SELECT id, CASE WHEN akey IS NOT NULL AND a_problem IS NULL THEN 'llm' ELSE 'llm_fallback_rules' END AS mode, CASE WHEN akey IS NULL THEN 'ValueError: no answer for this ticket' ELSE a_problem END AS error FROM tickets LEFT JOIN ans ON akey = id")
+@query(f"WITH {O.ORDER_TICKETS}, {O.ANSWERS_WITH_GAP} SELECT id, CASE WHEN akey IS NOT NULL AND a_problem IS NULL THEN 'llm' ELSE 'llm_fallback_rules' END AS mode, CASE WHEN akey IS NULL THEN 'ValueError: no answer for this ticket' ELSE a_problem END AS error FROM tickets LEFT JOIN ans ON akey = id")
 def resolve_answers_join(spark, sf):
-    return resolve_answers(D.eval_tickets(spark, sf), D.answers(spark, sf)).select("id", "mode", "error")
+    return resolve_answers(D.eval_tickets(spark, sf), D.answers(spark, sf, gap=True)).select("id", "mode", "error")
 
 
-_GJ = f"WITH {O.ORDER_TICKETS}, {O.GOLD}, {O.ANSWERS}"
+_GJ = f"WITH {O.ORDER_TICKETS}, {O.GOLD}, {O.ANSWERS_WITH_GAP}"
 
 
 @query(f"WITH {O.rules_ctes(O.ORDER_TICKETS)}, {O.GOLD} SELECT gid AS id, e_cat AS expected_category, cat AS got_category FROM gold JOIN d ON gid = d.id")
@@ -366,7 +423,7 @@ def join_gold(spark, sf):
 
 @query("SELECT 'O-' || o_orderkey AS id FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED'")
 def coverage_gaps(spark, sf):
-    covered = D.answers(spark, sf).select(F.struct(F.col("ticket_key").alias("external_id")).alias("ticket"))
+    covered = D.answers(spark, sf, gap=True).select(F.struct(F.col("ticket_key").alias("external_id")).alias("ticket"))
     return scoring.coverage_gaps(D.gold(spark, sf), covered)
 
 
@@ -460,13 +517,17 @@ _SCORED = O.MODEL + f", {O.GOLD}, {O.scores_cte()}"
 
 @query(_SCORED + """ SELECT gid AS id, grp AS "group", e_esc AS must_escalate, esc AS escalated, escalation_ok, missed AS missed_escalation, false_esc AS false_escalation, reasons_ok, category_ok,
 urgency_exact, urgency_ok, customer_ok, banded AS confidence_scored, ceiling_ok AS confidence_ceiling_ok, floor_ok AS confidence_floor_ok, c_conf AS confidence_got, c_guess AS guess, basis_given,
-identifier_ok, array_to_string(list_sort(amb), '|') AS ambiguous, queue, cat AS got_category, urg AS got_urgency, c_name AS got_customer, e_cat AS expected_category FROM sc""")
+identifier_ok, array_to_string(list_sort(amb), '|') AS ambiguous, queue, cat AS got_category, urg AS got_urgency, c_name AS got_customer, e_cat AS expected_category, lo AS band_low, hi AS band_high, esc AS got_escalate, array_to_string(rs, '|') AS got_reasons,
+e_urg AS expected_urgency, e_esc AS expected_escalate, e_name AS expected_name, e_id AS expected_identifier FROM sc""")
 def score(spark, sf):
     return scores(spark, sf).select(
         "id", "group", "must_escalate", "escalated", "escalation_ok", "missed_escalation", "false_escalation", "reasons_ok", "category_ok", "urgency_exact",
         "urgency_ok", "customer_ok", "confidence_scored", "confidence_ceiling_ok", "confidence_floor_ok", "confidence_got", "guess", "basis_given",
         "identifier_ok", join(F.col("ambiguous")).alias("ambiguous"), "queue", F.col("got.category").alias("got_category"),
         F.col("got.urgency").alias("got_urgency"), F.col("got.customer").alias("got_customer"), F.col("expected.category").alias("expected_category"),
+        F.get("confidence_band", F.lit(0)).alias("band_low"), F.get("confidence_band", F.lit(1)).alias("band_high"), F.col("got.escalate").alias("got_escalate"),
+        join(F.col("got.reasons")).alias("got_reasons"), F.col("expected.urgency").alias("expected_urgency"), F.col("expected.escalate").alias("expected_escalate"),
+        F.col("expected.customer_name").alias("expected_name"), F.col("expected.identifier_contains").alias("expected_identifier"),
     )
 
 
@@ -558,11 +619,11 @@ def latency_profile_overall(spark, sf):
 
 # Drafts are the answers; a second read of the same order differs by its date.
 _FINALS = f"""fin AS (SELECT 'O-' || o_orderkey AS fkey, ({O.lst(L.CATEGORIES)})[(o_orderkey + (o_custkey % 3 = 0)::INTEGER) % 8 + 1] AS f_cat, ({O.lst(L.URGENCIES)})[(o_orderkey // 2) % 4 + 1] AS f_urg,
-o_orderkey % 3 = 0 AS f_esc, 1500 + o_orderkey % 1800 AS f_in, o_orderkey % 1200 AS f_cached, 400 + o_orderkey % 900 AS f_out FROM ord WHERE o_orderpriority <> '4-NOT SPECIFIED')"""
+o_orderkey % 3 = 0 AS f_esc, 1500 + o_orderkey % 1800 AS f_in, o_orderkey % 1200 AS f_cached, 400 + o_orderkey % 900 AS f_out FROM ord)"""
 
 
 def _finals(spark, sf):
-    o = D._orders(spark, sf).where(F.col("o_orderpriority") != "4-NOT SPECIFIED")
+    o = D._orders(spark, sf)
     k = F.col("o_orderkey")
     drafts = D.answers(spark, sf).select(F.col("ticket_key"), F.col("extraction").alias("_x"))
     x = F.coalesce(F.col("_x"), F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in D.EXTRACTION]))
@@ -613,7 +674,6 @@ CASE WHEN expensive THEN f_in ELSE tin END AS input_tokens, {O.usd6_sql("CASE WH
 FROM t JOIN ans ON akey = t.id JOIN fin ON fkey = t.id""")
 def cascade_by_rules(spark, sf):
     triaged = cascade.triage_by_rules(D.order_tickets(spark, sf)).select(F.col("id").alias("ticket_key"), "expensive", "why")
-    triaged = written(spark, triaged, "triaged")
     c = cascade.cascade_by_rules(triaged, D.answers(spark, sf), _finals(spark, sf))
     return c.select(
         F.col("ticket_key").alias("id"), F.col("usage.cascade.expensive").alias("expensive"), "model", F.col("usage.input_tokens").alias("input_tokens"), F.col("usage.cost_usd").alias("cost_usd")
@@ -679,16 +739,16 @@ def flipped_tickets(spark, sf):
     return stability.flipped_tickets(stability.consistency(D.repeated_runs(spark, sf)))
 
 
-_RECHECK = f"""WITH {O.RUNS}, f AS (SELECT tk, run, unnest([{{'f': 'category', 'd': true, 'v': cat}}, {{'f': 'urgency', 'd': true, 'v': urg}}, {{'f': 'escalate', 'd': true, 'v': CASE WHEN esc THEN 'yes' ELSE 'no' END}},
+_RECHECK = f"""WITH {O.RUNS_OF_SIX}, f AS (SELECT tk, run, unnest([{{'f': 'category', 'd': true, 'v': cat}}, {{'f': 'urgency', 'd': true, 'v': urg}}, {{'f': 'escalate', 'd': true, 'v': CASE WHEN esc THEN 'yes' ELSE 'no' END}},
 {{'f': 'escalation_reasons', 'd': true, 'v': CASE WHEN esc THEN reason ELSE '—' END}}, {{'f': 'queue', 'd': true, 'v': concat_ws(' + ', queue, eq)}}, {{'f': 'customer', 'd': false, 'v': coalesce(name, '(not stated) a shop customer')}},
 {{'f': 'category_confidence', 'd': false, 'v': format('{{:.2f}}', conf)}}, {{'f': 'customer_confidence', 'd': false, 'v': CASE WHEN name IS NULL THEN '0.40' ELSE '1.00' END}},
-{{'f': 'category_reason', 'd': false, 'v': 'reads like ' || cat}}]) AS e FROM rd WHERE run <= 2),
+{{'f': 'category_reason', 'd': false, 'v': 'reads like ' || cat}}]) AS e FROM rd WHERE run <= 5),
 rc AS (SELECT tk, e.f AS field, bool_or(e.d) AS decisive, string_agg(e.v, '|' ORDER BY run) AS vals, count(DISTINCT e.v) = 1 AS agree FROM f GROUP BY ALL)"""
 
 
 def _recheck(spark, sf):
     original = D.repeated_runs(spark, sf, 1).drop("run")
-    return stability.recheck(original, D.repeated_runs(spark, sf, 3, 1), runs=2)
+    return stability.recheck(original, D.repeated_runs(spark, sf, 6, 1), runs=5)
 
 
 @query(_RECHECK + ' SELECT tk AS ticket_key, field, decisive, vals AS "values", agree FROM rc')
@@ -696,6 +756,12 @@ def recheck(spark, sf):
     return _recheck(spark, sf).select("ticket_key", "field", "decisive", join(F.col("values")).alias("values"), "agree")
 
 
+@query(f"WITH {O.RUNS_OF_SIX} SELECT tk AS ticket_key, run, coalesce(model, 'keyword rules') AS model, latency_ms FROM rd WHERE run <= 5")
+def recheck_reads(spark, sf):
+    original = D.repeated_runs(spark, sf, 1).drop("run")
+    return stability.recheck_reads(original, D.repeated_runs(spark, sf, 6, 1), runs=5)
+
+
 @query(_RECHECK + " SELECT tk AS ticket_key, bool_and(agree OR NOT decisive) AS stable FROM rc GROUP BY tk")
 def recheck_verdict(spark, sf):
     return stability.recheck_verdict(_recheck(spark, sf))
@@ -993,13 +1059,13 @@ def utc_iso_millis(spark, sf):
 
 def _stream_folder(spark, sf, name: str) -> str:
     path = scratch_path(spark, name)
-    spread_small(D.order_tickets(spark, sf)).withColumnRenamed("id", "decision_id").write.json(path)
+    D.order_tickets(spark, sf).withColumnRenamed("id", "decision_id").write.json(path)
     return path
 
 
 def _stream(spark, sf, name: str) -> DataFrame:
     return intake.stream_decide(
-        intake.stream_tickets(spark, _stream_folder(spark, sf, name), schema=intake.TICKET_LINE + ", decision_id string")
+        intake.stream_tickets(spark, _stream_folder(spark, sf, name), also=("received_at", "decision_id"))
     )
 
 
@@ -1022,6 +1088,46 @@ def stream_record(spark, sf):
     return intake.read_stream_ledger(spark, out).select("id", "source", "external_id", "queue")
 
 
+_MIXED = """SELECT 'D-' || doc_id AS external_id, md5(text) AS body, CASE WHEN length(text) > 20000 THEN 'text is longer than 20000 characters' END AS problem FROM documents
+UNION ALL SELECT NULL, md5({0}), CASE WHEN length({0}) > 20000 THEN 'text is longer than 20000 characters' END FROM documents WHERE doc_id % 10 = 0
+UNION ALL SELECT NULL, NULL, 'not JSON' FROM documents WHERE doc_id % 10 = 1 UNION ALL SELECT NULL, NULL, 'text is not a string' FROM documents WHERE doc_id % 10 = 2"""
+
+
+def _mixed_folder(spark, sf) -> str:
+    """Every document as an object line; of each ten ids one more as a plain string, one as a broken line, one as an object without a text."""
+    path = scratch_path(spark, "mixed-in")
+    d = D.dealt(D.table(spark, sf, "documents").select("doc_id", "text"))
+    turn = F.col("doc_id") % 10
+    name = F.concat(F.lit("D-"), F.col("doc_id").cast("string"))
+    quoted = F.to_json(F.array("text"))
+    more = F.when(turn == 0, F.substring(quoted, F.lit(2), F.length(quoted) - 2)).when(turn == 1, F.lit('{"text": "cut')).when(turn == 2, F.lit('{"text": [1]}'))
+    lines = F.array_compact(F.array(F.to_json(F.struct("text", name.alias("id"))), more))
+    d.select(F.explode(lines).alias("value")).write.text(path)
+    return path
+
+
+@query(_MIXED.format(O.strip("text")))
+def stream_quarantine(spark, sf):
+    """Accepted and quarantined rows of one stream, which together are its lines."""
+    tickets_in = intake.stream_tickets(spark, _mixed_folder(spark, sf))
+    out, ckpt = scratch_path(spark, "stream-both"), scratch_path(spark, "stream-ckpt")
+    bad = intake.stream_quarantine(tickets_in).select("external_id", F.md5("text").alias("body"), "problem")
+    ok = intake.stream_decide(tickets_in).select("ticket.external_id", F.md5("ticket.text").alias("body"), F.lit(None).cast("string").alias("problem"))
+    ok.unionByName(bad).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query(f"SELECT external_id, body, problem, true AS own_id FROM ({_MIXED.format(O.strip('text'))})")
+def stream_intake(spark, sf):
+    """The ledger and the quarantine after following a folder that mixes good and bad lines."""
+    ledger_path, bad_path, ckpt = (scratch_path(spark, n) for n in ("intake-ledger", "intake-bad", "intake-ckpt"))
+    intake.stream_intake(intake.stream_tickets(spark, _mixed_folder(spark, sf)), ledger_path, bad_path, ckpt).awaitTermination()
+    kept = intake.read_stream_ledger(spark, ledger_path)
+    ids = kept.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    good = kept.join(ids, "id").select("external_id", F.md5("ticket_text").alias("body"), F.lit(None).cast("string").alias("problem"), (F.col("_n") == 1).alias("own_id"))
+    return good.unionByName(spark.read.parquet(bad_path).select("external_id", F.md5("text").alias("body"), "problem", F.lit(True).alias("own_id")))
+
+
 @query(O.RULES_ORDERS + " SELECT name, count(*) AS count FROM (SELECT queue AS name FROM d UNION ALL SELECT escalation_queue FROM d WHERE escalation_queue IS NOT NULL) GROUP BY name")
 def stream_queue_depths(spark, sf):
     out, ckpt = scratch_path(spark, "stream-depths"), scratch_path(spark, "stream-ckpt")
