@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -87,7 +87,7 @@ def shingle_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarr
 
 
 def prefix_tokens(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, most: int = MATCHES[-1]) -> DataFrame:
-    """(token, salt, class, n, level): the tokens of a set's longest prefix.  ``level``: the smallest l whose prefix holds the token;
+    """(token, salt, class, n, place): the tokens of a set's longest prefix and their places in its order;
     ``salt``: 0, or a part from 1 on if the token is common."""
     bits = int(len(sketch)).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
@@ -110,22 +110,21 @@ def prefix_tokens(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, mos
             rows, place = rows[keep], place[keep]
             parts = (np.maximum(load[keep] - usual, 0) // SALT_ROWS).astype(np.uint64)
             salt = np.where(parts > 0, names[rows] % (parts + np.uint64(1)) + np.uint64(1), np.uint64(0)).astype(np.int32)
-            level = np.maximum(place - free[rows] + 1, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes[keep].view(np.int64)), pa.array(salt), pa.array(names[rows].view(np.int64)), pa.array(n[rows].astype(np.int32)), pa.array(level.astype(np.int8))],
-                ["token", "salt", "class", "n", "level"],
+                [pa.array(hashes[keep].view(np.int64)), pa.array(salt), pa.array(names[rows].view(np.int64)), pa.array(n[rows].astype(np.int32)), pa.array(place.astype(np.int32))],
+                ["token", "salt", "class", "n", "place"],
             )
 
-    return docs.select("text").mapInArrow(emit, "token long, salt int, class long, n int, level byte")
+    return docs.select("text").mapInArrow(emit, "token long, salt int, class long, n int, place int")
 
 
 def meeting_postings(rows: DataFrame) -> DataFrame:
-    """(token, class, n, level): the prefix tokens that several classes have.
+    """(token, class, n, place): the prefix tokens that several classes have.
 
     Tokens of one class only, most of them, end here: the rows pass once, sorted, and of a token only its first row is
     held.  All rows of a common token's parts go on.
     """
-    names = ["token", "salt", "class", "n", "level"]
+    names = ["token", "salt", "class", "n", "place"]
 
     def meet(batches: Iterator[pa.RecordBatch]):
         held, told = None, False
@@ -149,29 +148,37 @@ def meeting_postings(rows: DataFrame) -> DataFrame:
                 keep[0] = False
             told = bool(shared[-1]) or (told and len(first) == 1)
             held = [c[first[-1]] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[i][keep]) for i in (0, 2, 3, 4)], ["token", "class", "n", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[i][keep]) for i in (0, 2, 3, 4)], ["token", "class", "n", "place"])
 
     ordered = rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "class")
-    return ordered.mapInArrow(meet, "token long, class long, n int, level byte").distinct()
+    return ordered.mapInArrow(meet, "token long, class long, n int, place int").distinct()
 
 
 def adaptive_postings(postings: DataFrame, percent: int) -> DataFrame:
-    """``postings`` of the classes that can have links, with ``own``: how many shared tokens the class asks for.
+    """``postings`` of the classes that can have links, with ``own``, ``level``, ``ahead`` and ``met_by``.
 
-    A prefix for l reads the postings of its tokens, and at most their number over l candidates share l of them and are verified.
+    ``own``: how many shared tokens the class asks for.  A prefix for l reads the postings of its tokens, and at most their number over l
+    candidates share l of them and are verified.  ``level``: the smallest l whose prefix holds the token.  ``ahead``: tokens before the class's first
+    shared one; the first token that two linked sets have in common is in both prefixes, so none of these is common.  ``met_by``: postings of
+    its tokens beside its own.
     """
     sizes = postings.groupBy("token").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    reads = postings.join(sizes, "token")
     needed = F.ceil(F.col("n") * percent / 100)
+    reads = postings.join(sizes, "token").withColumn("level", F.greatest(F.col("place") - (F.col("n") - needed) + 1, F.lit(1)))
     inside = {m: F.col("level") <= m for m in MATCHES}
     sums = [c for m in MATCHES for c in (F.sum(F.when(inside[m], F.col("others")).otherwise(0)).alias(f"read_{m}"), F.count_if(inside[m]).alias(f"met_{m}"))]
-    each = reads.groupBy("class").agg(F.max("n").alias("n"), *sums)
+    each = reads.groupBy("class").agg(F.max("n").alias("n"), F.min("place").alias("ahead"), *sums)
     able = F.lit(True)
     for m in MATCHES:
         able = able & ((needed < m) | (F.col(f"met_{m}") >= m))
     costs = [F.when(needed >= m, F.struct((F.col(f"read_{m}") * (1 + VERIFY_COST / m)).alias("cost"), F.lit(m).alias("m"))) for m in MATCHES]
-    own = each.where(able).select("class", F.least(*costs)["m"].alias("own"))
-    return postings.join(own, "class").where(F.col("level") <= F.col("own"))
+    own = each.where(able).select("class", F.least(*costs)["m"].alias("own"), "ahead", F.col(f"read_{MATCHES[-1]}").alias("met_by"))
+    return reads.drop("others").join(own, "class").where(F.col("level") <= F.col("own"))
+
+
+def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles can link if they share ``shared`` at most."""
+    return shared * 100 >= (n + m - shared) * percent
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -245,12 +252,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     postings = stash(adaptive_postings(postings, percent), "postings")
     sets = stash(_set_table(docs, postings.select("class").distinct(), k), "sets")
 
-    # The least class of a token is its pivot, the same for most tokens of a group.  Each class first meets the pivots that it has most tokens in
-    # common with.  These links only spare later ones, so pivots met in few tokens can wait.
-    n_of = classes.select(F.col("class").alias("b"), F.col("n").alias("m"))
-    postings = postings.join(postings.groupBy("token").agg(F.min("class").alias("pivot")), "token")
-    pairs = postings.where("class <> pivot").groupBy(F.col("class").alias("a"), F.col("pivot").alias("b"), "n", "own").agg(F.count("*").alias("met"))
-    pairs = pairs.where("2 * met >= own").join(n_of, "b").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    # A token's pivot is the class that is met by most others, the most central of a group.  Each class first meets the
+    # pivots that it has most tokens in common with.  These links only spare later ones, so pivots met in few tokens can wait.
+    about = postings.select(F.col("class").alias("b"), F.col("n").alias("m"), F.col("ahead").alias("behind")).distinct()
+    postings = postings.join(postings.groupBy("token").agg(F.max(F.struct("met_by", "class")).alias("pivot")), "token").withColumn("pivot", F.col("pivot.class"))
+    pairs = postings.where("class <> pivot").groupBy(F.col("class").alias("a"), F.col("pivot").alias("b"), "n", "own", "ahead").agg(F.count("*").alias("met"))
+    most = F.least(F.col("n") - F.col("ahead"), F.col("m") - F.col("behind"))
+    pairs = pairs.where("2 * met >= own").join(about, "b").where(_enough(most, F.col("n"), F.col("m"), percent))
     order = Window.partitionBy("a").orderBy(F.desc("met"), "b")
     pairs = pairs.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= FIRST_PIVOTS).select("a", "b")
     first = stash(_verified(pairs, sets, percent), "first")
@@ -263,8 +271,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     gap = gap.union(gap.select(F.col("pivot").alias("class"), F.col("class").alias("pivot"), "d")).distinct()
     held = held.join(open_tokens, "token", "left_semi").join(gap, ["class", "pivot"], "left")
     held = held.withColumn("d", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("d")))
-    held = stash(held.select("token", "class", "n", "level", "own", "pivot", "component", "d"), "open")
-    columns = ("class", "n", "level", "own", "pivot", "component", "d")
+    held = stash(held.select("token", "class", "n", "place", "level", "own", "ahead", "pivot", "component", "d"), "open")
+    columns = ("class", "n", "place", "level", "own", "ahead", "pivot", "component", "d")
     x = held.select("token", *[F.col(c).alias(f"a_{c}") for c in columns])
     y = held.select("token", *[F.col(c).alias(f"b_{c}") for c in columns])
     too_far = (F.col("a_pivot") == F.col("b_pivot")) & (F.abs(F.col("a_d") - F.col("b_d")) > 1 - percent / 100 + 1e-9)
@@ -273,14 +281,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         (x["token"] == y["token"])
         & (F.col("a_class") < F.col("b_class"))
         & (F.col("a_component") != F.col("b_component"))
-        & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+        & _enough(F.least(F.col("a_n") - F.col("a_ahead"), F.col("b_n") - F.col("b_ahead")), F.col("a_n"), F.col("b_n"), percent)
         & (F.greatest("a_level", "b_level") <= F.least("a_own", "b_own"))
         & ~F.coalesce(too_far, F.lit(False)),
     )
     enough = met.groupBy(F.col("a_class").alias("a"), F.col("b_class").alias("b")).agg(
-        F.count("*").alias("met"), F.min(F.least("a_own", "b_own")).alias("need")
+        F.count("*").alias("met"), F.min(F.least("a_own", "b_own")).alias("need"), F.max("a_n").alias("n"), F.max("b_n").alias("m"),
+        F.least(F.max("a_n") - F.min("a_place"), F.max("b_n") - F.min("b_place")).alias("most"),
     )
-    more = enough.where("met >= need").select("a", "b")
+    more = enough.where("met >= need").where(_enough(F.col("most"), F.col("n"), F.col("m"), percent)).select("a", "b")
     tried = first.select("a", "b").union(first.select("b", "a"))
     more = stash(more.join(tried, ["a", "b"], "left_anti"), "more")
     asked = stash(more.select(F.col("a").alias("class")).union(more.select("b")).distinct(), "asked")
