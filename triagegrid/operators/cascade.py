@@ -60,11 +60,9 @@ def cascade_by_rules(triaged: DataFrame, cheap: DataFrame, expensive: DataFrame)
     chosen reader's row is used.
     """
     keyed = triaged.select("ticket_key", F.col("expensive").alias("_exp"), F.col("why").alias("_why"))
-
-    def side(answers: DataFrame, wanted: Column) -> DataFrame:
-        return answers.join(keyed.where(wanted), "ticket_key").select(*[F.col(c) for c in answers.columns], "_exp", "_why")
-
-    chosen = side(cheap, ~F.col("_exp")).unionByName(side(expensive, F.col("_exp")))
+    # Both readers' answers in one side of one join, so that tickets are triaged once.
+    given = cheap.withColumn("_exp", F.lit(False)).unionByName(expensive.withColumn("_exp", F.lit(True)))
+    chosen = given.join(keyed, ["ticket_key", "_exp"]).select(*cheap.columns, "_exp", "_why")
     note = _note(triage=F.lit("rules"), expensive=F.col("_exp"), why=F.col("_why"), reader=F.col("model"))
     usage = _priced(F.col("usage"), F.col("model"), cost_usd(F.col("usage"), F.col("model"))).withField("cascade", note)
     return chosen.select(*[usage.alias(c) if c == "usage" else F.col(c) for c in cheap.columns])
