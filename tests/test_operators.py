@@ -284,3 +284,39 @@ def test_scratch_folder_is_named_on_a_cluster(spark, monkeypatch):
         session.shared_folder(Session())
     Cluster.folder = "hdfs://store/scratch/"
     assert session.shared_folder(Session()) == "hdfs://store/scratch"
+
+
+def test_selections_by_table_and_their_count(spark):
+    from triagegrid.operators import scoring
+
+    rows = spark.createDataFrame([("a1", 1), ("a2", 2), ("b1", 3), (None, 4)], "id string, n int")
+    ids = spark.createDataFrame([("a2",), ("b1",), ("zz",), (None,)], "wanted string")
+    assert sorted(r["n"] for r in scoring.only_ids(rows, ids).collect()) == [2, 3]
+    assert [r["n"] for r in scoring.only_ids(rows, ids, prefix="a").collect()] == [2]
+    assert scoring.require_count(scoring.only_ids(rows, prefix="a"), 2).count() == 2
+    with pytest.raises(ValueError):
+        scoring.require_count(rows, 3)
+
+
+def test_calls_are_made_side_by_side_for_the_model_asked_for(spark):
+    def make():
+        import threading
+        import time
+
+        lock, state = threading.Lock(), {"now": 0, "most": 0}
+
+        def classify(text, model):
+            with lock:
+                state["now"] += 1
+                state["most"] = max(state["most"], state["now"])
+            time.sleep(0.05)
+            with lock:
+                state["now"] -= 1
+            return extraction(), {"input_tokens": state["most"]}
+
+        return classify
+
+    t = spark.createDataFrame([(str(i), "x") for i in range(24)], "ticket_key string, text string").coalesce(1)
+    got = classify_with(t, make, model="small", in_flight=4).collect()
+    assert [r["ticket_key"] for r in got] == [str(i) for i in range(24)] and {r["model"] for r in got} == {"small"}
+    assert max(r["usage"]["input_tokens"] for r in got) == 4

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pandas as pd
@@ -16,15 +17,17 @@ from pyspark.sql import functions as F
 
 from triagegrid.schema import EXTRACTION, USAGE
 
-Classifier = Callable[[str], tuple[dict[str, Any], dict[str, Any]]]
+Classifier = Callable[..., tuple[dict[str, Any], dict[str, Any]]]
 
 
-def classify_with(tickets: DataFrame, make_classifier: Callable[[], Classifier]) -> DataFrame:
+def classify_with(tickets: DataFrame, make_classifier: Callable[[], Classifier], model: str | None = None, in_flight: int = 1) -> DataFrame:
     """Answer every ticket (ticket_key, text) with ``make_classifier()(text) -> (extraction, meta)``.
 
-    ``meta`` has the model name and usage counts.  A raised error becomes the row's ``error``, so one
-    bad ticket never fails a task.  Returns rows of the ANSWER schema.
+    ``meta`` has the model name and usage counts.  With ``model`` the call is ``(text, model)``, and that is the name recorded if ``meta``
+    has none.  ``in_flight`` calls are made at once in each task, as many as the user's client bears; rows keep their order.  A raised error
+    becomes the row's ``error``, so one bad ticket never fails a task.  Returns rows of the ANSWER schema.
     """
+    asked = (model,) if model is not None else ()
 
     columns = ["ticket_key", "model", "extraction", "usage", "latency_ms", "error"]
 
@@ -34,18 +37,19 @@ def classify_with(tickets: DataFrame, make_classifier: Callable[[], Classifier])
 
         def one(key: str, text: str) -> tuple:
             started = time.perf_counter()
-            model = usage = body = error = None
+            name = usage = body = error = None
             try:
-                extraction, meta = classify(text)
+                extraction, meta = classify(text, *asked)
                 meta = dict(meta)
-                model = meta.pop("model", None)
+                name = meta.pop("model", None) or model
                 body, usage = json.dumps(extraction), json.dumps(meta)
             except Exception as e:  # the user's classifier may raise anything
                 error = f"{type(e).__name__}: {e}"
-            return key, model, body, usage, int((time.perf_counter() - started) * 1000), error
+            return key, name, body, usage, int((time.perf_counter() - started) * 1000), error
 
-        for batch in batches:
-            yield pd.DataFrame([one(key, text) for key, text in zip(batch["ticket_key"], batch["text"])], columns=columns)
+        with ThreadPoolExecutor(in_flight) as calls:
+            for batch in batches:
+                yield pd.DataFrame(list(calls.map(one, batch["ticket_key"], batch["text"])), columns=columns)
 
     answered = tickets.select("ticket_key", "text").mapInPandas(
         run, "ticket_key string, model string, extraction string, usage string, latency_ms long, error string"

@@ -15,6 +15,9 @@ def rate_card(spark, card: Card = L.RATE_CARD) -> DataFrame:
     return inline_rows(spark, ["prefix", "rate_in", "rate_cached", "rate_out"], card)
 
 
+PRICE_SALTS = 32
+
+
 def price_match(df: DataFrame, card: DataFrame, model: str = "model", default: str = L.DEFAULT_MODEL) -> DataFrame:
     """Add prefix, rate_in, rate_cached and rate_out from a rate-card table: longest prefix wins.
 
@@ -36,7 +39,11 @@ def price_match(df: DataFrame, card: DataFrame, model: str = "model", default: s
         .groupBy("_model")
         .agg(F.max_by(rates, "_rank").alias("_rates"))
     )
-    return df.withColumn("_model", name).join(priced, "_model", "left").select(*[F.col(c) for c in df.columns], "_rates.*")
+    # A handful of models would be a handful of partitions: rows are dealt to ``PRICE_SALTS`` parts of each model by what they hold.
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(PRICE_SALTS)).cast("int")
+    priced = priced.select("_model", "_rates", F.explode(F.sequence(F.lit(0), F.lit(PRICE_SALTS - 1))).alias("_salt"))
+    held = df.withColumn("_model", name).withColumn("_salt", salt).join(priced, ["_model", "_salt"], "left")
+    return held.select(*[F.col(c) for c in df.columns], "_rates.*")
 
 
 def token_totals(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -69,6 +76,7 @@ def cost_per_ticket(df: DataFrame, base_model: str, by: str = "model") -> DataFr
 
 
 BUCKET_MS = 1024
+BUCKETS_IN_RUN = 1024
 
 
 def latency_profile(df: DataFrame, by: Sequence[str] = (), value: str = "latency_ms") -> DataFrame:
@@ -77,17 +85,23 @@ def latency_profile(df: DataFrame, by: Sequence[str] = (), value: str = "latency
     Percentiles follow an index rule, not interpolation: position n//2, int(0.95n)-1 and int(0.99n)-1
     of the sorted values, where position -1 is the last.  No rows are sorted: values are counted
     (map-side combined), counts are summed per bucket of 1024 ms, and each bucket's values get their
-    running count from its own start, so no task holds more than one bucket's distinct values.
+    running count from its own start, so no task holds more than one bucket's distinct values.  Starts are
+    found the same way: runs of 1024 buckets get theirs from the runs before, so no task holds all buckets either.
     """
     by = list(by)
     v = F.col("_v")
     freq = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("bigint").alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
     freq = freq.withColumn("_b", F.floor(v / BUCKET_MS))
-    buckets = freq.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn"))
+    buckets = freq.groupBy(*by, "_b").agg(F.sum("_n").alias("_bn")).withColumn("_c", F.floor(F.col("_b") / BUCKETS_IN_RUN))
+    runs = buckets.groupBy(*by, "_c").agg(F.sum("_bn").alias("_cn"))
     whole = Window.partitionBy(*by)
-    up_to = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    starts = buckets.select(
-        *by, "_b", (F.sum("_bn").over(up_to) - F.col("_bn")).alias("_start"), F.sum("_bn").over(whole).alias("_total")
+    up_to = whole.orderBy("_c").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    heads = runs.select(*by, "_c", (F.sum("_cn").over(up_to) - F.col("_cn")).alias("_head"), F.sum("_cn").over(whole).alias("_total"))
+    in_run = Window.partitionBy(*by, "_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = (
+        buckets.withColumn("_before", F.sum("_bn").over(in_run) - F.col("_bn"))
+        .join(heads, [*by, "_c"])
+        .select(*by, "_b", (F.col("_head") + F.col("_before")).alias("_start"), "_total")
     )
     inside = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     keys = [*by, "_b"]

@@ -39,12 +39,26 @@ def must_escalate(gold: DataFrame) -> DataFrame:
     return gold.where(F.col("expected.escalate"))
 
 
-def only_ids(df: DataFrame, ids: Sequence[str] | None = None, prefix: str | None = None, column: str = "id") -> DataFrame:
-    if ids is not None:
+def only_ids(df: DataFrame, ids: DataFrame | Sequence[str] | None = None, prefix: str | None = None, column: str = "id") -> DataFrame:
+    """The rows whose id is listed, or starts with a prefix, or both.
+
+    A short list becomes part of the plan; a table of ids (its first column) of any length is met by a semi-join.
+    """
+    if isinstance(ids, DataFrame):
+        df = df.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi").select(*df.columns)
+    elif ids is not None:
         df = df.where(F.col(column).isin(list(ids)))
     return df.where(F.col(column).startswith(prefix)) if prefix is not None else df
 
 
+def require_count(df: DataFrame, expected: int, what: str = "rows") -> DataFrame:
+    """``df`` itself, or an error if it does not hold exactly ``expected`` rows: a selection that lost some must not pass unseen."""
+    found = df.count()
+    if found != expected:
+        raise ValueError(f"expected {expected} {what}, found {found}")
+    return df
+
+
 def score(gold: DataFrame, decisions: DataFrame) -> DataFrame:
     return score_pairs(join_gold(gold, decisions))
 
