@@ -299,6 +299,8 @@ def test_selections_by_table_and_their_count(spark):
 
 
 def test_calls_are_made_side_by_side_for_the_model_asked_for(spark):
+    answer = extraction()
+
     def make():
         import threading
         import time
@@ -312,7 +314,7 @@ def test_calls_are_made_side_by_side_for_the_model_asked_for(spark):
             time.sleep(0.05)
             with lock:
                 state["now"] -= 1
-            return extraction(), {"input_tokens": state["most"]}
+            return answer, {"input_tokens": state["most"]}
 
         return classify
 
