@@ -181,7 +181,8 @@ def fit_language(docs: DataFrame, documents: int = DOCUMENTS, windows: int = WIN
             take = pa.array(row[pick])
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(take), pa.array([found[i].tobytes() for i in pick], pa.binary()), pa.array(lengths[pick])], ["lang", "window", "length"])
 
-    rows = docs.where(spot < chance[F.col("lang")]).select("text", "lang").mapInArrow(sample, "lang string, window binary, length long").toArrow()
+    rows = docs.where(spot < chance[F.col("lang")]).select("text", "lang").mapInArrow(sample, "lang string, window binary, length long")
+    rows = rows.limit(2 * documents * windows * len(languages)).toArrow()
     rows = rows.sort_by([("lang", "ascending"), ("window", "ascending")])
     labels = np.searchsorted(languages, np.array(rows.column("lang").to_pylist()))
     held = np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)

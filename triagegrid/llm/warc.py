@@ -30,9 +30,12 @@ DATE = "2000-01-01T00:00:00Z"
 
 
 def build_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from a bounded sample of pages, those with the least hash of page_id and url; empty if there is nothing to learn from."""
-    rows = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id", "url").alias("spot")).where("html <> ''")
-    samples = [r["html"].encode() for r in rows.orderBy("spot", "html").limit(SAMPLE_RECORDS).collect()]
+    """A dictionary from a bounded sample of pages, about ``SAMPLE_RECORDS`` chosen by their hash; empty if there is nothing to learn from."""
+    rows = pages.where("html <> ''")
+    share = SAMPLE_RECORDS / max(1, rows.count())
+    spot = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(1 << 30)) / (1 << 30)
+    chosen = rows.where(spot < share).select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(2 * SAMPLE_RECORDS).collect()
+    samples = sorted(r["html"].encode() for r in chosen)
     if not samples:
         return b""
     try:
