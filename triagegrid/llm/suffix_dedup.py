@@ -194,6 +194,8 @@ def _shard(length: int):
 
     def work(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
+        once = {x: i for i, x in enumerate(zip(*(rows.column(c).to_pylist() for c in ("anchor", "segment", "n"))))}
+        rows = rows.take(pa.array(list(once.values()), pa.int64()))
         anchor, segment, n = (rows.column(c).to_pylist() for c in ("anchor", "segment", "n"))
         texts = rows.column("bytes").to_pylist()
         many, spread, shard = rows.column("many").to_pylist(), rows.column("spread").to_pylist(), rows.column("shard").to_pylist()
@@ -253,11 +255,17 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     def fetch(batches):
         names = ["at", "n", "anchor", "segment", "many", "spread", "shard"]
         kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
+        last = None
         for batch in tb.slices(batches, "text"):
             data, offsets = tb.column_bytes(batch.column(batch.schema.get_field_index("text")))
             raw = data.tobytes()
             rows, parts = [], []
+            keys = batch.column(batch.schema.get_field_index("key")).to_pylist()
             for i, wanted in enumerate(batch.column(batch.schema.get_field_index("list")).to_pylist()):
+                # Rows equal in doc_id and text have one key and come one after another.
+                if keys[i] == last:
+                    continue
+                last = keys[i]
                 for x in wanted:
                     begin = int(offsets[i]) + x["at"]
                     rows.append(x)
@@ -265,9 +273,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds)], pa.array(parts, pa.binary())], [*names, "bytes"])
 
     held = docs.join(lists, docs["key"] == lists["of"])
-    fetched = held.mapInArrow(fetch, "at int, n int, anchor long, segment long, many boolean, spread boolean, shard long, bytes binary")
-    # Rows equal in doc_id and text have one key and fetch the same segments.
-    fetched = fetched.drop("at").dropDuplicates(["anchor", "segment", "n"])
+    fetched = held.mapInArrow(fetch, "at int, n int, anchor long, segment long, many boolean, spread boolean, shard long, bytes binary").drop("at")
     marks = fetched.groupBy("shard").applyInArrow(_shard(length), "anchor long, segment long, n int, first int, last int, shard long, window long")
     marks = stash(marks, "marks")
     # A shard settles what repeats inside it; what it holds once is sure to be repeated if another shard offers it too.
