@@ -16,8 +16,8 @@ from pyspark.sql.window import Window
 from triagegrid.llm.tables import stash
 
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 256
-#: Lists are read in so many steps, until at most this share of a block can still qualify.
-STEPS, RESOLVE = 8, 0.15
+#: Lists are read in so many steps, until at most this share of a block can still qualify; a few rows are looked at first.
+STEPS, RESOLVE, PROBED = 8, 0.3, 128
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
@@ -32,48 +32,55 @@ class Lists:
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray):
         self.rows, self.ids = rows, ids
-        down = np.argsort(-rows, axis=0, kind="stable").astype(np.int32)
-        self.order = {True: down, False: np.ascontiguousarray(down[::-1])}
-        self.value = {side: np.take_along_axis(rows, order, axis=0).astype(float) for side, order in self.order.items()}
+        down = np.ascontiguousarray(np.argsort(-rows, axis=0, kind="stable").T.astype(np.int32))
+        self.order = {True: down, False: np.ascontiguousarray(down[:, ::-1])}
+        self.value = {side: np.take_along_axis(rows.T, order, axis=1).astype(float) for side, order in self.order.items()}
+        self.seen = np.zeros(rows.shape[::-1], np.float32)
 
     def search(self, query: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the block's best rows for a query, at most k, none below ``least``; row id ``own`` takes no part."""
         n, width = self.rows.shape
         sides = [(side, np.flatnonzero(query > 0 if side else query < 0)) for side in (True, False)]
-        known = np.zeros(n)
-        seen = np.zeros((n, width))
-        least_left, most_left = np.zeros(width), np.zeros(width)
-        for side, dims in sides:
-            least_left[dims] = self.value[side][-1, dims] * query[dims]
+        sides = [(side, dims, query[dims, None].astype(float), (dims * n).astype(np.int32)[:, None]) for side, dims in sides if len(dims)]
+        known, seen = np.zeros(n), self.seen
+        seen[:] = 0
+        flat, bounds = seen.ravel(), np.zeros((2, width))
+        for side, dims, weight, _ in sides:
+            bounds[0, dims] = self.value[side][dims, -1] * weight[:, 0]
         mine = self.ids == own
+        probe = slice(0, n, max(1, n // PROBED))
         read, alive = 0, np.ones(n, bool)
         while read < n:
             upto = min(n, read + max(1, -(-n // STEPS)))
-            for side, dims in sides:
-                if not len(dims):
-                    continue
-                rows = self.order[side][read:upto, dims]
-                gain = self.value[side][read:upto, dims] * query[dims]
+            for side, dims, weight, at in sides:
+                rows = self.order[side][dims, read:upto]
+                gain = self.value[side][dims, read:upto]
+                gain *= weight
                 known += np.bincount(rows.ravel(), gain.ravel(), minlength=n)
-                seen[rows, dims] = 1.0
-                most_left[dims] = gain[-1]
+                rows += at
+                flat[rows.ravel()] = 1
+                bounds[1, dims] = gain[:, -1]
             read = upto
-            # Until the upper bounds of rows seen nowhere fall below the bar, nothing can be left out.
-            bar = least
-            lower = known + (least_left.sum() - seen @ least_left)
+            # What the lists not yet read for a row can add at least and at most, in single precision with slack.
+            single, total = bounds.astype(np.float32), bounds.sum(axis=1)
+            slack = 1e-5 * (np.abs(bounds).sum() + 1)
+            few = max(k, RESOLVE * n)
+            if read < n and np.mean(known[probe] + total[1] - single[1] @ seen[:, probe] + slack >= least) * n > few:
+                # Most of a few rows still qualify against the bar from elsewhere: so do too many of all.
+                if least > -np.inf:
+                    continue
+            left = total[:, None] - single @ seen
+            lower = known + left[0] - slack
             lower[mine] = -np.inf
-            if n > k:
-                bar = max(bar, np.partition(lower, n - k)[n - k])
-            slack = 1e-9 * (np.abs(most_left).sum() + np.abs(least_left).sum() + 1)
-            alive = known + (most_left.sum() - seen @ most_left) >= bar - slack
-            alive &= ~mine
-            if np.count_nonzero(alive) <= max(k, RESOLVE * n):
+            bar = max(least, np.partition(lower, n - k)[n - k]) if n > k else least
+            alive = (known + left[1] + slack >= bar) & ~mine
+            if np.count_nonzero(alive) <= few:
                 break
-        left = np.flatnonzero(alive)
-        scores = self.rows[left] @ query
-        best = np.lexsort((self.ids[left], -scores))[:k]
+        chosen = np.flatnonzero(alive & ~mine)
+        scores = self.rows[chosen] @ query
+        best = np.lexsort((self.ids[chosen], -scores))[:k]
         best = best[scores[best] >= least]
-        return self.ids[left][best], scores[best]
+        return self.ids[chosen][best], scores[best]
 
 
 def _blocked(rows: DataFrame, size: int, name: str) -> DataFrame:
