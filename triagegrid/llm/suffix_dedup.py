@@ -78,18 +78,19 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)
     # A rank is the place of the last suffix of its group; padding counts below every byte through the shorter suffix's place.
-    rank = np.empty(n, np.int64)
-    _number(order, key[order], rank, np.arange(n))
+    rank = np.empty(n, np.int32)
+    spots = np.arange(n, dtype=np.int32)
+    _number(order, key[order], rank, spots)
     depth = 8
-    spots = _unsorted(rank[order], np.arange(n))
+    spots = _unsorted(rank[order], spots)
     while len(spots):
         members = order[spots]
         ahead = members + depth
         further = np.where(ahead < n, rank[np.minimum(ahead, n - 1)], n - 1 - ahead)
         own = rank[members]
-        by = np.argsort(own * (2 * n + 1) + (further + n))
+        by = np.argsort(own.astype(np.int64) * (2 * n + 1) + (further + n))
         members, own, further = members[by], own[by], further[by]
         order[spots] = members
         edge = np.ones(len(spots), bool)
@@ -151,8 +152,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray, begin
     return out
 
 
-def repeated_starts(texts: list[bytes], starts: list[int], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each segment the starts whose window occurs again among the segments, and for each start its group's first place in order."""
+def repeated_starts(texts: list[bytes], starts: list[int], many: list[bool], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each segment the starts whose window occurs again, and for each start the number of its group of equal windows.
+
+    A window of a segment that occurs several times (``many``) stands for as many windows.
+    """
     at, parts, place = [], [], 0
     for no, text in enumerate(texts):
         at.append(place)
@@ -164,19 +168,18 @@ def repeated_starts(texts: list[bytes], starts: list[int], length: int) -> tuple
     order, rank = suffix_array(whole)
     begin, n = np.array(at, np.int64), np.array(starts, np.int64)
     common = common_prefixes(whole, order, rank, begin, n, length)
-    mine = np.zeros(len(whole) + 1, np.int64)
-    np.add.at(mine, begin, 1)
-    np.add.at(mine, begin + n, -1)
-    counts = (np.cumsum(mine)[:-1] > 0)[order]
-    joined = (common[order] >= length) & counts
-    joined[1:] &= counts[:-1]
-    if len(joined):
-        joined[0] = False
-    again = joined.copy()
-    again[:-1] |= joined[1:]
-    group = np.cumsum(~joined)
+    weight = np.zeros(len(whole) + 1, np.int64)
+    np.add.at(weight, begin, 1 + np.array(many, np.int64))
+    np.add.at(weight, begin + n, -1 - np.array(many, np.int64))
+    weight = np.cumsum(weight)[:-1][order]
+    # A group: neighbours in order that share ``length`` bytes, each a window of a segment.
+    joined = (common[order] >= length) & (weight > 0)
+    joined[1:] &= weight[:-1] > 0
+    joined[:1] = False
+    group = np.cumsum(~joined) - 1
     flag, name = np.zeros(len(whole), bool), np.zeros(len(whole), np.int64)
-    flag[order], name[order] = again, group
+    flag[order] = np.bincount(group, weight)[group] > 1 if len(whole) else False
+    name[order] = group
     return [np.flatnonzero(flag[b : b + k]) for b, k in zip(begin, n)], [name[b : b + k] for b, k in zip(begin, n)]
 
 
@@ -199,9 +202,7 @@ def _shard(length: int):
         anchor, segment, n = (rows.column(c).to_pylist() for c in ("anchor", "segment", "n"))
         texts = rows.column("bytes").to_pylist()
         many, spread, shard = rows.column("many").to_pylist(), rows.column("spread").to_pylist(), rows.column("shard").to_pylist()
-        # A segment that occurs several times stands twice, so that its windows find each other.
-        double = [i for i, m in enumerate(many) if m]
-        found, groups = repeated_starts(texts + [texts[i] for i in double], n + [n[i] for i in double], length)
+        found, groups = repeated_starts(texts, n, many, length)
         out = []
         offered: set[tuple[int, int]] = set()
         for i in range(len(texts)):
