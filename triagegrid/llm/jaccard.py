@@ -272,24 +272,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     held = held.join(open_tokens, "token", "left_semi").join(gap, ["class", "pivot"], "left")
     held = held.withColumn("d", F.when(F.col("class") == F.col("pivot"), 0.0).otherwise(F.col("d")))
     held = stash(held.select("token", "class", "n", "place", "level", "own", "ahead", "pivot", "component", "d"), "open")
+    # First components meet, each once for a token: what they share between them has to be enough for their least demanding pair.
+    # A token at some place leaves room for what is common before it, from the first shared token on, and for the rest of the smaller side.
+    n, place, ahead = F.col("n"), F.col("place"), F.col("ahead")
+    heads = held.groupBy("token", "component").agg(
+        F.min("own").alias("own"), F.max(place - ahead).alias("before"), F.max(n - place).alias("rest"), F.min("n").alias("n"), F.max(n - ahead).alias("able"),
+        F.min("level").alias("level"), F.max("own").alias("own_most"),
+    )
+    heads = stash(heads, "heads")
+    side = lambda name: heads.select("token", *[F.col(c).alias(f"{name}_{c}") for c in ("component", "own", "own_most", "level", "before", "rest", "n", "able")])
+    room = F.least(F.least("a_before", "b_before") + F.least("a_rest", "b_rest"), F.least("a_able", "b_able"))
+    counted = F.greatest("a_level", "b_level") <= F.least("a_own_most", "b_own_most")
+    pairs = side("a").join(side("b"), "token").where((F.col("a_component") < F.col("b_component")) & counted & _enough(room, F.col("a_n"), F.col("b_n"), percent))
+    wide = pairs.groupBy("a_component", "b_component").agg(
+        F.count("*").alias("met"), F.min(F.least("a_own", "b_own")).alias("need"), F.max(F.least("a_rest", "b_rest")).alias("most"), F.min("a_n").alias("n"), F.min("b_n").alias("m")
+    )
+    wide = wide.where("met >= need").where(_enough(F.col("most"), F.col("n"), F.col("m"), percent))
+    wide = stash(wide.select("a_component", "b_component"), "wide")
+    # Two linked sets have nothing in common before their first common token, so that token alone leaves them room enough: it finds the pair.
+    alone = _enough(F.least("a_rest", "b_rest"), F.col("a_n"), F.col("b_n"), percent)
+    pairs = pairs.where(alone).select("token", "a_component", "b_component").join(wide, ["a_component", "b_component"])
     columns = ("class", "n", "place", "level", "own", "ahead", "pivot", "component", "d")
     x = held.select("token", *[F.col(c).alias(f"a_{c}") for c in columns])
     y = held.select("token", *[F.col(c).alias(f"b_{c}") for c in columns])
     too_far = (F.col("a_pivot") == F.col("b_pivot")) & (F.abs(F.col("a_d") - F.col("b_d")) > 1 - percent / 100 + 1e-9)
-    met = x.join(
-        y,
-        (x["token"] == y["token"])
-        & (F.col("a_class") < F.col("b_class"))
-        & (F.col("a_component") != F.col("b_component"))
-        & _enough(F.least(F.col("a_n") - F.col("a_ahead"), F.col("b_n") - F.col("b_ahead")), F.col("a_n"), F.col("b_n"), percent)
-        & (F.greatest("a_level", "b_level") <= F.least("a_own", "b_own"))
-        & ~F.coalesce(too_far, F.lit(False)),
-    )
-    enough = met.groupBy(F.col("a_class").alias("a"), F.col("b_class").alias("b")).agg(
-        F.count("*").alias("met"), F.min(F.least("a_own", "b_own")).alias("need"), F.max("a_n").alias("n"), F.max("b_n").alias("m"),
-        F.least(F.max("a_n") - F.min("a_place"), F.max("b_n") - F.min("b_place")).alias("most"),
+    found = x.join(pairs, ["token", "a_component"]).join(y, ["token", "b_component"]).where(
+        _enough(F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")), F.col("a_n"), F.col("b_n"), percent) & ~F.coalesce(too_far, F.lit(False))
     )
-    more = enough.where("met >= need").where(_enough(F.col("most"), F.col("n"), F.col("m"), percent)).select("a", "b")
+    more = found.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
     tried = first.select("a", "b").union(first.select("b", "a"))
     more = stash(more.join(tried, ["a", "b"], "left_anti"), "more")
     asked = stash(more.select(F.col("a").alias("class")).union(more.select("b")).distinct(), "asked")
