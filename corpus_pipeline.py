@@ -17,9 +17,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go, but for their first place; n_chars is that of the text left."""
-    cut = line_chunks.line_dedup(docs.select(COLUMNS))
-    n_chars = F.when(F.col("n_removed_lines") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    """Repeated passages go, but for their first place; n_chars is that of the text left."""
+    cut = line_chunks.passage_dedup(docs.select(COLUMNS))
+    n_chars = F.when(F.col("n_removed_bytes") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.withColumn("n_chars", n_chars).select(COLUMNS)
 
 

@@ -199,6 +199,80 @@ def test_line_dedup_keeps_rows_columns_and_first_places(spark, nothing):
     assert line_chunks.line_dedup(nothing).count() == 0
 
 
+def planted(n_lines, copies=6, words_in_all=52):
+    """Own lines around a passage of some fifty words in ``n_lines`` lines, the surroundings different in every document."""
+    rng = random.Random(n_lines)
+    passage = [f"{rng.choice(WORDS)}{rng.randrange(10**6)}" for _ in range(words_in_all)]
+    at = [words_in_all * i // n_lines for i in range(n_lines + 1)]
+    passage = "\n".join(" ".join(passage[a:b]) for a, b in zip(at, at[1:]))
+    own = lambda i, side: "\n".join(f"own line {side} {i} {j} {rng.random()}" for j in range(1 + i % 4))
+    return passage, [(i, own(i, "above") + "\n" + passage + "\n" + own(i, "below")) for i in range(copies)]
+
+
+@pytest.mark.parametrize("n_lines", [1, 2, 3, 5, 10, 30])
+def test_a_passage_of_any_number_of_lines_stays_once(spark, n_lines):
+    passage, held = planted(n_lines, words_in_all=max(52, 2 * n_lines))
+    got = {r.doc_id: r for r in line_chunks.passage_dedup(spark.createDataFrame(held, "doc_id long, text string")).collect()}
+    assert got[0].text == held[0][1] and got[0].n_removed_passages == 0
+    for i, text in held[1:]:
+        assert got[i].text == text.replace(passage + "\n", "")
+        assert (got[i].n_removed_passages, got[i].n_lines, got[i].n_removed_bytes) == (1, text.count("\n") + 1, len(passage.encode()) + 1)
+
+
+def passages_brute(rows, least):
+    """Plain Python: a unit goes if some run around it, with words enough, has an equal run at an earlier place."""
+    units = {}
+    for doc_id, text in rows:
+        units[doc_id] = [s.strip() for line in text.split("\n") for s in line.replace(". ", ".\0").split("\0") if s.strip()]
+    seen, gone = {}, set()
+    for doc_id in sorted(units):
+        for i in range(len(units[doc_id])):
+            for e in range(i + 1, len(units[doc_id]) + 1):
+                run = tuple(units[doc_id][i:e])
+                if sum(len(u.split()) for u in run) >= least and seen.setdefault(run, (doc_id, i)) != (doc_id, i):
+                    gone.update((doc_id, j) for j in range(i, e))
+    return {d: [u for j, u in enumerate(us) if (d, j) not in gone] for d, us in units.items()}
+
+
+def test_passages_of_lines_and_sentences_match_brute_force(spark):
+    rng = random.Random(11)
+    sentence = lambda n: " ".join(rng.choice(["alpha", "gamma", "été", "x1", "the"]) + str(rng.randrange(10**5)) for _ in range(n)) + "."
+    shared = [[sentence(rng.randrange(2, 40)) for _ in range(rng.randrange(1, 6))] for _ in range(6)]
+    held = []
+    for i in range(40):
+        units = [sentence(rng.randrange(1, 9)) for _ in range(rng.randrange(6))]
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(units) + 1)
+            units[at:at] = rng.choice(shared)[rng.randrange(2) :]
+        # No chunk of lines without words enough repeats, as own sentences and line ends differ.
+        held.append((i, "".join(u + rng.choice(["  ", " ", "\n"]) for u in units)))
+    found = line_chunks.passage_dedup(spark.createDataFrame(held, "doc_id long, text string"), spread=10**12).collect()
+    got = {r.doc_id: [s.strip() for line in r.text.split("\n") for s in line.replace(". ", ".\0").split("\0") if s.strip()] for r in found}
+    assert got == passages_brute(held, line_chunks.LEAST_WORDS)
+    assert sum(r.n_removed_passages for r in found) > 10
+
+
+def test_passages_inside_a_text_nulls_and_equal_rows(spark, nothing):
+    body = " ".join(f"word{i}" for i in range(30))
+    held = [(2, "x\n" + body, "a"), (1, body + "\n" + body + "\ny", "b"), (1, body + "\n" + body + "\ny", "b"), (None, "own. " + body + "\nz", "c"), (4, None, "d"), (5, "", "e")]
+    found = line_chunks.passage_dedup(spark.createDataFrame(held, "doc_id long, text string, gone string"))
+    assert found.columns == ["doc_id", "text", "n_lines", "n_removed_bytes", "n_removed_passages"]
+    assert sorted(((r.doc_id or 9, r.text) for r in found.collect()), key=str) == [(1, body + "\ny"), (1, body + "\ny"), (2, "x\n"), (4, None), (5, ""), (9, "own. \nz")]
+    assert line_chunks.passage_dedup(nothing).count() == 0
+
+
+def test_units_end_at_lines_and_sentences():
+    texts = ["  One two. Three (four!) five.six\n\n seven?\" eight ", "", " \n ", "一二。三四！\n五 六。", "。", "nine"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    found = list(zip(*(x.tolist() for x in line_chunks._units(data, offsets))))
+    got = [(row, b"".join(raw)[a:b].decode(), n) for row, a, b, n in found]
+    assert got == [
+        (0, "One two.", 2), (0, "Three (four!)", 2), (0, "five.six", 1), (0, 'seven?"', 1), (0, "eight", 1),
+        (3, "一二。", 1), (3, "三四！", 1), (3, "五 六。", 2), (4, "。", 1), (5, "nine", 1),
+    ]
+
+
 def test_mix_meets_targets_and_limits(docs, rows, nothing):
     pieces, sources = mix.mix(docs, block_words=8, shard_slots=100)
     got = mix.words_taken(docs, pieces, sources).collect()
