@@ -25,7 +25,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity of 0.8 or more) stays."""
-    return jaccard.keep_first(docs.select(COLUMNS), k=5, percent=80)
+    return jaccard.keep_one(docs.select(COLUMNS), k=5, percent=80)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

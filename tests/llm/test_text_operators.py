@@ -67,6 +67,16 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, ""), (-1, "a b c d e f g"), (-1, "q r s t u"), (3, "A b  c d e f g"), (9, "")]
 
 
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    held = [(5, "m n o p q"), (5, near + " x"), (3, near), (3, near + " y"), (3, near), (None, near), (None, "q r s t u"), (None, "q r  s t u"), (7, None), (None, None), (7, " ")]
+    docs = spark.createDataFrame(held, "doc_id long, text string").withColumn("class", F.lit("c"))
+    kept = jaccard.keep_one(docs, 4, 80)
+    assert kept.columns == ["doc_id", "text", "class"]
+    got = sorted((r.doc_id or 0, (r.text or "").replace("  ", " ").replace(" y", "")) for r in kept.collect())
+    assert got == [(0, ""), (0, "q r s t u"), (3, near), (5, "m n o p q"), (7, ""), (7, " ")]
+
+
 def test_common_tokens_are_dealt_to_parts(docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "SALT_ROWS", 1)
     monkeypatch.setattr(jaccard, "SKETCH_BITS", 6)

@@ -244,6 +244,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     equal doc_id are rows of their own; component_id is the smallest doc_id reachable.  A null doc_id is kept but names no component
     unless all ids of the component are null.  Other columns are ignored.  No rows: no rows.
     """
+    base, named = _grouped(docs, k, percent)
+    return base.join(named.drop("component"), "class", "left").select(
+        "doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id")
+    )
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class) of every row, and (class, component, component_id) of every class; ``component``: the least class in it."""
     docs = docs.select("doc_id", "text")
     base = stash(shingle_classes(docs, k), "classes")
     classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").cast("int").alias("n"))
@@ -309,10 +317,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     named = classes.join(final.select(F.col("id").alias("class"), "component"), "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "component").select("class", "component_id")
-    return base.join(named, "class", "left").select(
-        "doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return base, named.join(least, "component").select("class", "component", "component_id")
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -327,3 +332,29 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     many = groups.where("n > 1 and not gone").select("doc_id")
     once = left.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(many, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Exactly one row of each group of near copies stays, whatever the ids: smallest doc_id, null last, then least hash of the text.
+
+    Rows are judged by their own text: others with their doc_id do not keep them.  Rows without words always stay.
+    """
+    names = docs.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def tag(batches):
+        for batch in tb.slices(batches, "text"):
+            _, hashes, at = _sets(batch, k)
+            own = pa.array(_class_of(hashes, at).view(np.int64), mask=np.diff(at) == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*names, "__class"])
+
+    tagged = docs.mapInArrow(tag, fields + ", __class long").withColumn("__mark", F.xxhash64("text"))
+    _, named = _grouped(docs, k, percent)
+    each = tagged.where("__class is not null").groupBy("__class", "doc_id", "__mark").agg(F.count("*").alias("n"))
+    each = each.join(named.select(F.col("class").alias("__class"), "component"), "__class")
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__mark", "__class", "n")).alias("first"))
+    first = stash(first.select(F.col("first.doc_id").alias("__of"), F.col("first.__mark").alias("__first_mark"), F.col("first.__class").alias("__first_class"), F.col("first.n").alias("__n")), "first")
+    same = (F.col("__class") == F.col("__first_class")) & (F.col("__mark") == F.col("__first_mark")) & F.col("doc_id").eqNullSafe(F.col("__of"))
+    left = tagged.join(first.where("__n = 1"), same, "left_semi").unionByName(tagged.where("__class is null"))
+    once = tagged.join(first.where("__n > 1"), same, "left_semi").dropDuplicates(["__class", "doc_id", "__mark"])
+    return left.unionByName(once).select(names)
