@@ -84,6 +84,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 
+def prefix_trie() -> str:
+    crc = "list_reduce([4294967295] || [ascii(x) FOR x IN string_split(conv_id::VARCHAR, '')], lambda a, b: xor(a >> 8, r[1 + (xor(a, b) & 255)]))"
+    return f"""
+WITH RECURSIVE z AS (SELECT list(c ORDER BY i) AS r FROM (SELECT i, list_reduce([i] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) t(i))),
+o AS (SELECT conv_id, list({{'k': md5(coalesce(role, '') || chr(0) || coalesce(text, '')), 'n': coalesce(length(text), 0)}} ORDER BY turn NULLS FIRST) AS t
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT o.*, xor({crc}, 4294967295) % 6 AS h FROM o, z),
+b AS (SELECT x.conv_id, coalesce(y.t[1:x.h], []) || x.t[x.h + 1:] AS t FROM h x LEFT JOIN o y ON y.conv_id = x.conv_id - x.conv_id % 100),
+p AS (SELECT conv_id, d, len(t) AS m, array_to_string([u.k FOR u IN t[1:d]], '') AS k, CASE WHEN d > 0 THEN t[d].n ELSE 0 END AS n FROM b, unnest(range(0, len(t) + 1)) AS s(d)),
+v AS (SELECT d, k, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (m = d), '')) AS ends_sha256 FROM p GROUP BY d, k),
+c AS (SELECT left(k, 32 * (d - 1)) AS k, count(*) AS n_children FROM v WHERE d > 0 GROUP BY 1),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN c USING (k)),
+s AS (SELECT left(k, 32 * a) AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * n)::BIGINT AS saved_tokens FROM w, unnest(range(0, d + 1)) AS t(a) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+FROM w JOIN s USING (k) LEFT JOIN v q ON w.d > 0 AND q.k = left(w.k, 32 * (w.d - 1))"""
+
+
 ORACLES = {
     "op2_jaccard_join": near_copies(4, 85),
     "op3_decontaminate": contamination(10),
@@ -91,4 +108,5 @@ ORACLES = {
     "op6_warc": WARC,
     "op8_line_chunks": line_dedup(),
     "op9_chat": chat_digests(),
+    "op11_prefix_trie": prefix_trie(),
 }

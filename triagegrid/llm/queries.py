@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm import chat, decontaminate, jaccard, langid, line_chunks, mix, quality, suffix_dedup, topk, warc
+from triagegrid.llm import chat, decontaminate, jaccard, langid, line_chunks, mix, prefix_trie, quality, suffix_dedup, topk, warc
 from triagegrid.llm.checks import ORACLES as ORACLES
 from triagegrid.llm.tables import table
 from triagegrid.session import scratch_path
@@ -83,6 +83,12 @@ def op10_language(spark: SparkSession, sf: str) -> DataFrame:
     return langid.with_language(docs.drop("lang"), network).select("doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    convs = prefix_trie.sequences(table(spark, sf, "conversations"))
+    kept = F.crc32(F.col("conv_id").cast("string")) % 6
+    return prefix_trie.prefix_trie(prefix_trie.branched(convs, block=100, kept=kept, most=5))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_jaccard_join": op2_jaccard_join,
@@ -95,4 +101,5 @@ QUERIES = {
     "op8_passages": op8_passages,
     "op9_chat": op9_chat,
     "op10_language": op10_language,
+    "op11_prefix_trie": op11_prefix_trie,
 }
