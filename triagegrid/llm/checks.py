@@ -84,13 +84,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM c GROUP BY conv_id"""
 
 
+#: z.r: the table of CRC-32 by bytes.
+CRC_TABLE = """z AS (SELECT list(c ORDER BY i) AS r FROM (SELECT i, list_reduce([i] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) t(i)))"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, in the presence of z."""
+    hexes = f"hex(encode({text}))"
+    step = "lambda a, b: xor(a >> 8, r[1 + (xor(a, b) & 255)])"
+    return f"xor(list_reduce([4294967295::BIGINT] || [('0x' || substr({hexes}, 2 * j + 1, 2))::BIGINT FOR j IN range(strlen({text}))], {step}), 4294967295)"
+
+
 def prefix_trie() -> str:
-    crc = "list_reduce([4294967295] || [ascii(x) FOR x IN string_split(conv_id::VARCHAR, '')], lambda a, b: xor(a >> 8, r[1 + (xor(a, b) & 255)]))"
     return f"""
-WITH RECURSIVE z AS (SELECT list(c ORDER BY i) AS r FROM (SELECT i, list_reduce([i] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) t(i))),
+WITH RECURSIVE {CRC_TABLE},
 o AS (SELECT conv_id, list({{'k': md5(coalesce(role, '') || chr(0) || coalesce(text, '')), 'n': coalesce(length(text), 0)}} ORDER BY turn NULLS FIRST) AS t
       FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-h AS (SELECT o.*, xor({crc}, 4294967295) % 6 AS h FROM o, z),
+h AS (SELECT o.*, {_crc32('conv_id::VARCHAR')} % 6 AS h FROM o, z),
 b AS (SELECT x.conv_id, coalesce(y.t[1:x.h], []) || x.t[x.h + 1:] AS t FROM h x LEFT JOIN o y ON y.conv_id = x.conv_id - x.conv_id % 100),
 p AS (SELECT conv_id, d, len(t) AS m, array_to_string([u.k FOR u IN t[1:d]], '') AS k, CASE WHEN d > 0 THEN t[d].n ELSE 0 END AS n FROM b, unnest(range(0, len(t) + 1)) AS s(d)),
 v AS (SELECT d, k, any_value(n) AS n, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (m = d), '')) AS ends_sha256 FROM p GROUP BY d, k),
@@ -101,6 +111,28 @@ SELECT w.conv_id, w.d AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_chil
 FROM w JOIN s USING (k) LEFT JOIN v q ON w.d > 0 AND q.k = left(w.k, 32 * (w.d - 1))"""
 
 
+def resample(percent: int, least_words: int) -> str:
+    words = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, {words} AS w FROM documents),
+b AS (SELECT {words} AS w FROM benchmark),
+f AS (SELECT doc_id, array_to_string(w[i : i + k - 1], ' ') AS g, count(*) AS n FROM d, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL),
+h AS (SELECT array_to_string(w[i : i + k - 1], ' ') AS g, count(*) AS n FROM b, unnest([1, 2, 3]) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) GROUP BY ALL),
+k AS (SELECT g, {_crc32('g')} % 10000 AS bucket FROM (SELECT g FROM f UNION SELECT g FROM h), z),
+s AS (SELECT bucket, sum(n)::BIGINT AS n FROM f JOIN k USING (g) GROUP BY bucket),
+t AS (SELECT bucket, sum(n)::BIGINT AS n FROM h JOIN k USING (g) GROUP BY bucket),
+a AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),
+q AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0)::DOUBLE + 1) * (a.s + 10000) / ((coalesce(s.n, 0)::DOUBLE + 1) * (a.t + 10000))))::BIGINT AS gain
+      FROM s FULL JOIN t USING (bucket), a),
+v AS (SELECT doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN k USING (g) JOIN q USING (bucket) GROUP BY doc_id),
+c AS (SELECT d.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM d LEFT JOIN v USING (doc_id)),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM c WHERE n_words >= {least_words})
+SELECT c.doc_id, n_features, weight, score, CASE WHEN r <= n * {percent} // 100 THEN r END AS rank FROM c LEFT JOIN r USING (doc_id)"""
+
+
 ORACLES = {
     "op2_jaccard_join": near_copies(4, 85),
     "op3_decontaminate": contamination(10),
@@ -109,4 +141,5 @@ ORACLES = {
     "op8_line_chunks": line_dedup(),
     "op9_chat": chat_digests(),
     "op11_prefix_trie": prefix_trie(),
+    "op12_resample": resample(5, 20),
 }
