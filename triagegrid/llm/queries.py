@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from triagegrid.llm import chat, decontaminate, jaccard, langid, line_chunks, mix, prefix_trie, quality, resample, suffix_dedup, topk, warc
+from triagegrid.llm import chat, decontaminate, edit_print, jaccard, langid, line_chunks, mix, prefix_trie, quality, resample, suffix_dedup, topk, warc
 from triagegrid.llm.checks import ORACLES as ORACLES
 from triagegrid.llm.tables import table
 from triagegrid.session import scratch_path
@@ -93,6 +93,10 @@ def op12_resample(spark: SparkSession, sf: str) -> DataFrame:
     return resample.resample(table(spark, sf, "documents"), table(spark, sf, "benchmark"), percent=5)
 
 
+def op13_edit_print(spark: SparkSession, sf: str) -> DataFrame:
+    return edit_print.edited_prints(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_jaccard_join": op2_jaccard_join,
@@ -107,4 +111,5 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_resample": op12_resample,
+    "op13_edit_print": op13_edit_print,
 }
