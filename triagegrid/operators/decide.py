@@ -151,6 +151,13 @@ def resolve_answers(tickets: DataFrame, answers: DataFrame, on: str = "ticket_ke
     )
 
 
+def ticket_id(tickets: DataFrame, given: str | None = None) -> Column:
+    """The id of a ticket's decision: the one it has, or one of the ticket alone, never of the clock."""
+    more = [F.col(c) for c in ("ordinal", "ticket_key", "received_at") if c in tickets.columns]
+    derived = decision_id(F.col("source"), F.col("external_id"), F.col("text"), *more)
+    return F.coalesce(F.col(given).cast("string"), derived) if given else derived
+
+
 def decide(
     tickets: DataFrame,
     answers: DataFrame | None = None,
@@ -208,10 +215,9 @@ def decide(
         priced = usd6(cost_usd(usage, F.col("model"), *([card] if card else [])))
         usage = F.when(usage.isNotNull(), usage.withField("cost_usd", F.when(chosen, priced)))
     created = F.coalesce(F.col("received_at"), moment) if "received_at" in has else moment
-    seed = [F.col("source"), F.col("external_id"), F.col("text"), *[F.col(c) for c in ("ordinal", "ticket_key", "received_at") if c in has]]
     given = next((c for c in ("decision_id", "id") if c in has), None)
     return df.select(
-        (F.col(given).cast("string") if given else decision_id(*seed)).alias("id"),
+        ticket_id(tickets, given).alias("id"),
         created.alias("created_at"),
         F.struct("text", "source", "external_id").alias("ticket"),
         "mode",

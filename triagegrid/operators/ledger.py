@@ -30,17 +30,24 @@ def flatten_decision(decisions: DataFrame, *extra: str) -> DataFrame:
     return decisions.select(*[flat.get(name, F.col(name)).alias(name) for name in AUDIT_COLUMNS], *extra)
 
 
-def _one_per_key(df: DataFrame, pick) -> DataFrame:
-    """Keep one row per key.
+def _one_per_key(df: DataFrame, pick, but: DataFrame | None = None) -> DataFrame:
+    """Keep one row per key, ``but`` for the keys of another ledger: the winners are found on narrow rows, then the whole rows meet them.
 
-    An aggregate rather than a row_number window: it combines on the map side, so a key holding a
-    third of all rows reaches the shuffle as one row per task instead of landing whole in one task.
+    Finding is an aggregate of key, time and id, combined on the map side: a key holding a third of all rows reaches the shuffle as one
+    row per task.  Whole rows are dealt by id as well as key, once, so a hot key is spread, and equal rows fall together where they land.
     Rows without external_id pass by without a shuffle.
     """
-    keyed = df.where(F.col("external_id").isNotNull())
-    row = F.struct(*df.columns)
-    first = keyed.groupBy(*[F.col(k).alias(f"_{k}") for k in KEY]).agg(pick(row, F.struct("created_at", "id")).alias("_row"))
-    return first.select("_row.*")
+    time, name = F.coalesce("created_at", F.lit("0001-01-01").cast("timestamp")), F.coalesce("id", F.lit(""))
+    # A null source is a source of its own, which plain equality then knows.
+    key = {"_s": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")), "_e": F.col("external_id")}
+    mark = {**key, "_t": time, "_i": name}
+    keyed = df.where(F.col("external_id").isNotNull()).withColumns(mark)
+    best = pick(F.struct("_t", "_i"), F.struct("created_at", "id"))
+    winners = keyed.groupBy("_s", "_e").agg(best.alias("_first")).select("_s", "_e", "_first._t", "_first._i")
+    if but is not None:
+        held = _keys_of(but)
+        winners = winners.join(held.select(*[v.alias(k) for k, v in key.items()]), list(key), "left_anti")
+    return keyed.join(winners, list(mark), "left_semi").distinct().select(*df.columns)
 
 
 def dedupe_earliest(df: DataFrame) -> DataFrame:
@@ -75,11 +82,9 @@ def new_tickets(tickets: DataFrame, ledger: DataFrame) -> DataFrame:
 def insert_or_ignore(new: DataFrame, ledger: DataFrame) -> DataFrame:
     """The rows of ``new`` to append: one per unseen key, and every row without external_id.
 
-    ``new`` is combined per key first, so the anti-join sees each key once on either side.
+    Winners and the ledger meet on keys alone, each key once.
     """
-    loose = new.where(F.col("external_id").isNull())
-    fresh = _one_per_key(new, F.min_by).join(_keys_of(ledger), KEY, "left_anti").select(*new.columns)
-    return fresh.unionByName(loose)
+    return _one_per_key(new, F.min_by, but=ledger).unionByName(new.where(F.col("external_id").isNull()))
 
 
 #: Parts that the submissions of a key are dealt to when they meet their winner.

@@ -252,9 +252,12 @@ def decision_events(spark, sf):
     return e.select(F.json_tuple("value", *names).alias(*names))
 
 
-@query(O.RULES_ORDERS + """, w AS (SELECT *, first_value(id) OVER (PARTITION BY source, external_id, CASE WHEN external_id IS NULL THEN id END ORDER BY created_at, id) AS kept FROM d)
+_DISCARDS = O.RULES_ORDERS + """, w AS (SELECT *, first_value(id) OVER (PARTITION BY source, external_id, CASE WHEN external_id IS NULL THEN id END ORDER BY created_at, id) AS kept FROM d)
 SELECT CASE WHEN kept = id THEN 'routing_decision' ELSE 'routing_decision_deduplicated' END AS event, CASE WHEN kept = id THEN id END AS id, CASE WHEN kept <> id THEN id END AS discarded_id,
-CASE WHEN kept <> id THEN kept END AS kept_id, CASE WHEN kept <> id THEN source END AS source, CASE WHEN kept <> id THEN external_id END AS external_id FROM w""")
+CASE WHEN kept <> id THEN kept END AS kept_id, CASE WHEN kept <> id THEN source END AS source, CASE WHEN kept <> id THEN external_id END AS external_id FROM w"""
+
+
+@query(_DISCARDS)
 def discard_events(spark, sf):
     d = rules(spark, sf)
     sent = d.select("id", "created_at", "ticket.source", "ticket.external_id")
@@ -263,6 +266,17 @@ def discard_events(spark, sf):
     return e.select(F.json_tuple("value", *names).alias(*names))
 
 
+@query(_DISCARDS)
+def write_decision_events(spark, sf):
+    """The same batch of events, discards included, written twice and read once."""
+    d, path = rules(spark, sf), scratch_path(spark, "events")
+    sent = d.select("id", "created_at", "ticket.source", "ticket.external_id")
+    for _ in range(2):
+        S.write_decision_events(d, path, batch="1", settled=ledger.authoritative(sent, sent.limit(0)))
+    names = ["event", "id", "discarded_id", "kept_id", "source", "external_id"]
+    return S.read_decision_events(spark, path).select(F.json_tuple("value", *names).alias(*names))
+
+
 @query(O.MODEL + """ SELECT id, mode, cat AS category, urg AS urgency, cost_usd FROM dm""")
 def hydrate(spark, sf):
     """Decisions written without their cost and read back from ledger rows."""
@@ -297,6 +311,35 @@ def keep_source(spark, sf):
     return ledger.keep_source(D.event_ledger(spark, sf), "click").select("id", "source")
 
 
+def _stored_events(spark, sf) -> str:
+    """The event ledger as a stored one."""
+    rows, path = D.event_ledger(spark, sf), scratch_path(spark, "stored")
+    columns = [F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in S.LEDGER if f.name != S.LEDGER_PARTITION]
+    dated = rows.select(*columns, F.to_date(F.date_trunc("month", "created_at")).alias(S.LEDGER_PARTITION))
+    S.store_rows(dated.hint("rebalance", S.LEDGER_PARTITION), path, "overwrite")
+    return path
+
+
+@query(_L + " SELECT id, source FROM ledger WHERE id <> 'E-000000000042'")
+def remove_decision(spark, sf):
+    path = _stored_events(spark, sf)
+    S.remove_decision(spark, path, "E-000000000042")
+    return S.read_ledger(spark, path).select("id", "source")
+
+
+@query(_L + " SELECT id, source FROM ledger WHERE source IS NOT DISTINCT FROM 'click'")
+def clear_ledger(spark, sf):
+    path = _stored_events(spark, sf)
+    S.clear_ledger(spark, path, "click")
+    return S.read_ledger(spark, path).select("id", "source")
+
+
+@query(_L + f" SELECT id, source, queue FROM ledger WHERE queue = {O.q(L.ESCALATION_QUEUE)} OR escalation_queue = {O.q(L.ESCALATION_QUEUE)} ORDER BY created_at DESC, id DESC LIMIT 100")
+def recent_decisions(spark, sf):
+    """The newest rows of one queue in a stored ledger, from the dates that hold them."""
+    return S.recent_decisions(spark, _stored_events(spark, sf), 100, L.ESCALATION_QUEUE).select("id", "source", "queue")
+
+
 @query(O.RULES_ORDERS + """ SELECT id, strftime(created_at, '%Y-%m-%d') AS created_on, source, external_id, text AS ticket_text, 'rules' AS mode, cat AS category, urg AS urgency,
 CAST(esc AS INTEGER) AS escalate, queue, escalation_queue, 0 AS latency_ms, summary AS json_summary FROM d""")
 def flatten_decision(spark, sf):
@@ -1128,6 +1171,20 @@ def stream_intake(spark, sf):
     return good.unionByName(spark.read.parquet(bad_path).select("external_id", F.md5("text").alias("body"), "problem", F.lit(True).alias("own_id")))
 
 
+@query(f"SELECT md5({O.strip('text')}) AS body, 3 * count(*) AS copies, 3 * count(*) AS ids FROM documents WHERE length({O.strip('text')}) BETWEEN 1 AND 20000 GROUP BY ALL")
+def stream_repeats(spark, sf):
+    """Every document as a plain line, in three micro-batches that say the same: each line is a row with an id of its own."""
+    path = scratch_path(spark, "repeats-in")
+    quoted = F.to_json(F.array("text"))
+    lines = D.table(spark, sf, "documents").select(F.substring(quoted, F.lit(2), F.length(quoted) - 2).alias("value"))
+    for _ in range(3):
+        lines.coalesce(1).write.mode("append").text(path)
+    ledger_path, bad_path, ckpt = (scratch_path(spark, n) for n in ("repeats-ledger", "repeats-bad", "repeats-ckpt"))
+    intake.stream_intake(intake.stream_tickets(spark, path, files_per_trigger=1), ledger_path, bad_path, ckpt).awaitTermination()
+    rows = intake.read_stream_ledger(spark, ledger_path).groupBy(F.md5("ticket_text").alias("body"))
+    return rows.agg(F.count(F.lit(1)).alias("copies"), F.countDistinct("id").alias("ids"))
+
+
 @query(O.RULES_ORDERS + " SELECT name, count(*) AS count FROM (SELECT queue AS name FROM d UNION ALL SELECT escalation_queue FROM d WHERE escalation_queue IS NOT NULL) GROUP BY name")
 def stream_queue_depths(spark, sf):
     out, ckpt = scratch_path(spark, "stream-depths"), scratch_path(spark, "stream-ckpt")

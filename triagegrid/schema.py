@@ -145,3 +145,7 @@ AUDIT_COLUMNS = [
     "latency_ms",
     "decision_json",
 ]
+LEDGER = T.StructType(
+    [T.StructField(name, {"created_at": T.TimestampType(), "escalate": T.IntegerType(), "latency_ms": _l}.get(name, _s)) for name in AUDIT_COLUMNS]
+    + [T.StructField("created_date", T.DateType())]
+)
