@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from triagegrid.functions.pieces import PIECES
+from triagegrid.functions.pieces import KEY, KEYLESS, KEYS, PIECES
 
 # Word characters, boundaries and whitespace follow Unicode; "." stops only at a line feed.
 _FLAGS = "(?Ud)"
@@ -20,17 +20,31 @@ def pattern(text: str, any_case: bool = True) -> str:
 
 
 def add_folded(df: DataFrame, text: str = "text", out: str = "_low") -> DataFrame:
-    """Add the lower-cased text that the cheap look for pieces runs on.
+    """Add the lower-cased text that the cheap look for pieces runs on, and the beginnings of its words that patterns know.
 
     Three letters fold to ASCII when case is ignored but not when lower-cased.
     """
     odd = " OR ".join(f"contains({text}, '{c}')" for c in "ſİı")
-    return df.select("*", F.expr(f"lower(IF({odd}, translate({text}, 'ſİı', 'sii'), {text}))").alias(out))
+    folded = df.select("*", F.expr(f"lower(IF({odd}, translate({text}, 'ſİı', 'sii'), {text}))").alias(out))
+    listed = ", ".join(sql_text(key) for key in sorted({key for keys in KEYS.values() for key in keys}))
+    heads = rf"transform(split({out}, '(?U)\\W+'), w -> substring(w, 1, {KEY}))"
+    return folded.select("*", F.expr(f"filter({heads}, k -> k IN ({listed}))").alias(out + HEADS))
+
+
+#: Behind the name of a folded text: the name of its words' beginnings.
+HEADS = "_heads"
 
 
 def may_match(low: str, regex: str) -> Column:
     """False only where the pattern cannot match the text ``low`` was folded from."""
-    return F.expr(" OR ".join(f"contains({low}, {sql_text(piece)})" for piece in PIECES[regex]))
+
+    def any_of(pieces: list[str]) -> str:
+        return " OR ".join(f"contains({low}, {sql_text(piece)})" for piece in pieces)
+
+    if not KEYS[regex]:
+        return F.expr(any_of(PIECES[regex]))
+    begun = f"exists({low}{HEADS}, k -> k IN ({', '.join(map(sql_text, KEYS[regex]))}))"
+    return F.expr(f"({' OR '.join([begun, *([any_of(KEYLESS[regex])] if KEYLESS[regex] else [])])}) AND ({any_of(PIECES[regex])})")
 
 
 def first_match(text: Column, regex: str, any_case: bool = True, group: int = 0, low: str | None = None) -> Column:

@@ -997,7 +997,7 @@ def keyword_category(spark, sf):
 
 @query(O.RULES_DOCUMENTS + " SELECT id, k_cat AS category, k_urg AS urgency, array_to_string(k_sig, '|') AS signals FROM kw")
 def keyword_urgency(spark, sf):
-    t = folded_documents(spark, sf).select("id", "text", "_low", K.keyword_category(F.col("text"), "_low")["category"].alias("category"))
+    t = folded_documents(spark, sf).select("id", "text", "_low", "_low_heads", K.keyword_category(F.col("text"), "_low")["category"].alias("category"))
     return t.select("id", "category", K.keyword_urgency(F.col("text"), F.col("category"), "_low").alias("u")).select(
         "id", "category", "u.urgency", join(F.col("u.signals")).alias("signals")
     )
