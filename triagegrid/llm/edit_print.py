@@ -9,8 +9,8 @@ that the whole fingerprints verify.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -40,7 +40,9 @@ def _landings() -> list[int]:
     coins[:, -1] = 1
     step = np.where(coins == 1, np.arange(PERIOD), PERIOD - 1)
     first = np.minimum.accumulate(step[:, ::-1], axis=1)[:, ::-1]
-    return ((first + 1) % PERIOD).astype(int).ravel().tolist()
+    # One number object for each value, so that the table stays in the processor's cache.
+    numbers = list(range(PERIOD))
+    return [numbers[i] for i in ((first + 1) % PERIOD).ravel()]
 
 
 def _records() -> np.ndarray:
@@ -71,7 +73,8 @@ def _walk(points: np.ndarray, step: int, wanted: np.ndarray) -> tuple[int, np.nd
     found = np.full(len(wanted), -1, np.int64)
     for start in range(0, len(points), STRETCH):
         classes = ((points[start : start + STRETCH] * np.uint32(2654435761)) >> np.uint32(16)) % np.uint32(CLASSES) * np.uint32(PERIOD)
-        at = np.array(list(accumulate(classes.tolist(), lambda j, c: _LANDING[c + j], initial=step % PERIOD)))
+        landing, j = _LANDING, step % PERIOD
+        at = np.frombuffer(array("q", [j, *[j := landing[c + j] for c in classes.tolist()]]), np.int64)
         stays = (at[1:] - at[:-1]) % PERIOD
         behind = step + np.cumsum(np.where(stays == 0, PERIOD, stays))
         here = np.flatnonzero((wanted >= step) & (wanted < behind[-1]))
