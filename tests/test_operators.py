@@ -322,3 +322,21 @@ def test_calls_are_made_side_by_side_for_the_model_asked_for(spark):
     got = classify_with(t, make, model="small", in_flight=4).collect()
     assert [r["ticket_key"] for r in got] == [str(i) for i in range(24)] and {r["model"] for r in got} == {"small"}
     assert max(r["usage"]["input_tokens"] for r in got) == 4
+
+
+def test_several_runs_from_one_reading(spark):
+    """Each run's rows are those that ``decide`` gives alone; patterns are in the plan once."""
+    from triagegrid.operators.decide import decide_runs
+
+    texts = ["Refund invoice #77 twice please.", "Our CEO wants this fixed right now.", "malware on our staff laptops", "hello"]
+    t = spark.createDataFrame([(x, "s", f"k{i}", f"k{i}") for i, x in enumerate(texts)], "text string, source string, external_id string, ticket_key string")
+    made = [(f"k{i}", "gpt-5-mini-2025-08-07", None if i == 1 else extraction(), None, 10, "late" if i == 1 else None) for i in range(3)]
+    answers = spark.createDataFrame(made, ANSWER)
+    now = F.lit("2026-01-01").cast("timestamp")
+    both = decide_runs(t, {"words": None, "model": answers}, now=now)
+    for name, given in (("words", None), ("model", answers)):
+        alone = {r["id"]: r.asDict(True) for r in decide(t, given, now=now).collect()}
+        mine = {r["id"]: r.asDict(True) for r in both.where(F.col("run") == name).drop("run").collect()}
+        assert mine == alone and len(alone) == 4
+    plan = both.select("run", "queue")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ransomware") <= 2

@@ -5,7 +5,7 @@ text, routing.  Nothing here shuffles except the join with an answers table.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -151,9 +151,9 @@ def resolve_answers(tickets: DataFrame, answers: DataFrame, on: str = "ticket_ke
     )
 
 
-def ticket_id(tickets: DataFrame, given: str | None = None) -> Column:
-    """The id of a ticket's decision: the one it has, or one of the ticket alone, never of the clock."""
-    more = [F.col(c) for c in ("ordinal", "ticket_key", "received_at") if c in tickets.columns]
+def ticket_id(columns: Sequence[str], given: str | None = None) -> Column:
+    """The id of a ticket's decision: the one it has, or one of the ticket's ``columns`` alone, never of the clock."""
+    more = [F.col(c) for c in ("ordinal", "ticket_key", "received_at") if c in columns]
     derived = decision_id(F.col("source"), F.col("external_id"), F.col("text"), *more)
     return F.coalesce(F.col(given).cast("string"), derived) if given else derived
 
@@ -192,32 +192,79 @@ def decide(
         df = resolve_answers(df, answers)
         unread = F.when(F.col("mode") != L.MODE_MODEL, F.col("text"))
     df = add_guardrail_matches(add_folded(df.withColumn("_unread", unread)), low="_low")
-    chosen = F.col("mode") == L.MODE_MODEL
     if answers is None:
         df = add_keyword_reading(df, "_unread", "_b_", own_names, "_low")
     else:
         plain = df.columns
-        df = add_keyword_reading(df, "_unread", "_q_", own_names, "_low")
-        df = df.select(
-            *plain,
-            *[
-                F.when(chosen, F.coalesce(F.col("answer")[f.name], _no_alternatives()) if f.name == "category_alternatives" else F.col("answer")[f.name])
-                .otherwise(F.col("_q_" + f.name))
-                .alias("_b_" + f.name)
-                for f in EXTRACTION
-            ],
-        )
+        df = _chosen(add_keyword_reading(df, "_unread", "_q_", own_names, "_low"), plain)
+    return _decided(df, tickets.columns, moment, table, card, answers is not None)
+
+
+#: What a run has to say about a ticket, see ``resolve_answers``.
+SAID = ["mode", "error", "model", "answer", "usage", "latency_ms"]
+
+
+def decide_runs(
+    tickets: DataFrame,
+    runs: Mapping[str, DataFrame | None],
+    *,
+    now: Column | None = None,
+    own_names: Sequence[str] = (),
+    table: RoutingTable = STANDARD,
+    card: Card | None = None,
+) -> DataFrame:
+    """Decide every ticket once for each of several runs, from one reading of the tickets.
+
+    ``runs`` names tables of answers; None stands for keywords alone.  Returns the rows that ``decide`` gives for each, with the run's name in
+    ``run``.  Patterns run once per ticket: matches and the keyword reading are made before a ticket is unfolded into its runs.
+    """
+    moment = (now if now is not None else F.current_timestamp()).cast("timestamp")
+    df = tickets.drop(*SAID)
+    kinds = {"answer": EXTRACTION, "usage": USAGE}
+    for i, (name, answers) in enumerate(runs.items()):
+        if answers is None:
+            said = {"mode": F.lit(L.MODE_KEYWORDS), "answer": F.lit(None), "usage": F.lit(None), "latency_ms": F.lit(0)}
+            seen, rest = df, df.columns
+        else:
+            seen, rest = resolve_answers(df, answers), df.columns
+            said = {c: F.col(c) for c in SAID}
+        fields = [said.get(c, F.lit(None)).cast(kinds.get(c, "bigint" if c == "latency_ms" else "string")).alias(c) for c in SAID]
+        df = seen.select(*rest, F.struct(F.lit(name).alias("run"), *fields).alias(f"_run_{i}"))
+    names = [f"_run_{i}" for i in range(len(runs))]
+    unread = F.lit(False)
+    for run in names:
+        unread = unread | (F.col(run)["mode"] != L.MODE_MODEL)
+    df = add_guardrail_matches(add_folded(df.withColumn("_unread", F.when(unread, F.col("text")))), low="_low")
+    plain = [c for c in df.columns if c not in names]
+    df = add_keyword_reading(df, "_unread", "_q_", own_names, "_low")
+    df = df.select(*[c for c in df.columns if c not in names], F.inline(F.array(*names)))
+    return _decided(_chosen(df, [*plain, "run", *SAID]), tickets.columns, moment, table, card, True, "run")
+
+
+def _chosen(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The answer where the run has one, else the keyword reading in ``_q_`` columns; both become ``_b_`` columns."""
+    chosen = F.col("mode") == L.MODE_MODEL
+
+    def said(name: str) -> Column:
+        return F.coalesce(F.col("answer")[name], _no_alternatives()) if name == "category_alternatives" else F.col("answer")[name]
+
+    return df.select(*keep, *[F.when(chosen, said(f.name)).otherwise(F.col("_q_" + f.name)).alias("_b_" + f.name) for f in EXTRACTION])
+
+
+def _decided(df: DataFrame, given_columns: Sequence[str], moment: Column, table: RoutingTable, card: Card | None, answered: bool, *more: str) -> DataFrame:
+    """Guardrails, routing and price over a base reading in ``_b_`` columns: rows of the DECISION schema."""
+    has, chosen = set(given_columns), F.col("mode") == L.MODE_MODEL
     df = add_guardrails(df, "_b_", "_f_")
     base = {f.name: F.col("_b_" + f.name) for f in EXTRACTION}
     final = {name: F.col("_f_" + name) for name in SETTLED}
     usage = F.col("usage")
-    if answers is not None:
+    if answered:
         priced = usd6(cost_usd(usage, F.col("model"), *([card] if card else [])))
         usage = F.when(usage.isNotNull(), usage.withField("cost_usd", F.when(chosen, priced)))
     created = F.coalesce(F.col("received_at"), moment) if "received_at" in has else moment
     given = next((c for c in ("decision_id", "id") if c in has), None)
     return df.select(
-        ticket_id(tickets, given).alias("id"),
+        ticket_id(given_columns, given).alias("id"),
         created.alias("created_at"),
         F.struct("text", "source", "external_id").alias("ticket"),
         "mode",
@@ -231,4 +278,5 @@ def decide(
         F.coalesce(F.col("latency_ms"), F.lit(0)).cast("bigint").alias("latency_ms"),
         usage.alias("usage"),
         "error",
+        *more,
     )

@@ -59,12 +59,12 @@ def require_count(df: DataFrame, expected: int, what: str = "rows") -> DataFrame
     return df
 
 
-def score(gold: DataFrame, decisions: DataFrame) -> DataFrame:
-    return score_pairs(join_gold(gold, decisions))
+def score(gold: DataFrame, decisions: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    return score_pairs(join_gold(gold, decisions), also)
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """One scored row per (labelled row, ``decision`` struct)."""
+def score_pairs(pairs: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """One scored row per (labelled row, ``decision`` struct); ``also`` names columns of the decision to keep, as ``run`` of ``decide_runs``."""
     e, d = F.col("expected"), F.col("decision")
     x, who = d["extraction"], d["extraction"]["customer"]
     amb = F.coalesce(F.col("ambiguous"), F.array().cast("array<string>"))
@@ -110,6 +110,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
             who["name"].alias("customer"),
         ).alias("got"),
         e.alias("expected"),
+        *[d[c].alias(c) for c in also],
     )
 
 
@@ -224,6 +225,35 @@ def compare_scorecards(a: DataFrame, b: DataFrame) -> DataFrame:
     return _headlines(a, "a").join(_headlines(b, "b"), "metric")
 
 
+def compare_runs_scorecards(scores: DataFrame, a: str, b: str) -> DataFrame:
+    """``compare_scorecards`` of two runs out of scores with a ``run`` column: both cards from one pass over them."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in HEADLINES])
+    cards = scorecard(scores.where(F.col("run").isin(a, b)), ["run"]).select("run", F.inline(pairs))
+    return cards.groupBy("metric").agg(*[F.max(F.when(F.col("run") == run, F.col("value"))).alias(name) for name, run in (("a", a), ("b", b))])
+
+
+def compare_runs_offenders(scores: DataFrame, a: str, b: str) -> DataFrame:
+    """``compare_offenders`` of two runs out of scores with a ``run`` column."""
+    kinds = {"missed_escalations": "missed_escalation", "false_escalations": "false_escalation"}
+    found = F.filter(F.array(*[F.when(F.col(flag), F.lit(kind)) for kind, flag in kinds.items()]), lambda k: k.isNotNull())
+    rows = scores.where(F.col("run").isin(a, b)).select("id", "run", F.explode(found).alias("kind"))
+    return rows.groupBy("kind", "id").agg(F.bool_or(F.col("run") == a).alias("in_a"), F.bool_or(F.col("run") == b).alias("in_b"))
+
+
+def compare_runs_answers(scores: DataFrame, a: str, b: str) -> DataFrame:
+    """``compare_runs`` of two runs out of scores with a ``run`` column: labels meet by id, nothing is read again."""
+
+    def label(side: Column) -> Column:
+        return answer_label(side["category"], side["urgency"], side["escalate"])
+
+    # No filter on the runs here: together with the last one it keeps the optimizer busy for a minute.
+    rows = scores.select("id", "run", label(F.col("got")).alias("got"), label(F.col("expected")).alias("expected"))
+    both = rows.groupBy("id").agg(
+        *[F.max(F.when(F.col("run") == run, F.col("got"))).alias(name) for name, run in (("a", a), ("b", b))], F.max("expected").alias("expected")
+    )
+    return both.where(F.col("a") != F.col("b"))
+
+
 def compare_offenders(a: DataFrame, b: DataFrame) -> DataFrame:
     """Missed and false escalations of two scored runs: which run has which."""
     kinds = ["missed_escalations", "false_escalations"]

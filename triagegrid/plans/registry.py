@@ -12,7 +12,7 @@ from triagegrid.functions import labels, ordinal, pricing, text
 from triagegrid.functions.guardrails import MATCHES, ACTIVE, add_guardrail_matches, suppress_spam
 from triagegrid.operators import cascade, costs, dashboard, evidence, ledger, routing, scoring, stability
 from triagegrid.operators.classify import classify_with
-from triagegrid.operators.decide import decide, resolve_answers, validate_answers
+from triagegrid.operators.decide import decide, decide_runs, resolve_answers, validate_answers
 from triagegrid.plans import derived as D
 from triagegrid.plans import oracle as O
 from triagegrid.session import scratch_path
@@ -471,7 +471,9 @@ def coverage_gaps(spark, sf):
 
 
 def _two_runs(spark, sf):
-    return scores(spark, sf, model=False), scores(spark, sf, model=True)
+    """Scores of the same tickets by keywords (a) and by the model (b), from one reading."""
+    runs = decide_runs(D.eval_tickets(spark, sf), {"a": None, "b": D.answers(spark, sf, gap=True)})
+    return scoring.score(D.gold(spark, sf), runs, also=["run"])
 
 
 _TWO = (
@@ -487,8 +489,7 @@ _LABEL = "{0}cat || '/' || {0}urg || '/' || CASE WHEN {0}esc THEN 'ESC' ELSE '-'
 
 @query(_TWO + f" SELECT sa.gid AS id, {_LABEL.format('sa.')} AS a, {_LABEL.format('sb.')} AS b, sa.e_cat || '/' || sa.e_urg || '/' || CASE WHEN sa.e_esc THEN 'ESC' ELSE '-' END AS expected FROM sa JOIN sb ON sa.gid = sb.gid WHERE {_LABEL.format('sa.')} <> {_LABEL.format('sb.')}")
 def compare_runs(spark, sf):
-    a, b = _two_runs(spark, sf)
-    return scoring.compare_runs(a, b)
+    return scoring.compare_runs_answers(_two_runs(spark, sf), "a", "b")
 
 
 @query(O.RULES_ORDERS + f""", c AS (SELECT queue AS name, count(*) AS n FROM d GROUP BY 1 UNION ALL SELECT escalation_queue, count(*) FROM d WHERE escalation_queue IS NOT NULL GROUP BY 1)
@@ -925,15 +926,13 @@ def _headline_sql(t: str) -> str:
 
 @query(_TWO + f" SELECT x.e.m AS metric, round(x.e.v, 6) AS a, round(y.e.v, 6) AS b FROM ({_headline_sql('sa')}) x JOIN ({_headline_sql('sb')}) y ON x.e.m = y.e.m")
 def compare_scorecards(spark, sf):
-    a, b = _two_runs(spark, sf)
-    return rounded(scoring.compare_scorecards(scoring.scorecard(a), scoring.scorecard(b)))
+    return rounded(scoring.compare_runs_scorecards(_two_runs(spark, sf), "a", "b"))
 
 
 @query(_TWO + """, o AS (SELECT 'missed_escalations' AS kind, gid, 1 AS a, 0 AS b FROM sa WHERE missed UNION ALL SELECT 'false_escalations', gid, 1, 0 FROM sa WHERE false_esc UNION ALL SELECT 'missed_escalations', gid, 0, 1 FROM sb WHERE missed
 UNION ALL SELECT 'false_escalations', gid, 0, 1 FROM sb WHERE false_esc) SELECT kind, gid AS id, max(a) > 0 AS in_a, max(b) > 0 AS in_b FROM o GROUP BY kind, gid""")
 def compare_offenders(spark, sf):
-    a, b = _two_runs(spark, sf)
-    return scoring.compare_offenders(a, b)
+    return scoring.compare_runs_offenders(_two_runs(spark, sf), "a", "b")
 
 
 @query(O.MODEL + """, i AS (SELECT *, mode = 'llm_fallback_rules' AS fb FROM dm), v AS (SELECT 'queue never empty' AS c, count(*) FILTER (WHERE coalesce(queue, '') = '') AS n FROM i UNION ALL SELECT 'every field carries a reason', count(*) FILTER (WHERE uwhy = '') FROM i
