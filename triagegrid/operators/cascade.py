@@ -11,6 +11,7 @@ from triagegrid.functions.pricing import cost_usd, merge_usage, usd6
 from triagegrid.functions.text import fill
 from triagegrid.operators.decide import decide
 from triagegrid.operators.routing import STANDARD
+from triagegrid.operators.scoring import scorecard
 from triagegrid.schema import CASCADE_NOTE
 
 STAKES = RANK["high"]
@@ -119,8 +120,22 @@ def _note(**given: Column) -> Column:
     return F.struct(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CASCADE_NOTE])
 
 
-def cascade_report(shipped: DataFrame, base: DataFrame) -> DataFrame:
-    """Did the cascade pay?  One row over cascade answers and over the base run's answers.
+QUALITY = ["missed_escalations", "false_escalations", "urgency_under", "urgency_never_under_critical", "category_accuracy"]
+
+
+def cascade_quality(scores: DataFrame, cascade: str = "cascade", base: str = "base") -> DataFrame:
+    """What the saving costs: one row with the failures of the cascade and, as ``base_...``, of the dear reader on every ticket.
+
+    ``scores`` holds both runs, see ``decide_runs`` and ``scoring.score(..., also=["run"])``; one pass over them.
+    """
+    cards = scorecard(scores, ["run"])
+    both = [(cascade, ""), (base, "base_")]
+    # One row a run is left: the first of either is its only one.
+    return cards.agg(*[F.first(F.when(F.col("run") == run, F.col(m)), ignorenulls=True).alias(prefix + m) for run, prefix in both for m in QUALITY])
+
+
+def cascade_report(shipped: DataFrame, base: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Did the cascade pay?  One row over cascade answers and over the base run's answers; with ``scores`` also at what cost in quality.
 
     Spend is reported by both pricing rules, because pricing a cheap draft's tokens at the dear
     model's rate overstates the cost of a draft cascade.
@@ -137,12 +152,14 @@ def cascade_report(shipped: DataFrame, base: DataFrame) -> DataFrame:
         F.coalesce(F.sum(own), F.lit(0.0)).alias("spend_by_reader"),
         F.avg(cost).alias("mean_cost"),
         F.avg(F.when(dear, cost)).alias("mean_cost_reread"),
-        F.lit(1).alias("_k"),
-    )
-    right = base.agg(
-        F.coalesce(F.sum(cost_usd(F.col("usage"), F.col("model"))), F.lit(0.0)).alias("base_spend"), F.lit(1).alias("_k")
     )
-    both = left.join(right, "_k")
+    right = base.agg(F.coalesce(F.sum(cost_usd(F.col("usage"), F.col("model"))), F.lit(0.0)))
+    both = left.withColumn("base_spend", right.scalar())
+    quality = []
+    if scores is not None:
+        found = cascade_quality(scores)
+        both = both.withColumn("_quality", found.select(F.struct(*found.columns)).scalar())
+        quality = [F.col("_quality")[c].alias(c) for c in found.columns]
     return both.select(
         "n",
         "reread",
@@ -155,4 +172,5 @@ def cascade_report(shipped: DataFrame, base: DataFrame) -> DataFrame:
         (1 - F.try_divide("spend_by_reader", "base_spend")).alias("saving_by_reader"),
         "mean_cost",
         "mean_cost_reread",
+        *quality,
     )

@@ -64,13 +64,13 @@ def token_totals(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def cost_per_ticket(df: DataFrame, base_model: str, by: str = "model") -> DataFrame:
     """Cost per ticket of each model, priced on its token sums, and as a ratio to a base model.
 
-    One row per model is left after the aggregate, so the ratio is a join of tiny sides.
+    One row per model is left after the aggregate, so the ratio is taken to one number.
     """
     totals = token_totals(df, [by])
     cost = token_cost(F.col("tokens_in"), F.col("tokens_cached"), F.col("tokens_out"), rates_for(F.col(by)))
-    each = totals.select(by, "n", F.try_divide(cost, F.col("n")).alias("cost_per_ticket"), F.lit(1).alias("_k"))
-    base = each.where(F.col(by) == base_model).select("_k", F.col("cost_per_ticket").alias("_base"))
-    return each.join(base, "_k", "left").select(
+    each = totals.select(by, "n", F.try_divide(cost, F.col("n")).alias("cost_per_ticket"))
+    base = each.where(F.col(by) == base_model).agg(F.first("cost_per_ticket"))
+    return each.withColumn("_base", base.scalar()).select(
         by, "n", "cost_per_ticket", F.try_divide("cost_per_ticket", "_base").alias("ratio")
     )
 

@@ -713,6 +713,33 @@ def cascade_report(spark, sf):
     return rep.select(*[r(F.col(f.name), 4 if f.name in money else 6).alias(f.name) if f.dataType.typeName() == "double" else F.col(f.name) for f in rep.schema])
 
 
+def _shipped_sql(out: str, used: str, reread: str) -> str:
+    """Decisions on the answers that a cascade ships, folded like any others."""
+    def either(final: str, draft: str, words: str) -> str:
+        return f"CASE WHEN {used} THEN CASE WHEN {reread} THEN {final} ELSE {draft} END ELSE {words} END"
+
+    fold = O.fold_ctes(
+        "both_reads", either("f_cat", "a_cat", "k_cat"), f"CASE WHEN {used} THEN a_conf ELSE k_conf END", either("f_urg", "a_urg", "k_urg"), f"coalesce({either('f_esc', 'a_esc', 'false')}, false)",
+        f"CASE WHEN {used} THEN a_rs ELSE []::VARCHAR[] END", f"CASE WHEN {used} THEN 'By its tone.' ELSE urg_why END", f"CASE WHEN {used} THEN ['tone'] ELSE k_sig END",
+    )
+    return f"{out} AS (SELECT * FROM (WITH {fold} SELECT *, 'llm' AS mode, a_name AS c_name, a_guess AS c_guess, a_who_conf AS c_conf, ['x'] AS c_basis, a_ids AS c_ids FROM d))"
+
+
+_FAILURES = """count(*) FILTER (WHERE missed) AS {0}missed_escalations, count(*) FILTER (WHERE false_esc) AS {0}false_escalations, count(*) FILTER (WHERE gap < 0) AS {0}urgency_under,
+count(*) FILTER (WHERE e_urg = 'critical' AND urg <> 'critical') = 0 AS {0}urgency_never_under_critical, round(count(*) FILTER (WHERE category_ok) / count(*), 6) AS {0}category_accuracy"""
+
+
+@query(f"""WITH {O.ORDER_TICKETS}, {O.ANSWERS}, {_FINALS}, {O.GOLD}, {O.keyword_ctes()}, both_reads AS (SELECT kw.*, ans.*, fin.*, {_REREAD} AS reread FROM kw JOIN ans ON kw.id = akey JOIN fin ON fkey = akey),
+{_shipped_sql("ship", "(CASE WHEN reread THEN NOT a_failed ELSE a_problem IS NULL END)", "reread")}, {_shipped_sql("dear", "(NOT a_failed)", "true")},
+{O.scores_cte("ship", "scored_ship")}, {O.scores_cte("dear", "scored_dear")} SELECT * FROM (SELECT {_FAILURES.format("")} FROM scored_ship), (SELECT {_FAILURES.format("base_")} FROM scored_dear)""")
+def cascade_quality(spark, sf):
+    """What a draft cascade gets wrong beside the dear reader, both decided from one reading of the tickets."""
+    finals = _finals(spark, sf)
+    runs = {"cascade": cascade.cascade_by_draft(D.answers(spark, sf), finals), "base": finals}
+    scored = scoring.score(D.gold(spark, sf), decide_runs(D.eval_tickets(spark, sf), runs), also=["run"])
+    return rounded(cascade.cascade_quality(scored))
+
+
 @query(f"""WITH {O.rules_ctes(O.ORDER_TICKETS)}, {O.ANSWERS}, {_FINALS}, t AS ({_TRIAGE}) SELECT t.id, expensive, CASE WHEN expensive THEN 'gpt-5-2025-08-07' ELSE a_model END AS model,
 CASE WHEN expensive THEN f_in ELSE tin END AS input_tokens, {O.usd6_sql("CASE WHEN expensive THEN " + O.micro_sql("'gpt-5-2025-08-07'", 'f_in', 'f_cached', 'f_out') + " ELSE " + O.micro_sql('a_model', 'tin', 'tcached', 'tout') + " END")} AS cost_usd
 FROM t JOIN ans ON akey = t.id JOIN fin ON fkey = t.id""")
