@@ -11,35 +11,36 @@ from triagegrid.functions.guardrails import ACTIVE, MATCHES, add_guardrails
 from triagegrid.functions.pieces import PIECES, pieces_of
 from triagegrid.operators.decide import decide
 
+# A museum with a workshop, its visitors and its suppliers.
 TEXTS = {
-    "legal": "Unless this is settled our attorney will see you over the breach of contract.",
-    "active": "A terminated employee is still in the console, and we can see activity right now.",
-    "stale": "The old password was not revoked after she left.",
-    "exposed": "Last week's change exposed some internal payroll data to everyone in the building.",
-    "another": "Opening the list I was able to see another tenant's invoices.",
-    "renewal": "When does the contract end, and what would 30 more seats cost?",
-    "password": "I lost my password and no reset mail came.",
-    "permissions": "Where can I set permissions for a new colleague?",
-    "thanks": "Our CFO loves the new chart, no rush, just saying thanks.",
-    "spam": "Verified B2B lead lists, GDPR safe, first 900 free. Reply DEALS to start.",
-    "billing": "We were double-billed on invoice #55120, please refund.",
-    "deadline": "The export button gives a 500 error. Report is due Friday.",
-    "minor": "The theme toggle resets on refresh. Whenever you get a chance.",
-    "outage": "The whole dashboard is down for all of our users.",
-    "widespread": "clients were invoiced twice at checkout",
-    "spanish": "La FACTURA de abril no coincide con el pago. Saludos. — Lucía Robles, Grupo Norte",
-    "english": "It fails again. - Sam Porter, Vega Logistics",
-    "dash": "The button is stuck — it fails each time.",
-    "monday": "It broke on the site at Monday noon - Eva Lund, Vega Labs",
-    "own": "The mail from Ourproduct never came",
-    "work_mail": "Reply to ana@vega.example please, the chart is blank.",
-    "free_mail": "Reply to ana@GMAIL.com please, the chart is blank.",
-    "scale": "About 120 analysts cannot see the chart in our workspace.",
-    "plan": "On the starter plan I see half of it.",
-    "reference": "Ticket #90210 is still open.",
-    "accented": "émfa is a word here",
-    "help": "  help  \nsecond line",
-    "counsel": "We went through counseling last year.",
+    "kiln": "The kiln cooled at Sunday noon - Mara Voss, Kiln House",
+    "barcode": "The barcode reader is broken since the move.",
+    "map_label": "Minor: a label on the floor map is broken.",
+    "kiosk": "The kiosk crashes and the exhibition opens soon, we need it by friday.",
+    "booking": "The booking page is down.",
+    "twice": "users see every order twice at checkout",
+    "refund": "The refund for invoice #8841 went to the wrong card.",
+    "workshop": "El pago del taller sale mal. — Inés Ferrer, Casa Lumbre",
+    "loom": "It stops after a minute. - Otto Brandt, Linden Weavers",
+    "lamp": "The lamp blinks — it does so each time.",
+    "plan": "On the starter plan the map is grey.",
+    "more_plan": "How much are twelve more people under the current plan?",
+    "badge": "The badge of last year's gardener was never revoked.",
+    "night_desk": "Somebody has the credentials of the night desk and reads the visitor book right now.",
+    "allergies": "Guest allergies were leaked to the newsletter.",
+    "till": "The tablet at the till lists another company's invoices.",
+    "lawsuit": "The landlord announced a lawsuit over the hall.",
+    "careers": "Career counseling fills up in May.",
+    "founder": "The founder visits in spring, no rush with the banner.",
+    "casino": "Bitcoin casino for museums, GDPR approved, click here.",
+    "hours": "Where is the list of opening hours kept?",
+    "parcel": "A parcel from Ourproduct never came",
+    "work_mail": "Write to desk@linden.example please, the poster is blank.",
+    "free_mail": "Write to desk@GMAIL.com please, the poster is blank.",
+    "lockers": "Some 75 employees stand before locked doors.",
+    "waiting": "Ticket #70311 waits since spring.",
+    "inside": "ïxss stands in the guest book",
+    "two_lines": "  hello  \nsecond line",
 }
 
 
@@ -52,25 +53,25 @@ def got(spark):
 @pytest.mark.parametrize(
     ("name", "category", "urgency", "escalate"),
     [
-        ("legal", "legal_contract", "high", True),
-        ("active", "security", "critical", True),
-        ("stale", "security", "high", True),
-        ("exposed", "security", "critical", True),
-        ("another", "security", "critical", True),
-        ("renewal", "billing", "medium", False),
-        ("password", "bug", "medium", False),
-        ("permissions", "other", "medium", False),
-        ("thanks", "other", "low", True),
-        ("spam", "spam", "low", False),
-        ("billing", "billing", "medium", False),
-        ("deadline", "bug", "high", False),
-        ("minor", "bug", "low", False),
-        ("outage", "bug", "critical", False),
-        ("widespread", "bug", "critical", False),
-        ("spanish", "billing", "medium", False),
-        ("accented", "other", "medium", False),
-        ("help", "other", "medium", False),
-        ("counsel", "legal_contract", "high", True),
+        ("barcode", "bug", "medium", False),
+        ("map_label", "bug", "low", False),
+        ("kiosk", "bug", "high", False),
+        ("booking", "bug", "critical", False),
+        ("twice", "bug", "critical", False),
+        ("refund", "billing", "medium", False),
+        ("workshop", "billing", "medium", False),
+        ("more_plan", "billing", "medium", False),
+        ("badge", "security", "high", True),
+        ("night_desk", "security", "critical", True),
+        ("allergies", "security", "critical", True),
+        ("till", "security", "critical", True),
+        ("lawsuit", "legal_contract", "high", True),
+        ("careers", "legal_contract", "high", True),
+        ("founder", "other", "low", True),
+        ("casino", "spam", "low", False),
+        ("hours", "other", "medium", False),
+        ("inside", "other", "medium", False),
+        ("two_lines", "other", "medium", False),
     ],
 )
 def test_decision(got, name, category, urgency, escalate):
@@ -81,16 +82,16 @@ def test_decision(got, name, category, urgency, escalate):
 @pytest.mark.parametrize(
     ("name", "customer", "contact", "guess", "confidence"),
     [
-        ("spanish", "Grupo Norte", "Lucía Robles", "Grupo Norte", 1.0),
-        ("english", "Vega Logistics", "Sam Porter", "Vega Logistics", 1.0),
-        ("dash", None, None, None, 0.0),
-        ("monday", "Vega Labs", "Eva Lund", "Vega Labs", 1.0),
-        ("own", None, None, None, 0.0),
-        ("work_mail", None, None, "someone at vega.example", 0.8),
+        ("workshop", "Casa Lumbre", "Inés Ferrer", "Casa Lumbre", 1.0),
+        ("loom", "Linden Weavers", "Otto Brandt", "Linden Weavers", 1.0),
+        ("lamp", None, None, None, 0.0),
+        ("kiln", "Kiln House", "Mara Voss", "Kiln House", 1.0),
+        ("parcel", None, None, None, 0.0),
+        ("work_mail", None, None, "someone at linden.example", 0.8),
         ("free_mail", None, None, "an individual user", 0.3),
-        ("scale", None, None, "an enterprise customer", 0.5),
+        ("lockers", None, None, "a customer with a sizeable team", 0.5),
         ("plan", None, None, "a customer on the starter plan", 0.45),
-        ("reference", None, None, "an existing customer (account reference present)", 0.3),
+        ("waiting", None, None, "an existing customer (account reference present)", 0.3),
     ],
 )
 def test_sender(got, name, customer, contact, guess, confidence):
@@ -100,7 +101,7 @@ def test_sender(got, name, customer, contact, guess, confidence):
 
 
 def test_spam_suppression_keeps_the_trail(got):
-    d = got["spam"]
+    d = got["casino"]
     assert d["extraction"]["category_confidence"] == 0.85
     assert [h["rule"] for h in d["rule_hits"]] == ["legal.compliance_request", "spam.suppress"]
     assert "spam.suppress" in d["overrides"][-1] and d["extraction"]["escalation_reasons"] == []
@@ -109,16 +110,16 @@ def test_spam_suppression_keeps_the_trail(got):
 
 
 def test_whole_decision_strings(got):
-    x = got["active"]["extraction"]
-    assert x["urgency_signals"] == ["terminated employee", "we can see activity"]
+    x = got["night_desk"]["extraction"]
+    assert x["urgency_signals"] == ["credentials", "right now"]
     assert x["urgency_reason"] == (
-        "No deadline, outage or 'no rush' words, so 'medium' to start. Then the security incident rule fired on 'terminated "
-        "employee', and 'we can see activity' says it is happening now. An incident in progress is critical."
+        "No deadline, outage or 'no rush' words, so 'medium' to start. Then the security incident rule fired on "
+        "'credentials', and 'right now' says it is happening now. An incident in progress is critical."
     )
-    assert got["active"]["rule_hits"][0]["effect"] == "escalate: false -> true; reason +security_incident; urgency medium -> critical"
-    assert got["active"]["queue"] == "security-incident-response"
+    assert got["night_desk"]["rule_hits"][0]["effect"] == "escalate: false -> true; reason +security_incident; urgency medium -> critical"
+    assert got["night_desk"]["queue"] == "security-incident-response"
     # The whole text is stripped, then cut: blanks at the end of a first line stay.
-    assert got["help"]["extraction"]["summary"] == "help  " and got["help"]["queue"] == "human-review"
+    assert got["two_lines"]["extraction"]["summary"] == "hello  " and got["two_lines"]["queue"] == "human-review"
 
 
 def lifted(before, after):
