@@ -340,3 +340,51 @@ def test_several_runs_from_one_reading(spark):
         assert mine == alone and len(alone) == 4
     plan = both.select("run", "queue")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ransomware") <= 2
+
+
+@pytest.mark.parametrize("batch", [5, 10000])
+def test_calls_go_on_behind_a_slow_one(spark, batch):
+    """One call takes as long as all others together: the two others in flight answer everything meanwhile, whatever the batches."""
+    answer = extraction()
+
+    def make():
+        import time
+
+        def classify(text):
+            time.sleep(1.5 if text == "t0" else 0.05)
+            return answer, {"input_tokens": 1}
+
+        return classify
+
+    t = spark.range(0, 60, 1, 1).select(F.concat(F.lit("k"), F.col("id")).alias("ticket_key"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        started = datetime.now()
+        got = classify_with(t, make, in_flight=3).collect()
+        took = (datetime.now() - started).total_seconds()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    assert [r["ticket_key"] for r in got] == [f"k{i}" for i in range(60)]
+    assert got[0]["latency_ms"] >= 1400 and took < 12
+
+
+def test_equal_texts_are_asked_once_a_task(spark):
+    answer = extraction()
+
+    def make():
+        asked = []
+
+        def classify(text):
+            if text == "bad":
+                raise RuntimeError("no")
+            asked.append(text)
+            return answer, {"input_tokens": len(asked)}
+
+        return classify
+
+    t = spark.createDataFrame([(str(i), ["same", "bad", "other"][i % 3]) for i in range(30)], "ticket_key string, text string").coalesce(1)
+    got = classify_with(t, make, in_flight=2, ask_once=True).collect()
+    assert [r["ticket_key"] for r in got] == [str(i) for i in range(30)]
+    paid = [r for r in got if r["usage"] is not None]
+    assert len(paid) == 2 and {r["usage"]["input_tokens"] for r in paid} == {1, 2}
+    assert all(r["extraction"] is not None for r in got if r["error"] is None) and sum(r["error"] is not None for r in got) == 10
