@@ -24,15 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from triagegrid.llm import textbytes as tb
-from triagegrid.llm.tables import components, stash
+from triagegrid.llm.tables import components, free_name, stash
 
 SKETCH_BITS = 18
 #: Numbers of shared tokens that a document may ask for.
 MATCHES = (1, 2, 4, 8, 16)
 #: Cost of a verification, in units of one posting read.
 VERIFY_COST = 8.0
-#: Classes that are sent to the texts at once: 32 MB.
-SENT_CLASSES = 4_000_000
 #: Pivots that each class meets first.
 FIRST_PIVOTS = 3
 #: A common token's postings are dealt to parts of about so many rows.
@@ -57,16 +55,18 @@ def _class_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, class): equal sets share a class; class is null for an empty set."""
+    """(doc_id, mark, n_shingles, class): equal sets share a class; class is null for an empty set; ``mark``: a hash of the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches):
         for batch in tb.slices(batches, "text"):
             _, hashes, at = _sets(batch, k)
             n = np.diff(at)
             names = pa.array(_class_of(hashes, at).view(np.int64), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), names], ["doc_id", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(n), names], ["doc_id", "mark", "n_shingles", "class"])
 
-    return docs.select("doc_id", "text").mapInArrow(measure, "doc_id long, n_shingles long, class long")
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    return held.mapInArrow(measure, f"doc_id {kind}, mark long, n_shingles long, class long")
 
 
 def shingle_sketch(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -181,29 +181,26 @@ def _enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
     return shared * 100 >= (n + m - shared) * percent
 
 
-def _set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(class, tokens): the sorted hashes, as bytes, of every wanted class.
+def _set_table(docs: DataFrame, base: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(class, tokens): the sorted hashes, as bytes, of every wanted class, from one document of it.
 
-    Up to ``SENT_CLASSES`` wanted classes (64-bit numbers) are sent to the texts; more meet them in a shuffle of (class, tokens).
+    ``base``: (doc_id, mark, class) of every document.  The chosen ids meet the texts, so that no other text is read again.
     """
-    few = wanted.count() <= SENT_CLASSES
-    names = np.sort(wanted.toArrow().column("class").to_numpy()) if few else None
-    shared = docs.sparkSession.sparkContext.broadcast(names)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    first = base.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(place).alias("first"))
+    first = stash(first.select(F.col("first.doc_id").alias("of"), F.col("first.mark").alias("of_mark")), "representatives")
 
     def pack(batches):
-        known = shared.value
         for batch in tb.slices(batches, "text"):
             _, hashes, at = _sets(batch, k)
             own = _class_of(hashes, at).view(np.int64)
-            pick = np.arange(batch.num_rows)
-            if known is not None:
-                place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                pick = np.flatnonzero((known[place] == own) if len(known) else np.zeros(len(own), bool))
-            packed = pa.array([hashes[at[i] : at[i + 1]].tobytes() for i in pick], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(own[pick]), packed], ["class", "tokens"])
+            packed = pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(own), packed], ["class", "tokens"])
 
-    found = docs.select("text").mapInArrow(pack, "class long, tokens binary")
-    return (found if few else found.join(wanted, "class", "left_semi")).dropDuplicates(["class"])
+    held = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("of_mark"))
+    # Rows that repeat an id and its text, or have no id, come more than once.
+    return held.join(first, same, "left_semi").select("text").mapInArrow(pack, "class long, tokens binary").dropDuplicates(["class"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -251,14 +248,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 
 def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, class) of every row, and (class, component, component_id) of every class; ``component``: the least class in it."""
+    """(doc_id, mark, n_shingles, class) of every row, and (class, component, component_id) of every class; ``component``: the least class in it."""
     docs = docs.select("doc_id", "text")
     base = stash(shingle_classes(docs, k), "classes")
     classes = base.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").cast("int").alias("n"))
     rows = prefix_tokens(docs, k, percent, shingle_sketch(docs, k, SKETCH_BITS))
     postings = stash(meeting_postings(rows), "meeting")
     postings = stash(adaptive_postings(postings, percent), "postings")
-    sets = stash(_set_table(docs, postings.select("class").distinct(), k), "sets")
+    sets = stash(_set_table(docs, base, postings.select("class").distinct(), k), "sets")
 
     # A token's pivot is the class that is met by most others, the most central of a group.  Each class first meets the
     # pivots that it has most tokens in common with.  These links only spare later ones, so pivots met in few tokens can wait.
@@ -320,20 +317,6 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     return base, named.join(least, "component").select("class", "component", "component_id")
 
 
-def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id.
-
-    Documents without words and rows without doc_id always stay.  A repeated doc_id goes only if none of its rows is first in
-    its group; rows that repeat both doc_id and text stay once.
-    """
-    groups = jaccard_components(docs, k, percent).where("doc_id is not null").groupBy("doc_id")
-    groups = groups.agg(F.count("*").alias("n"), F.min(F.col("doc_id") != F.col("component_id")).alias("gone"))
-    left = docs.join(groups.where("gone").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    many = groups.where("n > 1 and not gone").select("doc_id")
-    once = left.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(many, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
-
-
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Exactly one row of each group of near copies stays, whatever the ids: smallest doc_id, null last, then least hash of the text.
 
@@ -341,20 +324,20 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     names = docs.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    own, mark, of, of_mark, of_class, copies = (free_name(names, x) for x in ("__class", "__mark", "__of", "__of_mark", "__of_class", "__copies"))
 
     def tag(batches):
         for batch in tb.slices(batches, "text"):
             _, hashes, at = _sets(batch, k)
-            own = pa.array(_class_of(hashes, at).view(np.int64), mask=np.diff(at) == 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], [*names, "__class"])
-
-    tagged = docs.mapInArrow(tag, fields + ", __class long").withColumn("__mark", F.xxhash64("text"))
-    _, named = _grouped(docs, k, percent)
-    each = tagged.where("__class is not null").groupBy("__class", "doc_id", "__mark").agg(F.count("*").alias("n"))
-    each = each.join(named.select(F.col("class").alias("__class"), "component"), "__class")
-    first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__mark", "__class", "n")).alias("first"))
-    first = stash(first.select(F.col("first.doc_id").alias("__of"), F.col("first.__mark").alias("__first_mark"), F.col("first.__class").alias("__first_class"), F.col("first.n").alias("__n")), "first")
-    same = (F.col("__class") == F.col("__first_class")) & (F.col("__mark") == F.col("__first_mark")) & F.col("doc_id").eqNullSafe(F.col("__of"))
-    left = tagged.join(first.where("__n = 1"), same, "left_semi").unionByName(tagged.where("__class is null"))
-    once = tagged.join(first.where("__n > 1"), same, "left_semi").dropDuplicates(["__class", "doc_id", "__mark"])
+            found = pa.array(_class_of(hashes, at).view(np.int64), mask=np.diff(at) == 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*names, own])
+
+    tagged = docs.mapInArrow(tag, f"{fields}, `{own}` long").withColumn(mark, F.xxhash64("text"))
+    base, named = _grouped(docs, k, percent)
+    each = base.where("class is not null").groupBy("class", "doc_id", "mark").agg(F.count("*").alias("n")).join(named.select("class", "component"), "class")
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "class", "n")).alias("first"))
+    first = stash(first.select(F.col("first.doc_id").alias(of), F.col("first.mark").alias(of_mark), F.col("first.class").alias(of_class), F.col("first.n").alias(copies)), "first")
+    same = (F.col(own) == F.col(of_class)) & (F.col(mark) == F.col(of_mark)) & F.col("doc_id").eqNullSafe(F.col(of))
+    left = tagged.join(first.where(F.col(copies) == 1), same, "left_semi").unionByName(tagged.where(F.col(own).isNull()))
+    once = tagged.join(first.where(F.col(copies) > 1), same, "left_semi").dropDuplicates([own, "doc_id", mark])
     return left.unionByName(once).select(names)

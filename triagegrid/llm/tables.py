@@ -1,6 +1,8 @@
 """Shared small steps: tables in the shared folder, connected components, guarded columns."""
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, or a longer one that none of ``columns`` has: a helper column next to an input's own columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in ``edges`` (columns a, b); component is the smallest id that links reach.
 
