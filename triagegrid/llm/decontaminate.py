@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagegrid.llm import textbytes as tb
-from triagegrid.llm.tables import stash
+from triagegrid.llm.tables import free_name, stash
 
 #: Windows in a block: with shingles, words and ids some 200 MB at the driver and 100 MB broadcast.
 BLOCK_WINDOWS = 500_000
@@ -217,8 +217,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, block_win
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """The documents in which no window of an item occurs.  Rows without doc_id are judged by their text like all others."""
     # Equal ids are told apart by their text, so that a clean row does not go with a contaminated one.
-    held = docs.withColumn("__text", F.xxhash64("text"))
+    mark, of, of_mark = (free_name(docs.columns, x) for x in ("__mark", "__of", "__of_mark"))
+    held = docs.withColumn(mark, F.xxhash64("text"))
     keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text")).alias("doc_id"), "text")
-    gone = contamination(keyed, items, window).where("n_hit > 0").select("doc_id.doc_id", F.col("doc_id.text").alias("__text")).distinct()
-    same = held["doc_id"].eqNullSafe(gone["doc_id"]) & (held["__text"] == gone["__text"])
+    gone = contamination(keyed, items, window).where("n_hit > 0").select(F.col("doc_id.doc_id").alias(of), F.col("doc_id.text").alias(of_mark)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(mark) == F.col(of_mark))
     return held.join(gone, same, "left_anti").select(docs.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from triagegrid.llm import textbytes as tb
+from triagegrid.llm.tables import free_name
 
 WINDOW = 64
 HIDDEN = 8
@@ -182,7 +183,8 @@ def fit_language(docs: DataFrame, documents: int = DOCUMENTS, windows: int = WIN
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(take), pa.array([found[i].tobytes() for i in pick], pa.binary()), pa.array(lengths[pick])], ["lang", "window", "length"])
 
     rows = docs.where(spot < chance[F.col("lang")]).select("text", "lang").mapInArrow(sample, "lang string, window binary, length long")
-    rows = rows.limit(2 * documents * windows * len(languages)).toArrow()
+    # The bound holds for repeated rows too, whose hashes are equal; which rows it leaves out depends on their bytes only.
+    rows = rows.orderBy(F.xxhash64("window", "lang"), "window", "lang").limit(2 * documents * windows * len(languages)).toArrow()
     rows = rows.sort_by([("lang", "ascending"), ("window", "ascending")])
     labels = np.searchsorted(languages, np.array(rows.column("lang").to_pylist()))
     held = np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint8).reshape(-1, WINDOW)
@@ -205,7 +207,8 @@ def with_language(docs: DataFrame, network: Network | None) -> DataFrame:
     A null text or one without a letter is ``und`` with score 0, as are all texts without a network.  Equal probabilities go to
     the first language in order.  Columns of these names are replaced, others stay.  No rows: no rows.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "__letter")]
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    mark = free_name(names, "__letter")
     schema = docs.select(names).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
@@ -219,10 +222,10 @@ def with_language(docs: DataFrame, network: Network | None) -> DataFrame:
                 for i in range(0, len(windows), LANES):
                     np.add.at(total, row[i : i + LANES], network.byte_sums(windows[i : i + LANES], lengths[i : i + LANES]))
                 best = total.argmax(axis=1)
-                for i, letter in enumerate(batch.column(batch.schema.get_field_index("__letter")).to_pylist()):
+                for i, letter in enumerate(batch.column(batch.schema.get_field_index(mark)).to_pylist()):
                     if letter:
                         named[i], score[i] = network.languages[best[i]], min(1.0, total[i, best[i]] / total[i].sum())
             columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(named), pa.array(score)], [*names, "lang_pred", "score"])
 
-    return docs.select(*names, has_letter(F.col("text")).alias("__letter")).mapInArrow(label, fields + ", lang_pred string, score double")
+    return docs.select(*names, has_letter(F.col("text")).alias(mark)).mapInArrow(label, fields + ", lang_pred string, score double")

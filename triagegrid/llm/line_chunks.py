@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from triagegrid.llm import textbytes as tb
-from triagegrid.llm.tables import stash
+from triagegrid.llm.tables import free_name, stash
 
 SPREAD = 3
 LEAST_LINES = 2
@@ -113,9 +113,11 @@ def line_dedup(docs: DataFrame, spread: int = SPREAD, least_lines: int = LEAST_L
     has no lines; an empty text has one.  Rows equal in doc_id and text are one place: what they repeat among
     themselves stays.  A null doc_id comes after all others.  Columns named like the added ones are replaced.  No rows: no rows.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks", "__key", "gone")]
-    docs = docs.select(*names, F.xxhash64("doc_id", "text").alias("__key"))
-    gone = removed_chunks(docs, spread, least_lines)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
+    key, mark = free_name(names, "__key"), free_name(names, "__gone")
+    place = F.xxhash64("doc_id", "text")
+    gone = removed_chunks(docs.select("doc_id", "text", place.alias("__key")), spread, least_lines).toDF(key, mark)
+    docs = docs.select(*names, place.alias(key))
     schema = docs.select(*names).schema
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
@@ -124,7 +126,7 @@ def line_dedup(docs: DataFrame, spread: int = SPREAD, least_lines: int = LEAST_L
             column = lambda name: batch.column(batch.schema.get_field_index(name))
             texts, lines, out_lines, out_chunks = [], [], [], []
             valid = column("text").is_valid().to_pylist()
-            for text, have, gone in zip(_texts(batch), valid, column("gone").to_pylist()):
+            for text, have, gone in zip(_texts(batch), valid, column(mark).to_pylist()):
                 lines.append(text.count(b"\n") + 1 if have else 0)
                 hit = {(x["chunk"], x["hash"]) for x in gone or ()}
                 kept, removed, chunks = [], 0, 0
@@ -142,7 +144,7 @@ def line_dedup(docs: DataFrame, spread: int = SPREAD, least_lines: int = LEAST_L
             columns = [made.get(c, column(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(out_lines, pa.int64()), pa.array(out_chunks, pa.int64())], [*names, "n_lines", "n_removed_lines", "n_removed_chunks"])
 
-    held = docs.join(gone, "__key", "left")
+    held = docs.join(gone, key, "left")
     return held.mapInArrow(cut, fields + ", n_lines long, n_removed_lines long, n_removed_chunks long")
 
 
@@ -293,9 +295,11 @@ def passage_dedup(docs: DataFrame, spread: int = SPREAD, least_words: int = LEAS
     sentences does not matter.  A passage that begins or ends inside a sentence keeps that part of it.  Of every removed unit an equal one stays.
     n_removed_passages counts maximal removed runs.  Nulls, empty texts, equal rows and columns: as in ``line_dedup``.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_bytes", "n_removed_passages", "__key", "gone")]
-    docs = docs.select(*names, F.xxhash64("doc_id", "text").alias("__key"))
-    gone = repeated_pieces(docs, spread, least_words)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_bytes", "n_removed_passages")]
+    key, mark = free_name(names, "__key"), free_name(names, "__gone")
+    place = F.xxhash64("doc_id", "text")
+    gone = repeated_pieces(docs.select("doc_id", "text", place.alias("__key")), spread, least_words).toDF(key, mark)
+    docs = docs.select(*names, place.alias(key))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def cut(batches):
@@ -304,10 +308,10 @@ def passage_dedup(docs: DataFrame, spread: int = SPREAD, least_words: int = LEAS
             texts, lines, out_bytes, out_runs = [], [], [], []
             valid = column("text").is_valid().to_pylist()
             spans: list[list[tuple[int, int]]] = [[] for _ in valid]
-            hit = np.flatnonzero(column("gone").is_valid().to_numpy(zero_copy_only=False))
+            hit = np.flatnonzero(column(mark).is_valid().to_numpy(zero_copy_only=False))
             chosen = batch.take(pa.array(hit))
             row, place, one, *_ = _pieces(*tb.column_bytes(chosen.column(chosen.schema.get_field_index("text"))), spread, least_words)
-            keep = np.isin(_named(row, place, one), _listed(chosen.column(chosen.schema.get_field_index("gone")), "place", "hash"))
+            keep = np.isin(_named(row, place, one), _listed(chosen.column(chosen.schema.get_field_index(mark)), "place", "hash"))
             for i, p in zip(hit[row[keep]].tolist(), place[keep].tolist()):
                 spans[i].append((p >> 31, p & (1 << 31) - 1))
             for text, have, own in zip(_texts(batch), valid, spans):
@@ -320,5 +324,5 @@ def passage_dedup(docs: DataFrame, spread: int = SPREAD, least_words: int = LEAS
             columns = [made.get(c, column(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int64()) for x in (lines, out_bytes, out_runs)]], [*names, "n_lines", "n_removed_bytes", "n_removed_passages"])
 
-    held = docs.join(gone, "__key", "left")
+    held = docs.join(gone, key, "left")
     return held.mapInArrow(cut, fields + ", n_lines long, n_removed_bytes long, n_removed_passages long")
