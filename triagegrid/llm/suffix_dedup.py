@@ -21,6 +21,8 @@ ANCHOR = 32
 SHARD_BYTES = 2 << 20
 #: Distinct segments of an anchor from which they are spread over shards, and as many to a shard.
 SPREAD_FROM = 2000
+#: Bytes of a text that are anchored at once, and bits for a place among them.
+STRETCH_BYTES = 1 << 20
 PLACE_BITS = 28
 
 
@@ -46,27 +48,28 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
         for batch in tb.slices(batches, "text"):
             data, offsets = tb.column_bytes(batch.column(batch.schema.get_field_index("text")))
             keys = batch.column(batch.schema.get_field_index("key"))
-            if len(data) < length:
-                continue
-            prefix = tb.prefix_hash(data)
-            anchor = _anchors(data, prefix, length)
-            starts = np.arange(len(anchor))
-            row = np.searchsorted(offsets, starts, side="right") - 1
-            fits = starts + length <= offsets[row + 1]
-            starts, row, anchor = starts[fits], row[fits], anchor[fits]
-            if not len(starts):
-                continue
-            edge = np.ones(len(starts), bool)
-            edge[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
-            first = np.flatnonzero(edge)
-            n = np.diff(np.append(first, len(starts)))
-            begin, where = starts[first], anchor[first]
-            yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(row[first])), pa.array((begin - offsets[row[first]]).astype(np.int32)), pa.array(n.astype(np.int32)),
-                 pa.array(tb.span_hash(prefix, where, where + ANCHOR).view(np.int64)),
-                 pa.array(tb.span_hash(prefix, begin, begin + n + length - 1).view(np.int64))],
-                ["key", "at", "n", "anchor", "segment"],
-            )
+            # A long text goes in stretches that overlap by all but one byte of a window: each window lies whole in one of them.
+            for low in range(0, max(0, len(data) - length + 1), STRETCH_BYTES):
+                part = data[low : low + STRETCH_BYTES + length - 1]
+                prefix = tb.prefix_hash(part)
+                anchor = _anchors(part, prefix, length)
+                starts = np.arange(len(anchor))
+                row = np.searchsorted(offsets, starts + low, side="right") - 1
+                fits = starts + low + length <= offsets[row + 1]
+                starts, row, anchor = starts[fits], row[fits], anchor[fits]
+                if not len(starts):
+                    continue
+                edge = np.ones(len(starts), bool)
+                edge[1:] = (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])
+                first = np.flatnonzero(edge)
+                n = np.diff(np.append(first, len(starts)))
+                begin, where = starts[first], anchor[first]
+                yield pa.RecordBatch.from_arrays(
+                    [keys.take(pa.array(row[first])), pa.array((begin + low - offsets[row[first]]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                     pa.array(tb.span_hash(prefix, where, where + ANCHOR).view(np.int64)),
+                     pa.array(tb.span_hash(prefix, begin, begin + n + length - 1).view(np.int64))],
+                    ["key", "at", "n", "anchor", "segment"],
+                )
 
     return docs.select("key", "text").mapInArrow(cut, "key long, at int, n int, anchor long, segment long")
 
@@ -191,48 +194,80 @@ def spans_of(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), starts[np.concatenate([cut, [len(starts) - 1]])].tolist()))
 
 
+#: What a shard tells: ranges (first, last) of repeated starts; or, of an anchor that is spread over shards, the names of a segment's
+#: windows with their starts; or such names once more, sorted, for the bucket in which the shards of the anchor meet.
+TOLD = "anchor long, segment long, n int, first int, last int, shard long, bucket long, starts binary, names binary"
+
+
+def _window_names(text: bytes, anchor: int, n: int, length: int) -> np.ndarray:
+    at = np.arange(n)
+    windows = tb.span_hash(tb.prefix_hash(np.frombuffer(text, np.uint8)), at, at + length)
+    return tb.mixed(np.array([anchor], np.int64).view(np.uint64)) ^ tb.mixed(windows + tb.STEP)
+
+
 def _shard(length: int):
-    """The work of a shard: rows (first, last) of repeated starts, and the windows that it offers to other shards of an anchor."""
-    kinds = {"anchor": pa.int64(), "segment": pa.int64(), "n": pa.int32(), "first": pa.int32(), "last": pa.int32(), "shard": pa.int64(), "window": pa.int64()}
+    """The work of a shard: see ``TOLD``."""
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    columns = [field.split()[0] for field in TOLD.split(", ")]
 
     def work(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         once = {x: i for i, x in enumerate(zip(*(rows.column(c).to_pylist() for c in ("anchor", "segment", "n"))))}
         rows = rows.take(pa.array(list(once.values()), pa.int64()))
         anchor, segment, n = (rows.column(c).to_pylist() for c in ("anchor", "segment", "n"))
-        texts = rows.column("bytes").to_pylist()
-        many, spread, shard = rows.column("many").to_pylist(), rows.column("spread").to_pylist(), rows.column("shard").to_pylist()
-        found, groups = repeated_starts(texts, n, many, length)
-        out = []
-        offered: set[tuple[int, int]] = set()
-        for i in range(len(texts)):
-            out += [(anchor[i], segment[i], n[i], a, b, None, None) for a, b in spans_of(found[i])]
-            if spread[i]:
-                data = np.frombuffer(texts[i], np.uint8)
-                at = np.arange(n[i])
-                names = tb.span_hash(tb.prefix_hash(data), at, at + length).view(np.int64).tolist()
-                for a in range(n[i]):
-                    if (anchor[i], int(groups[i][a])) not in offered:
-                        offered.add((anchor[i], int(groups[i][a])))
-                        out.append((anchor[i], segment[i], n[i], a, a, shard[i], names[a]))
-        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds.values())], names=list(kinds))
+        texts, parts, shard = rows.column("bytes").to_pylist(), rows.column("parts").to_pylist(), rows.column("shard").to_pylist()
+        found, groups = repeated_starts(texts, n, rows.column("many").to_pylist(), length)
+        out = [(anchor[i], segment[i], n[i], a, b, None, None, None, None) for i in range(len(texts)) for a, b in spans_of(found[i])]
+        wide = [i for i in range(len(texts)) if parts[i] > 1]
+        # Of equal windows inside the shard, which are settled, one is offered to the others.
+        _, first = np.unique(np.concatenate([groups[i] for i in wide]) if wide else np.zeros(0, np.int64), return_index=True)
+        first = np.sort(first)
+        ends = np.cumsum([n[i] for i in wide])
+        by_bucket: dict[int, list[np.ndarray]] = {}
+        for i, end in zip(wide, ends):
+            starts = first[np.searchsorted(first, end - n[i]) : np.searchsorted(first, end)] - (end - n[i])
+            if not len(starts):
+                continue
+            names = _window_names(texts[i], anchor[i], n[i], length)[starts]
+            out.append((anchor[i], segment[i], n[i], None, None, shard[i], None, starts.astype(np.int32).tobytes(), names.tobytes()))
+            bucket = tb.mixed(np.array([anchor[i]], np.int64).view(np.uint64) + names % np.uint64(parts[i]))
+            for x in np.unique(bucket):
+                by_bucket.setdefault(int(x.view(np.int64)), []).append(names[bucket == x])
+        for x, names in by_bucket.items():
+            out.append((None, None, None, None, None, shard[0], x, None, np.sort(np.concatenate(names)).tobytes()))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=columns)
 
     return work
 
 
+def _names_of(blobs: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in blobs]
+
+
+def _held_in(names: np.ndarray, sorted_names: np.ndarray) -> np.ndarray:
+    """Which names a binary search finds."""
+    if not len(sorted_names):
+        return np.zeros(len(names), bool)
+    return sorted_names[np.minimum(np.searchsorted(sorted_names, names), len(sorted_names) - 1)] == names
+
+
 def _merge(rows: pa.Table) -> pa.Table:
-    """Windows, offered by several shards, that another shard offers too: each shard's sorted run is searched in the others'."""
-    rows = rows.combine_chunks()
-    window, shard = rows.column("window").to_numpy(), rows.column("shard").to_numpy()
-    anchor = rows.column("anchor").to_numpy()
-    names = tb.mixed(anchor.view(np.uint64)) ^ tb.mixed(window.view(np.uint64) + tb.STEP)
-    runs = {s: np.unique(names[shard == s]) for s in np.unique(shard)}
-    seen = np.zeros(len(rows), np.int64)
-    for run in runs.values():
-        place = np.minimum(np.searchsorted(run, names), len(run) - 1)
-        seen += run[place] == names
-    keep = pa.array(seen > 1)
-    return rows.filter(keep).select(["anchor", "window"])
+    """(shard, names): of the sorted names of each shard those that another shard holds too."""
+    runs = _names_of(rows.column("names"))
+    whole = np.sort(np.concatenate(runs))
+    met = np.unique(whole[1:][whole[1:] == whole[:-1]])
+    return pa.table([rows.column("shard"), pa.array([run[_held_in(run, met)].tobytes() for run in runs], pa.binary())], names=["shard", "names"])
+
+
+def _settled(offers: pa.Table, met: pa.Table) -> pa.Table:
+    """(anchor, segment, n, first, last) of the offered starts whose names other shards hold."""
+    known = np.sort(np.concatenate([np.zeros(0, np.uint64), *_names_of(met.column("names"))]))
+    spans = []
+    for i, (names, starts) in enumerate(zip(_names_of(offers.column("names")), offers.column("starts"))):
+        starts = np.frombuffer(starts.as_buffer(), np.int32)
+        spans += [(i, a, b) for a, b in spans_of(starts[_held_in(names, known)])]
+    taken = offers.select(["anchor", "segment", "n"]).take(pa.array([x[0] for x in spans], pa.int64()))
+    return taken.append_column("first", pa.array([x[1] for x in spans], pa.int32())).append_column("last", pa.array([x[2] for x in spans], pa.int32()))
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
@@ -245,17 +280,16 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     total = chosen.agg(F.sum(F.col("n") + length)).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     parts = F.ceil(F.col("kinds") / SPREAD_FROM)
-    spread = F.col("kinds") > SPREAD_FROM
-    part = F.when(spread, F.pmod(F.xxhash64("segment"), parts)).otherwise(F.lit(0))
+    part = F.pmod(F.xxhash64("segment"), parts)
     chosen = chosen.select(
-        F.col("place.key").alias("of"), F.struct(F.col("place.at").alias("at"), "n", "anchor", "segment", (F.col("copies") > 1).alias("many"), spread.alias("spread"),
+        F.col("place.key").alias("of"), F.struct(F.col("place.at").alias("at"), "n", "anchor", "segment", (F.col("copies") > 1).alias("many"), parts.alias("parts"),
         F.pmod(F.xxhash64("anchor", part), F.lit(shards)).alias("shard")).alias("s"),
     )
     lists = chosen.groupBy("of").agg(F.collect_list("s").alias("list"))
 
     def fetch(batches):
-        names = ["at", "n", "anchor", "segment", "many", "spread", "shard"]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
+        names = ["at", "n", "anchor", "segment", "many", "parts", "shard"]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         last = None
         for batch in tb.slices(batches, "text"):
             data, offsets = tb.column_bytes(batch.column(batch.schema.get_field_index("text")))
@@ -274,16 +308,14 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in rows], t) for c, t in zip(names, kinds)], pa.array(parts, pa.binary())], [*names, "bytes"])
 
     held = docs.join(lists, docs["key"] == lists["of"])
-    fetched = held.mapInArrow(fetch, "at int, n int, anchor long, segment long, many boolean, spread boolean, shard long, bytes binary").drop("at")
-    marks = fetched.groupBy("shard").applyInArrow(_shard(length), "anchor long, segment long, n int, first int, last int, shard long, window long")
-    marks = stash(marks, "marks")
+    fetched = held.mapInArrow(fetch, "at int, n int, anchor long, segment long, many boolean, parts long, shard long, bytes binary").drop("at")
+    told = stash(fetched.groupBy("shard").applyInArrow(_shard(length), TOLD), "told")
     # A shard settles what repeats inside it; what it holds once is sure to be repeated if another shard offers it too.
-    offers = marks.where("window is not null")
-    bucket = F.pmod(F.xxhash64("anchor", "window"), F.lit(shards))
-    met = offers.select("anchor", "window", "shard").groupBy(bucket.alias("bucket")).applyInArrow(_merge, "anchor long, window long").distinct()
-    across = offers.join(met, ["anchor", "window"], "left_semi")
-    columns = ["anchor", "segment", "n", "first", "last"]
-    found = marks.where("window is null").select(columns).union(across.select(columns))
+    met = told.where("bucket is not null").select("bucket", "shard", "names").groupBy("bucket").applyInArrow(_merge, "shard long, names binary")
+    offers = told.where("starts is not null").select("shard", "anchor", "segment", "n", "starts", "names")
+    columns = "anchor long, segment long, n int, first int, last int"
+    across = offers.groupBy("shard").cogroup(met.groupBy("shard")).applyInArrow(_settled, columns)
+    found = told.where("first is not null").select("anchor", "segment", "n", "first", "last").union(across)
     where = each.join(found, ["anchor", "segment", "n"])
     span = F.struct((F.col("at") + F.col("first")).alias("from"), (F.col("at") + F.col("last")).alias("to"))
     return where.groupBy("key").agg(F.collect_set(span).alias("spans"))
