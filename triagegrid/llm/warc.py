@@ -17,44 +17,74 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from triagegrid.llm.tables import stash
+
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE_MAGIC = 0x184D2A50
 FRAME_MAGIC = 0xFD2FB528
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-#: The dictionary's size, and the bounds of the sample that it is built from.
-DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_CHARS = 65536, 400, 8192
+#: The dictionary's size; records that it is built from, stretches of a record and their bytes.
+DICTIONARY_BYTES, SAMPLE_RECORDS, STRETCHES, STRETCH_BYTES = 65536, 800, 3, 4096
+#: Parts that the pages of one payload are dealt to.
+PARTS = 16
 LEAST_SHARED = 100
 DATE = "2000-01-01T00:00:00Z"
 
 
-def build_dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from a bounded sample of pages, about ``SAMPLE_RECORDS`` chosen by their hash; empty if there is nothing to learn from."""
-    rows = pages.where("html <> ''")
-    share = SAMPLE_RECORDS / max(1, rows.count())
-    spot = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(1 << 30)) / (1 << 30)
-    chosen = rows.where(spot < share).select(F.substring("html", 1, SAMPLE_CHARS).alias("html")).limit(2 * SAMPLE_RECORDS).collect()
-    samples = sorted(r["html"].encode() for r in chosen)
+def repeated_payloads(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
+    """(digest, first): the smallest page_id of every payload of at least ``least`` bytes that several rows have."""
+    rows = pages.select("page_id", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")).where(F.length("payload") >= least)
+    each = rows.select("page_id", F.sha2("payload", 256).alias("digest"))
+    return each.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+
+
+def with_record_types(pages: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(page_id, url, payload, digest, refers_to): refers_to names the page that a revisit repeats, else it is null.  ``repeated``: see ``repeated_payloads``."""
+    rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
+    # The rows of a payload that repeats very often are dealt to parts; what names its first page is small and goes to all of them.
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)))
+    parts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(PARTS)])).alias("part")
+    rows = rows.join(repeated.select("digest", "first", parts), ["digest", "part"], "left")
+    repeats = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    return rows.select("page_id", "url", "payload", "digest", F.when(repeats, F.col("first")).alias("refers_to"))
+
+
+def stretches_of(record: bytes, stretches: int = STRETCHES, size: int = STRETCH_BYTES) -> list[bytes]:
+    """The whole record if it is short, else its head, its end and stretches between them at even distances."""
+    if len(record) <= stretches * size:
+        return [record]
+    room = len(record) - size
+    return [record[at : at + size] for at in (room * i // max(1, stretches - 1) for i in range(stretches))]
+
+
+def build_dictionary(pages: DataFrame, repeated: DataFrame, size: int = DICTIONARY_BYTES, records: int = SAMPLE_RECORDS, stretches: int = STRETCHES, stretch_bytes: int = STRETCH_BYTES) -> bytes:
+    """A dictionary from stretches of the records that are archived for ``pages``; empty if there are none.
+
+    A bounded sample: at most ``records`` records, those whose pages have the least hashes, and of each at most ``stretches`` stretches of ``stretch_bytes`` bytes, from
+    its head to its end.  Records are made, and cut, on the executors.
+    """
+    spot = F.xxhash64("page_id", "url", "html")
+    share = min(1.0, 2 * records / max(1, pages.count()))
+    some = pages.where(F.pmod(spot, F.lit(1 << 30)) <= share * (1 << 30)).select("page_id", "url", "html").distinct()
+    some = some.orderBy(F.pmod(spot, F.lit(1 << 30)), "page_id", "url").limit(records)
+
+    def cut(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for row in zip(*[batch.column(c) for c in range(5)]):
+                yield pa.RecordBatch.from_arrays([pa.array(stretches_of(warc_record(*[x.as_py() for x in row]), stretches, stretch_bytes), pa.binary())], ["stretch"])
+
+    samples = sorted(bytes(r["stretch"]) for r in with_record_types(some, repeated).mapInArrow(cut, "stretch binary").collect())
     if not samples:
         return b""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
-        # Too few or too short for training: the newest bytes themselves are the dictionary.
+        # Too few or too short for training: the samples themselves are the dictionary.
         return b"".join(samples)[-size:]
 
 
-def with_record_types(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): refers_to names the page that a revisit repeats, else it is null."""
-    rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = rows.join(first, "digest", "left")
-    repeats = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return rows.select("page_id", "url", "payload", "digest", F.when(repeats, F.col("first")).alias("refers_to"))
-
-
 def _record_id(page_id, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {digest}')}>"
 
@@ -83,7 +113,8 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_SHARED, level
     are all responses.  A null html is an empty payload; a null page_id is never the one revisited while there is another; a null url is left out.  Other columns are ignored.  No rows:
     no archive.
     """
-    dictionary = build_dictionary(pages)
+    repeated = stash(repeated_payloads(pages, least), "repeated")
+    dictionary = build_dictionary(pages, repeated)
 
     def compress(batches: Iterator[pa.RecordBatch]):
         packer = zstandard.ZstdCompressor(level=level, write_checksum=True, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
@@ -100,7 +131,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_SHARED, level
                     frames, ready = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
 
-    rows = with_record_types(pages, least).mapInArrow(compress, "value binary")
+    rows = with_record_types(pages, repeated).mapInArrow(compress, "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
