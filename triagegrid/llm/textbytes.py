@@ -9,7 +9,8 @@ import pyarrow as pa
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 STEP = np.uint64(0xD6E8FEB86659FD93)
-SLICE_BYTES = 2 << 20
+#: Text of a slice: arrays of 8 bytes for each byte of it, a dozen at a time, stay within some 50 MB.
+SLICE_BYTES = 512 << 10
 
 #: Bytes of a word: everything but space and 0x09-0x0D.
 NOT_SPACE = np.ones(256, bool)
@@ -54,7 +55,10 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds at most ``limit`` bytes of text, or one row: memory stays bounded."""
+    """The batches cut so that each holds at most ``limit`` bytes of text, or one row.
+
+    So memory is some hundred times ``limit``, or the longest text if that is longer.
+    """
     for batch in batches:
         _, offsets = column_bytes(batch.column(batch.schema.get_field_index(text)))
         start = 0
@@ -63,6 +67,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+        pa.default_memory_pool().release_unused()
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
