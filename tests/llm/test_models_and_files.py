@@ -96,6 +96,17 @@ def test_archives_are_plain_frames_behind_a_dictionary(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "w").glob("part-*")) < 0.6 * plain
 
 
+def test_a_dictionary_knows_record_heads_and_ends(spark):
+    rng = np.random.default_rng(1)
+    noise = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    end = noise(300)
+    pages = spark.createDataFrame([(i, f"http://host.example/{i}", noise(30000) + end) for i in range(60)], "page_id long, url string, html string")
+    made = warc.build_dictionary(pages, warc.repeated_payloads(pages), size=8192, records=40, stretches=3, stretch_bytes=1000)
+    assert 0 < len(made) <= 8192 and b"WARC-Payload-Digest: sha256:" in made and end[50:150].encode() in made
+    assert made == warc.build_dictionary(pages.repartition(5), warc.repeated_payloads(pages), size=8192, records=40, stretches=3, stretch_bytes=1000)
+    assert [len(x) for x in warc.stretches_of(bytes(9000), 3, 1000)] == [1000] * 3 and warc.stretches_of(b"short", 3, 1000) == [b"short"]
+
+
 def test_no_pages_make_no_record(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 0

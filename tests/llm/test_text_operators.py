@@ -63,8 +63,6 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     assert len(got) == len(held)
     assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(3, 3), (5, 3), (5, 3), (9, 9)]
     assert {r.component_id for r in got if r.doc_id is None} == {3, None}
-    kept = jaccard.keep_first(spark.createDataFrame(held, "doc_id long, text string"), 4, 85).collect()
-    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, ""), (-1, "a b c d e f g"), (-1, "q r s t u"), (3, "A b  c d e f g"), (9, "")]
 
 
 def test_one_row_of_each_group_stays_whatever_the_ids(spark):
@@ -77,6 +75,21 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     assert got == [(0, ""), (0, "q r s t u"), (3, near), (5, "m n o p q"), (7, ""), (7, " ")]
 
 
+def test_ids_may_be_strings_and_columns_may_have_inner_names(spark):
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    held = [("x", near, 1, 2, 3), ("y", near + " u", 4, 5, 6), ("z", "own words of z", 7, 8, 9), (None, None, None, None, None)]
+    docs = spark.createDataFrame(held, "doc_id string, text string, __class int, __mark int, __of int")
+    got = jaccard.jaccard_components(docs, 4, 80).collect()
+    assert sorted((r.doc_id or "", r.component_id or "") for r in got) == [("", ""), ("x", "x"), ("y", "x"), ("z", "z")]
+    kept = jaccard.keep_one(docs, 4, 80)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([held[0], held[2], held[3]], key=str)
+    items = spark.createDataFrame([(1, "own words of z")], "item_id long, text string")
+    left = decontaminate.without_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([held[0], held[1], held[3]], key=str)
+
+
 def test_common_tokens_are_dealt_to_parts(docs, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "SALT_ROWS", 1)
     monkeypatch.setattr(jaccard, "SKETCH_BITS", 6)
@@ -154,6 +167,12 @@ def test_suffix_dedup_of_repeats_inside_and_across(spark, nothing):
     assert suffix_dedup.suffix_dedup(nothing).count() == 0
 
 
+def test_suffix_dedup_of_long_texts_goes_in_stretches(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STRETCH_BYTES", 700)
+    found = suffix_dedup.suffix_dedup(docs, 100).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted(tuple(r) for r in found.collect()) == sorted(brute.repeated_bytes([r[:2] for r in rows], 100))
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(1)
     for n in (1, 2, 9, 60, 700):
@@ -202,7 +221,8 @@ def test_line_dedup_keeps_rows_columns_and_first_places(spark, nothing):
     body = "\n".join(f"line {i} of a passage that repeats" for i in range(12))
     held = [(2, body, 1, "x"), (1, "top\n" + body, 2, "y"), (1, "top\n" + body, 2, "y"), (None, body, 3, "z"), (4, None, 4, "w")]
     found = line_chunks.line_dedup(spark.createDataFrame(held, "doc_id long, text string, n_lines int, gone string"))
-    assert found.columns == ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks"]
+    assert found.columns == ["doc_id", "text", "gone", "n_lines", "n_removed_lines", "n_removed_chunks"]
+    assert sorted(r.gone for r in found.collect()) == ["w", "x", "y", "y", "z"]
     got = sorted((r.doc_id or 0, r.n_lines, r.n_removed_lines) for r in found.collect())
     assert [g[0] for g in got] == [0, 1, 1, 2, 4]
     assert got[1] == got[2] == (1, 13, 0) and got[0][2] > 5 and got[3][2] > 5
@@ -266,7 +286,7 @@ def test_passages_inside_a_text_nulls_and_equal_rows(spark, nothing):
     body = " ".join(f"word{i}" for i in range(30))
     held = [(2, "x\n" + body, "a"), (1, body + "\n" + body + "\ny", "b"), (1, body + "\n" + body + "\ny", "b"), (None, "own. " + body + "\nz", "c"), (4, None, "d"), (5, "", "e")]
     found = line_chunks.passage_dedup(spark.createDataFrame(held, "doc_id long, text string, gone string"))
-    assert found.columns == ["doc_id", "text", "n_lines", "n_removed_bytes", "n_removed_passages"]
+    assert found.columns == ["doc_id", "text", "gone", "n_lines", "n_removed_bytes", "n_removed_passages"]
     assert sorted(((r.doc_id or 9, r.text) for r in found.collect()), key=str) == [(1, body + "\ny"), (1, body + "\ny"), (2, "x\n"), (4, None), (5, ""), (9, "own. \nz")]
     assert line_chunks.passage_dedup(nothing).count() == 0
 
