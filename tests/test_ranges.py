@@ -102,3 +102,14 @@ def test_many_copies_are_unfolded_in_steps(spark):
     assert got.count() == 100_004
     huge = tickets.unfolded(spark.createDataFrame([("d", 10**10)], "text string, n long"), "n", "turn").limit(5)
     assert huge.count() == 5
+
+
+def test_csv_ranges_begun_inside_quotes_with_bare_quotes(spark, tmp_path, small_splits):
+    # Bare quotes inside unquoted fields are text, while a range begun inside a quoted field ends it at its next quote: the two cases a range
+    # can begin in need not end opposite each other.
+    rows = [[str(i), 'say "hi"\nthen 5" more,' * (i % 3 + 1) if i % 2 else 'an inch is 5" long', "crm"] for i in range(60)]
+    body = io.StringIO()
+    csv.writer(body, lineterminator="\n").writerows([["id", "text", "source"], *rows])
+    (tmp_path / "b.csv").write_text(body.getvalue())
+    got = tickets.read_tickets_csv(spark, str(tmp_path)).collect()
+    assert sorted((r.external_id, r.text, r.source) for r in got) == sorted(tuple(r) for r in rows)

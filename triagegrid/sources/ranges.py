@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-REPORT = "file string, range long, quotes boolean, out_deep long, in_deep long"
+REPORT = "file string, range long, quotes boolean, in_quotes boolean, out_deep long, in_deep long"
 CUT = "file string, range long, kind string, value binary, flaws long, opened long, closed long, n_bytes long"
 NAMES = [c.split()[0] for c in CUT.split(", ")]
 
@@ -95,17 +95,19 @@ def _reporter(marks: Callable, sep: bytes):
 
         def rows():
             cells = [[*k, *v] for k, v in held.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()))], [c.split()[0] for c in REPORT.split(", ")])
+            kinds = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells), kinds)], [c.split()[0] for c in REPORT.split(", ")])
 
         for (file, start, *_), data in _ranges(batches, sep):
             if (file, start) not in held:
                 if held:
                     yield rows()
-                held = {(file, start): [False, 0, 0]}
+                held = {(file, start): [False, True, 0, 0]}
             state = held[file, start]
-            # Case by case: begun outside quotes, and begun inside.
-            out, inside = marks(data, state[0], 0), marks(data, not state[0], 0)
-            held[file, start] = [out.quoted, state[1] + out.deep, state[2] + inside.deep]
+            # Case by case: begun outside quotes, and begun inside.  Each case is followed on its own: inside CSV quotes, a quote in the
+            # middle of a field ends them, while outside it is text, so the two cases need not end opposite each other.
+            out, inside = marks(data, state[0], 0), marks(data, state[1], 0)
+            held[file, start] = [out.quoted, inside.quoted, state[2] + out.deep, state[3] + inside.deep]
         if held:
             yield rows()
 
@@ -161,9 +163,17 @@ def cut_records(spark: SparkSession, path: str, marks: Callable, sep: str, optio
     pieces = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.col("value").cast("binary").alias("value"))
     reports = pieces.mapInArrow(_reporter(marks, sep.encode()), REPORT)
     order = W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    quoted = F.coalesce(F.sum(F.col("quotes").cast("int")).over(order) % 2 == 1, F.lit(False))
-    states = reports.withColumn("quoted", quoted).withColumn("_step", F.when(F.col("quoted"), F.col("in_deep")).otherwise(F.col("out_deep")))
-    states = states.select("file", "range", "quoted", F.coalesce(F.sum("_step").over(order), F.lit(0)).alias("deep"))
+    # The ranges before, in order, each taken from the state the one before it leaves.
+    before = F.sort_array(F.collect_list(F.struct("range", "quotes", "in_quotes", "out_deep", "in_deep")).over(order))
+    start = F.struct(F.lit(False).alias("quoted"), F.lit(0).cast("bigint").alias("deep"))
+    state = F.aggregate(
+        before, start,
+        lambda s, p: F.struct(
+            F.when(s["quoted"], p["in_quotes"]).otherwise(p["quotes"]).alias("quoted"),
+            (s["deep"] + F.when(s["quoted"], p["in_deep"]).otherwise(p["out_deep"])).alias("deep"),
+        ),
+    )
+    states = reports.select("file", "range", state.alias("_s")).select("file", "range", "_s.quoted", "_s.deep")
     cut = pieces.join(F.broadcast(states), ["file", "range"]).mapInArrow(_cutter(marks, sep.encode()), CUT)
     ends = cut.where("kind <> 'record'")
     # A tail begins a record that the next lead ends, with whole ranges in between.
