@@ -145,3 +145,15 @@ def test_decision_round_trip_is_whole(spark):
     assert set(event) == {
         "event", "id", "mode", "category", "urgency", "escalate", "reasons", "queue", "escalation_queue", "rule_hits", "overrides", "latency_ms", "usage",
     }
+
+
+def test_lines_are_parsed_once_however_often_a_decision_reads_them(spark):
+    lines = spark.createDataFrame([('{"text": "Invoice #7 was charged twice", "external_id": "a"}',), ("not json",)], "value string")
+    read = tickets.tickets_from_lines(lines, F.lit("api"))
+    ok, _ = tickets.normalise_tickets(read)
+
+    def fields_read(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("variant_get")
+
+    assert fields_read(decide(ok)) == fields_read(read)
+    assert [r.text for r in ok.collect()] == ["Invoice #7 was charged twice"]
