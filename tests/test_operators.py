@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 from datetime import datetime
@@ -399,3 +400,23 @@ def test_equal_texts_are_asked_once_a_task(spark):
     paid = [r for r in got if r["usage"] is not None]
     assert len(paid) == 2 and {r["usage"]["input_tokens"] for r in paid} == {1, 2}
     assert all(r["extraction"] is not None for r in got if r["error"] is None) and sum(r["error"] is not None for r in got) == 10
+
+
+def test_stream_repeats_writes_its_copies_over_all_cores_compressed(spark, tmp_path):
+    import glob
+
+    from triagegrid.plans import registry
+    from triagegrid.session import shared_folder
+
+    texts = ["Refund invoice #77.", "Refund invoice #77.", "The export is down.", "", None, *[f"Order {i} is late." for i in range(40)]]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["body"]: (r["copies"], r["ids"]) for r in registry.stream_repeats(spark, str(tmp_path)).collect()}
+    want = {}
+    for t in texts:
+        if t:
+            want[hashlib.md5(t.encode()).hexdigest()] = want.get(hashlib.md5(t.encode()).hexdigest(), 0) + 3
+    assert got == {k: (n, n) for k, n in want.items()}
+    folder = max(glob.glob(shared_folder(spark).removeprefix("file:") + "/repeats-in-*"), key=lambda p: __import__("os").path.getmtime(p))
+    parts = [p for p in glob.glob(folder + "/part-*")]
+    # Before, one task wrote each copy as one plain text file: three files for three copies.
+    assert len(parts) > 3 and all(p.endswith(".gz") for p in parts)
