@@ -1,6 +1,7 @@
 """The stored ledger: removal by copy on write, pruned lookups, newest rows, events written once; the key index of a stream."""
 import json
 import os
+import re
 from pathlib import Path
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from triagegrid.functions.labels import decision_id
 from triagegrid.operators import ledger
 from triagegrid.operators.decide import decide
+from triagegrid.plans import derived, registry
 from triagegrid.sources import decisions as S
 from triagegrid.streaming import intake, keys
 
@@ -132,6 +134,63 @@ def test_events_of_a_batch_are_written_once(spark, tmp_path):
     assert len(lines) == 63 and sum(x["event"].endswith("deduplicated") for x in lines) == settled.where("discarded").count() == 1
 
 
+def test_events_written_twice_read_each_ticket_once(spark, monkeypatch):
+    """Settling and writing a batch used to decide every ticket again: six times in this query."""
+    sf, read = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0)
+
+    def watched(text):
+        read.add(1)
+        return text
+
+    udf = F.udf(watched).asNondeterministic()
+    monkeypatch.setattr(registry, "rules", lambda spark, sf: decide(derived.order_tickets(spark, sf).withColumn("text", udf("text"))))
+    got = registry.QUERIES["write_decision_events"](spark, sf).collect()
+    orders = derived.table(spark, sf, "orders").count()
+    assert len(got) == orders and read.value == orders
+
+
+def test_events_of_narrowed_decisions_are_those_of_whole_ones(spark, tmp_path):
+    d = registry.read_by_model(spark, "/root/testdata/sf0.001").withColumn("created_at", F.lit("2026-01-01").cast("timestamp"))
+    narrow = S.decided_for_events(d, str(tmp_path / "decided"))
+    sent = [x.select("id", "created_at", "ticket.source", "ticket.external_id") for x in (d, narrow)]
+    assert sorted(sent[0].collect()) == sorted(sent[1].collect())
+    whole, got = [sorted(r["value"] for r in S.decision_events(x).collect()) for x in (d, narrow)]
+    assert got == whole and len(whole) > 1000 and any('"usage":{' in v for v in whole)
+
+
+def generated(plan):
+    """Rows that came out of the generators of a plan."""
+    children = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().apply("numOutputRows").value() if plan.nodeName() == "Generate" else 0
+    return own + sum(generated(child) for child in children)
+
+
+def test_winners_have_no_more_copies_than_submissions(spark):
+    rows = [(f"d{i}", i % 7, "mail", "hot" if i % 3 == 0 else f"k{i}") for i in range(300)] + [("loose", 1, "mail", None)]
+    new = spark.createDataFrame(rows, "id string, created_at int, source string, external_id string").withColumn("created_at", F.timestamp_seconds("created_at"))
+    held = new.limit(0).unionByName(new.where("id in ('d1', 'd2')").withColumns({"id": F.concat(F.lit("old-"), "id"), "external_id": F.when(F.col("id") == "d1", F.col("external_id")).otherwise(F.lit("held only"))}))
+    first = min((t, i) for i, t, _, k in rows if k == "hot")[1]
+    want = {i: first if k == "hot" else "old-d1" if i == "d1" else i for i, _, _, k in rows}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for salts in (1, 16, 100):
+            got = ledger.authoritative(new, held, salts)
+            assert {r["submitted_id"]: r["id"] for r in got.collect()} == want and got.count() == len(rows)
+            assert generated(got._jdf.queryExecution().executedPlan()) <= len(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_events_run_as_methods_that_the_jvm_compiles(spark, capsys):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        S.decision_events(registry.rules(spark, "/root/testdata/sf0.001")).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
 def follow(spark, folder, tmp_path, **kw):
     paths = [str(tmp_path / n) for n in ("ledger", "bad", "ckpt")]
     intake.stream_intake(intake.stream_tickets(spark, str(folder), 1), *paths, **kw).awaitTermination()

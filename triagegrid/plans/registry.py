@@ -269,7 +269,7 @@ def discard_events(spark, sf):
 @query(_DISCARDS)
 def write_decision_events(spark, sf):
     """The same batch of events, discards included, written twice and read once."""
-    d, path = rules(spark, sf), scratch_path(spark, "events")
+    d, path = S.decided_for_events(rules(spark, sf), scratch_path(spark, "decided")), scratch_path(spark, "events")
     sent = d.select("id", "created_at", "ticket.source", "ticket.external_id")
     for _ in range(2):
         S.write_decision_events(d, path, batch="1", settled=ledger.authoritative(sent, sent.limit(0)))
